@@ -11,6 +11,9 @@ from .common import table
 from .containment import contained_items
 from .feistel import shard_documents
 from .guess_cost import scan_secrets
+from .probminhash import duplicate_classes
+from .quality import quality_documents
+from .sentencepiece_sa import encode_documents
 from .token_orc import token_documents
 from .warc import archived_pages
 
@@ -22,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived_pages(table(spark, sf_dir, "pages"))
 
@@ -30,6 +37,14 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -47,7 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_feistel_shards, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan)}
 
 
 _URL = """
@@ -76,5 +91,23 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 """
 
 
+_QUALITY = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT r, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM w WHERE len(w) >= 8),
+p AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM g) WHERE n > 1),
+c AS (SELECT r, sum(least(8, coalesce(nx - i, 8))) AS n_repeat FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nx FROM p) GROUP BY r),
+f AS (SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+             len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (r)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 2 * greatest(n_words, 1) OR word_chars > 25 * greatest(n_words, 1) OR n_symbols > 1.0 * greatest(n_words, 1)
+       OR 2 * n_dup_lines > len(string_split(t, chr(10))) OR 2 * length(regexp_replace(t, '[^\p{L}]+', '', 'g')) < word_chars
+       OR 100 * (length(t) - length(regexp_replace(t, chr(65533) || '+', '', 'g'))) > length(t)) AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_cascade": _URL, "op9_benchmark_containment": _CONTAINED}
+    return {"op5_quality_cascade": _QUALITY, "op8_url_cascade": _URL, "op9_benchmark_containment": _CONTAINED}
