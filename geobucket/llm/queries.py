@@ -11,6 +11,7 @@ from .common import table
 from .containment import contained_items
 from .feistel import shard_documents
 from .guess_cost import scan_secrets
+from .kneser_ney import score_documents
 from .probminhash import duplicate_classes
 from .quality import quality_documents
 from .sentencepiece_sa import encode_documents
@@ -45,6 +46,10 @@ def op5_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -62,7 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan)}
 
 
 _URL = """
