@@ -106,15 +106,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def worded(column: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, one after the other, and the number of words of each text."""
-    words: list[bytes] = []
-    counts = np.zeros(len(column), np.int64)
-    for i, t in enumerate(column.cast(pa.binary()).to_pylist()):
-        if t:
-            own = t.split()
-            counts[i] = len(own)
-            words += own
-    return hashes.of(words), counts
+    """Hashes of the words of texts whose words are parted by single spaces, one after the other, and their number per text."""
+    if len(column) < 16:
+        texts = [(t or b"").split() for t in column.cast(pa.binary()).to_pylist()]
+        return hashes.of([w for t in texts for w in t]), np.fromiter(map(len, texts), np.int64, len(texts))
+    lists = pc.split_pattern(pc.fill_null(column, ""), " ")
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().cast(pa.binary()).dictionary_encode()
+    number, known = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[number]
+    if b"" in known:  # next to a space, or of an empty text
+        keep = number != known.index(b"")
+        ends = np.r_[0, np.cumsum(keep)]
+        cuts = np.r_[0, np.cumsum(counts)]
+        counts, h = ends[cuts[1:]] - ends[cuts[:-1]], h[keep]
+    return h, counts
 
 
 def shingled(h: np.ndarray, counts: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

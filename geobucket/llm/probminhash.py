@@ -16,8 +16,11 @@ is 0.8 or more; for equal weights this is the Jaccard similarity of the sets.
 * Verification. The members of a band's bucket are compared with a pivot, the
   member whose other buckets are fullest (the original among its copies), not
   with each other. Members outside the bucket's largest class become pivots in
-  later rounds, twice as many in each, until none is left that has not met
-  every other class of its bucket. Each comparison is exact.
+  later rounds, four times as many in each, until none is left that has not
+  met every other class of its bucket. Only comparisons that cannot come out
+  similar are left out: shingles that a single node has are common to no pair,
+  so the rest of a document, its core, bounds every similarity it can have.
+  Each comparison is exact.
 * Classes are the connected components of the links.
 """
 
@@ -35,14 +38,16 @@ from pyspark.sql import Window as W
 from .common import PRIME, WordHashes, dropped, mixed, normal_words, shingled, sliced, stored, worded
 
 SHINGLE, REGISTERS, BANDS, LEAST = 5, 64, 16, 0.8
+#: Nodes whose list is sent to every task, under 64 MB; longer lists are joined by a shuffle.
+SENT_NODES = 500_000
 
 
 def weighted(text: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, shingle) with their weights; text is sorted."""
-    order = np.lexsort((sh, text))
-    text, sh = text[order], sh[order]
-    first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (sh[1:] != sh[:-1])]) if len(sh) else np.zeros(0, np.int64)
-    return text[first], sh[first], 1 + np.log(np.diff(np.r_[first, len(sh)]))
+    """Distinct (text, shingle) with their weights, sorted by text."""
+    _, first, n = np.unique(mixed(sh + text.astype(np.uint64) * PRIME), return_index=True, return_counts=True)
+    order = np.argsort(first)
+    first, n = first[order], n[order]
+    return text[first], sh[first], 1 + np.log(n)
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
@@ -117,7 +122,8 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFr
                 if len(seen) > 64:
                     seen.clear()
                 _, sh, weight = weighted(*shingled(*worded(pa.array([t]), hashes), SHINGLE))
-                seen[t] = sh, weight
+                order = np.argsort(sh)
+                seen[t] = sh[order], weight[order]
             return seen[t]
 
         return pd.Series([similarity(own(s), own(t)) >= least for s, t in zip(x, y)], dtype=bool)
@@ -149,49 +155,98 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def speaking_texts(docs: DataFrame, sketches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, words) of the given nodes, each from its document of the least doc_id.
+
+    Texts are shuffled only if the list of nodes is too long to send to every task.
+    """
+    texts = docs.select(docs["doc_id"].alias("doc_id"), normal_words(docs["text"]).alias("words")).withColumn("own", F.unhex(F.md5("words")))
+    wanted = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("speaker")).join(nodes.select("node"), "node"), "wanted")
+    few = wanted.count() <= SENT_NODES
+    found = texts.join(F.broadcast(wanted) if few else wanted, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("speaker")))
+    return stored(found.select("node", "words").dropDuplicates(["node"]), "texts")
+
+
+def bounds(texts: DataFrame) -> DataFrame:
+    """(node, size, core, flat): total weight, weight of shingles that another node has too, and whether all weights are 1.
+
+    A shingle of a single node carries that node to the sum, so nothing is joined.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in sliced(batches, "words"):
+            text, sh, weight = weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(text)), pa.array(sh.view(np.int64)), pa.array(weight)], ["id", "sh", "weight"])
+
+    rows = texts.select(F.xxhash64("node").alias("id"), "words").mapInArrow(spread, "id long, sh long, weight double")
+    each = rows.groupBy("sh").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight"))
+    own = each.filter("n = 1").groupBy("id").agg(F.sum("weight").alias("alone"))
+    sizes = texts.select("node", F.xxhash64("node").alias("id"), *_sizes("words"))
+    return sizes.join(own, "id", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0.0))).alias("core"), "flat")
+
+
+def _sizes(words: str) -> list:
+    """size and flat of a text."""
+
+    @F.pandas_udf("size double, flat boolean")
+    def of(x: pd.Series) -> pd.DataFrame:
+        hashes, out = WordHashes(), []
+        for t in x:
+            _, _, weight = weighted(*shingled(*worded(pa.array([t]), hashes), SHINGLE))
+            out.append((weight.sum(), bool((weight == 1).all())))
+        return pd.DataFrame(out, columns=["size", "flat"])
+
+    made = of(words)
+    return [made["size"].alias("size"), made["flat"].alias("flat")]
+
+
 def linked(docs: DataFrame, sketches: DataFrame, least: float = LEAST) -> DataFrame:
     """(node, class) for the nodes that have a link to another node."""
     spark = docs.sparkSession
     # one row of each node speaks for it
-    nodes = sketches.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    nodes = sketches.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     banded = stored(nodes.select("node", F.explode("bands").alias("bucket")), "banded")
     full = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(banded.join(full, "bucket"), "members")
     fullness = members.groupBy("node").agg(F.sum("size").alias("fullness"))
-    texts = docs.select(docs["doc_id"].alias("doc_id"), normal_words(docs["text"]).alias("words")).withColumn("node", F.unhex(F.md5("words")))
-    wanted = sketches.groupBy("node").agg(F.min("doc_id").alias("speaker")).join(fullness.select("node"), "node")
-    texts = texts.join(wanted, (texts["node"] == wanted["node"]) & texts["doc_id"].eqNullSafe(F.col("speaker"))).select(texts["node"], "words").dropDuplicates(["node"])
-    texts = stored(texts, "texts")
+    texts = speaking_texts(docs, sketches, fullness)
     new = stored(members.join(fullness, "node").select("bucket", "node", "fullness"), "members")
     dropped(spark, banded.scratch, members.scratch)
-    members, links, classes, used, many = new, None, None, None, 1
+    members = new
+    # the first pivot of each bucket is its member of fullest buckets
+    pivots = stored(members.groupBy("bucket").agg(F.max(F.struct("fullness", "node")).alias("p")).select("bucket", F.col("p.node").alias("a")), "pivots")
+    pairs = pivots.join(members, "bucket").filter("a != node").select("a", F.col("node").alias("b")).distinct()
+    links = stored(verified(pairs, texts, least), "links")
+    used, many, limits = pivots.select("bucket", F.col("a").alias("node")), 2, None
     while True:
-        now = members.withColumn("class", F.col("node"))
-        if classes is not None:
-            now = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        now = stored(now, "now")
+        classes = components(links)
+        now = stored(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "now")
         by_class = now.groupBy("bucket", "class").agg(F.count("*").alias("n"))
         main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
         open_ = now.join(main.select("bucket", F.col("main.class").alias("main")), "bucket")
-        if used is None:  # the first pivot may be any member
-            pivots = open_.groupBy("bucket").agg(F.max(F.struct("fullness", "node")).alias("p")).select("bucket", F.col("p.node").alias("a"))
-        else:
-            left = open_.filter("class != main").join(used, ["bucket", "node"], "left_anti")
-            place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("fullness"), "node"))
-            pivots = left.withColumn("place", place).filter(F.col("place") <= many).select("bucket", F.col("node").alias("a"))
-        pivots = stored(pivots, "pivots")
+        if limits is None:
+            limits = stored(bounds(texts.join(open_.select("node").distinct(), "node", "left_semi")), "limits")
+        open_ = stored(open_.join(limits, "node"), "open")
+        # what no partner in the bucket can make similar needs no comparison
+        shape = open_.groupBy("bucket").agg(F.min("size").alias("least_size"), F.every("flat").alias("all_flat"))
+        core, size = F.col("core"), F.col("size")
+        most = F.when(F.col("flat") & F.col("all_flat"), core / (size + F.greatest("least_size", core) - core)).otherwise(core / size)
+        left = open_.filter("class != main").join(shape, "bucket").filter(most >= least - 1e-9).join(used, ["bucket", "node"], "left_anti")
+        place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("fullness"), "node"))
+        pivots = stored(left.withColumn("place", place).filter(F.col("place") <= many).select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "class", "size", "core", "flat")]), "pivots")
         if pivots.isEmpty():
             break
-        a_class = pivots.join(now.select("bucket", F.col("node").alias("a"), F.col("class").alias("a_class")), ["bucket", "a"])
-        pairs = a_class.join(now.select("bucket", F.col("node").alias("b"), "class"), "bucket").filter("class != a_class").select("a", "b").distinct()
-        new_links = stored(verified(pairs, texts, least), "links")
-        links = new_links if links is None else links.unionByName(new_links)
-        used = pivots.select("bucket", F.col("a").alias("node")) if used is None else used.unionByName(pivots.select("bucket", F.col("a").alias("node")))
-        classes = components(links)
-        many *= 2
-        dropped(spark, now.scratch)
+        shared = F.least("a_core", "core")
+        most = F.when(F.col("a_flat") & F.col("flat"), shared / (F.col("a_size") + size - shared)).otherwise(F.least(F.col("a_core") / F.col("a_size"), core / size))
+        pairs = pivots.join(open_, (pivots["bucket"] == open_["bucket"]) & (F.col("class") != F.col("a_class")) & (most >= least - 1e-9))
+        pairs = pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
+        links = links.unionByName(stored(verified(pairs, texts, least), "links"))
+        used = used.unionByName(pivots.select("bucket", F.col("a_node").alias("node")))
+        many *= 4
+        dropped(spark, now.scratch, open_.scratch)
     dropped(spark, texts.scratch)
-    return classes if classes is not None else spark.createDataFrame([], "node binary, class binary")
+    return classes
 
 
 def duplicate_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:

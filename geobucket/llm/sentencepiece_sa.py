@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced
-from .token_orc import ragged
+from .token_orc import parts, ragged
 
 MARK, SLICE, LONG_CHUNK, NEVER = "▁", 16 << 20, 128, np.int64(2**62)
 
@@ -239,28 +240,25 @@ def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]
     return ids, np.bincount(chunk, counts, len(chunks)).astype(np.int64)
 
 
-_RUNS = re.compile(f"{MARK}+[^{MARK}]*")
+_RUN = re.compile("  +")
 
 
-def encode_texts(texts: list[str | None], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: pa.Array, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and the number of ids of each text; none for null and empty texts."""
-    where: dict[str, int] = {}
-    number = where.setdefault
-    numbers: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        if t[0] == " " or "  " in t or MARK in t:
-            own = [y for x in _RUNS.findall(MARK + t.replace(" ", MARK)) for y in (("", x[1:]) if x[1:2] == "\n" else (x[1:],))]
-        else:  # a part that begins with a line end follows no space
-            own = t.replace("\n", " \n").split(" ") if "\n" in t else t.split(" ")
-        numbers += [number(x, len(where)) for x in own]
-        counts[i] = len(own)
-    if not where:
+    # the mark itself counts as a space; all but the first of a run of spaces go with the word after it
+    texts = pc.replace_substring(texts, MARK, " ")
+    texts = pc.if_else(pc.equal(pc.fill_null(texts, ""), ""), None, pc.binary_join_element_wise(" ", texts, ""))
+    runs = pc.fill_null(pc.match_substring(texts, "  "), False)
+    if pc.any(runs).as_py():
+        texts = pa.array([_RUN.sub(lambda m: " " + MARK * (len(m[0]) - 1), t) if r else t for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
+    words, numbers, counts = parts(texts)
+    if not len(numbers):
         return np.zeros(0, np.int32), counts
-    ids, lengths = encode_chunks([x if x[:1] == "\n" else MARK + x for x in where], p)
-    starts, numbers = np.cumsum(lengths) - lengths, np.array(numbers, np.int64)
+    own = np.ones(len(numbers), bool)
+    own[(np.cumsum(counts) - counts)[counts > 0]] = False  # the line end that parts() puts first
+    numbers, counts = numbers[own], np.maximum(0, counts - 1)
+    ids, lengths = encode_chunks([x if x[:1] == "\n" else MARK + x for x in words], p)
+    starts = np.cumsum(lengths) - lengths
     own = lengths[numbers]
     return ids[ragged(starts[numbers], own)], np.bincount(np.repeat(np.arange(len(texts)), counts), own, len(texts)).astype(np.int64)
 
@@ -282,7 +280,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
         p = pieces_of(model_file)
         for b in sliced(batches, "text", SLICE):
             texts = b.column("text").to_pylist()
-            ids, counts = encode_texts(texts, p)
+            ids, counts = encode_texts(b.column("text"), p)
             ends = np.cumsum(counts)
             back = [decode_ids(ids[e - n : e].tolist(), p) == (t or "").replace(MARK, " ") for t, e, n in zip(texts, ends, counts)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))

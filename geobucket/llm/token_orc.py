@@ -6,26 +6,28 @@ reads of id ranges, and the Bloom filters those of single ids. Stripes are read
 in parallel.
 
 White space never joins the token before it in this vocabulary's pattern, so a
-text may be cut before any single space that follows a character other than
-white space. The library encodes each different piece of a slice once; texts
-with other white space around a space are encoded whole.
+text may be cut before any single space or line end between other characters.
+The library encodes each different piece of a slice once, many pieces to a
+call; texts with other white space around a cut are encoded whole.
 """
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .common import scratch_path, sliced, stored
 
-END_ID, CALL = 2, 20_000
+END_ID, CALL, SLICE, MEMORY = 2, 10_000, 32 << 20, 300_000
 ORC = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
@@ -35,58 +37,114 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def encode_slice(texts: list[str | None], tokenizer) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and the number of ids of each text."""
-    where: dict[str, int] = {}
-    numbers: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    number = where.setdefault
-    for i, t in enumerate(texts):
-        if t:
-            first, *rest = t.split(" ")
-            own = [first, *[" " + x for x in rest]]
-            numbers += [number(x, len(where)) for x in own]
-            counts[i] = len(own)
-    pieces = list(where)
-    odd = np.fromiter((x.isspace() or not x or x[-1].isspace() for x in pieces), bool, len(pieces))
-    numbers = np.array(numbers, np.int64)
+def parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different parts of texts, the numbers of the parts of all texts, and how many each text has.
+
+    Texts are parted at single spaces and before line ends; a part that begins
+    with a line end follows no space, and neither does the first one, before
+    which a line end is put. Null and empty texts have no part.
+    """
+    texts = pc.if_else(pc.equal(pc.fill_null(texts, ""), ""), None, pc.binary_join_element_wise("\n", texts, ""))
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+    counts = np.maximum(0, pc.fill_null(pc.list_value_length(lists), 1).to_numpy(zero_copy_only=False).astype(np.int64) - 1)
+    flat = lists.flatten()  # each list begins with the empty part before its first line end
+    keep = np.ones(len(flat), bool)
+    full = counts[counts > 0]
+    keep[np.cumsum(full + 1) - full - 1] = False
+    coded = flat.filter(pa.array(keep)).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), counts
+
+
+def _encode_pieces(pieces: list[str], tokenizer, line: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a text with a piece in each line, and where the ids of each piece start and end.
+
+    A line end before a character other than white space is a token of its
+    own, so the ids are parted at it. Pieces that begin with one include it.
+    """
+    all_ids, starts, ends, before = [], [], [], 0
+    for at in range(0, len(pieces), CALL):
+        own = pieces[at : at + CALL]
+        text = "".join([x if x[0] == "\n" else "\n " + x for x in own])
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+        cuts = np.flatnonzero(ids == line)
+        if len(cuts) != len(own):
+            raise ValueError("a piece holds a line end")
+        bare = np.fromiter((x[0] == "\n" for x in own), np.int64, len(own))
+        all_ids.append(ids)
+        starts.append(before + cuts + 1 - bare)
+        ends.append(before + np.r_[cuts[1:], len(ids)])
+        before += len(ids)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(all_ids or none).astype(np.int32), np.concatenate(starts or none), np.concatenate(ends or none)
+
+
+def _remembered(pieces: list[str], often: np.ndarray, tokenizer, line: int, memory: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _encode_pieces, but ids of pieces that occur often are taken from, and kept in, a memory of bounded size."""
+    known = [memory.get(x) for x in pieces]
+    new = np.fromiter((x is None for x in known), bool, len(known))
+    ids, starts, ends = _encode_pieces([x for x, y in zip(pieces, known) if y is None], tokenizer, line)
+    for at, a, b in zip(np.flatnonzero(new), starts, ends):
+        if often[at] and len(memory) < MEMORY:
+            memory[pieces[at]] = ids[a:b].tobytes()
+    old = [x for x in known if x is not None]
+    size = np.fromiter(map(len, old), np.int64, len(old)) // 4
+    start, end = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    start[new], end[new] = starts, ends
+    end[~new] = len(ids) + np.cumsum(size)
+    start[~new] = end[~new] - size
+    return np.concatenate([ids, np.frombuffer(b"".join(old), np.int32)]), start, end
+
+
+def encode_slice(texts: pa.Array, tokenizer, memory: dict[str, bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and the number of ids of each text.
+
+    A text with other white space around a single space or line end is encoded whole.
+    """
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+    if len(line) != 1:
+        raise ValueError("a line end is not one token")
+    pieces, numbers, counts = parts(texts)
+    core = [x[1:] if x[:1] == "\n" else x for x in pieces]
+    odd = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in core), bool, len(pieces))
     text = np.repeat(np.arange(len(texts)), counts)
     whole = np.unique(text[odd[numbers]]) if len(numbers) else np.zeros(0, np.int64)
+    often = np.bincount(numbers, minlength=len(pieces))[~odd] > 1
+    ids, starts, ends = _remembered([x for x, o in zip(pieces, odd) if not o], often, tokenizer, line[0], {} if memory is None else memory)
+    place = np.cumsum(~odd) - 1
     if len(whole):
         keep = ~np.isin(text, whole)
-        used = np.unique(numbers[keep])
-        again = np.zeros(len(pieces), np.int64)
-        again[used] = np.arange(len(used))
-        more = len(used) + np.arange(len(whole))
-        text, numbers = np.concatenate([text[keep], whole]), np.concatenate([again[numbers[keep]], more])
+        text, numbers = text[keep], numbers[keep]
+    use = place[numbers]
+    first = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
+    start, length = starts[use] + first, ends[use] - starts[use] - first  # without the line end put there
+    if len(whole):
+        more = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts.take(pa.array(whole)).to_pylist(), add_special_tokens=False)]
+        n = np.array([len(x) for x in more], np.int64)
+        text, start, length = np.r_[text, whole], np.r_[start, len(ids) + np.cumsum(n) - n], np.r_[length, n]
+        ids = np.concatenate([ids, *more])
         order = np.argsort(text, kind="stable")
-        text, numbers = text[order], numbers[order]
-        pieces = [pieces[x] for x in used] + [texts[x] for x in whole]
-    ids, lengths = [], []
-    for at in range(0, len(pieces), CALL):
-        for e in tokenizer.encode_batch_fast(pieces[at : at + CALL], add_special_tokens=False):
-            own = e.ids
-            ids += own
-            lengths.append(len(own))
-    ids, lengths = np.array(ids, np.int32), np.array(lengths, np.int64)
-    starts = np.cumsum(lengths) - lengths
-    own = lengths[numbers]
-    return ids[ragged(starts[numbers], own)], np.bincount(text, own, len(texts)).astype(np.int64)
+        text, start, length = text[order], start[order], length[order]
+    return ids[ragged(start, length)], np.bincount(text, length, len(texts)).astype(np.int64)
+
+
+@functools.lru_cache(1)
+def _tokenizer(file: str) -> tuple:
+    """The tokenizer of this worker, and its memory of pieces."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    tokenizer.encode_special_tokens = True  # their strings are ordinary text
+    return tokenizer, {}
 
 
 def encoded(rows: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
     """rows (doc_id, text) as (doc_id, ids), with the end id after each document; their order is kept."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        for b in sliced(batches, "text"):
-            ids, counts = encode_slice(b.column("text").to_pylist(), tokenizer)
+        tokenizer, memory = _tokenizer(tokenizer_file)
+        for b in sliced(batches, "text", SLICE):
+            ids, counts = encode_slice(b.column("text"), tokenizer, memory)
             ends = np.cumsum(counts + 1)
             out = np.full(ends[-1], end_id, np.int32)
             out[ragged(ends - counts - 1, counts)] = ids
@@ -117,11 +175,15 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     count a file reaches the driver.
     """
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.ascontiguousarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
+    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, ends = b.column("ids"), b.column("ids").offsets.to_numpy()
+            raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(), "<u4")).cast("B")
+            own = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), pa.array(own, pa.int64()), b.column("file")], ["doc_id", "n_tokens", "ids_crc32", "file"])
 
-    rows = read_tokens(spark, path).select("doc_id", "n_tokens", crc("ids").alias("ids_crc32"), F.col("_metadata.file_name").alias("file"))
+    rows = read_tokens(spark, path).select("doc_id", "n_tokens", "ids", F.col("_metadata.file_name").alias("file"))
+    rows = rows.mapInArrow(crc, "doc_id long, n_tokens long, ids_crc32 long, file string")
     rows = stored(rows, "tokens")
     totals, before, starts = {r[0]: r[1] for r in rows.groupBy("file").agg(F.sum("n_tokens")).collect()}, 0, []
     for f in sorted(totals):
