@@ -13,14 +13,15 @@ is 0.8 or more; for equal weights this is the Jaccard similarity of the sets.
   shingles plus 64 ln 64.
 * Banding. 16 bands of 4 registers: a pair at 0.8 shares a band with a chance
   above 0.9997. Exact copies (equal word sequences) are one node from the start.
-* Verification. The members of a band's bucket are compared with a pivot, the
-  member whose other buckets are fullest (the original among its copies), not
-  with each other. Members outside the bucket's largest class become pivots in
-  later rounds, four times as many in each, until none is left that has not
-  met every other class of its bucket. Only comparisons that cannot come out
-  similar are left out: shingles that a single node has are common to no pair,
-  so the rest of a document, its core, bounds every similarity it can have.
-  Each comparison is exact.
+* Verification. The members of a band's bucket are first compared with its
+  pivot, the member whose other buckets are fullest (the original among its
+  copies), not with each other. A node outside the largest class of one of its
+  buckets is then compared with all nodes of other classes that it could still
+  be similar to. These are found by a prefix: shingles are put in a global
+  order, rare ones first, and if two similar nodes share no shingle before a
+  position, what follows must be weight enough for 0.8. Near copies that differ
+  from the pivot by too much meet only where they share their rare shingles,
+  so a group's pairs are not all tried. Each comparison is exact.
 * Classes are the connected components of the links.
 """
 
@@ -33,13 +34,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import PRIME, WordHashes, dropped, mixed, normal_words, shingled, sliced, stored, worded
 
 SHINGLE, REGISTERS, BANDS, LEAST = 5, 64, 16, 0.8
 #: Nodes whose list is sent to every task, under 64 MB; longer lists are joined by a shuffle.
 SENT_NODES = 500_000
+#: Counters of the order of shingles: 2 bytes each, whatever the number of shingles.
+CELLS = 1 << 22
 
 
 def weighted(text: np.ndarray, sh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,38 +169,55 @@ def speaking_texts(docs: DataFrame, sketches: DataFrame, nodes: DataFrame) -> Da
     return stored(found.select("node", "words").dropDuplicates(["node"]), "texts")
 
 
-def bounds(texts: DataFrame) -> DataFrame:
-    """(node, size, core, flat): total weight, weight of shingles that another node has too, and whether all weights are 1.
+def _cell_counts(nodes: DataFrame) -> np.ndarray:
+    """Occurrences of shingles by cell of their hash, CELLS numbers; a cell with 1 has a shingle of one node."""
 
-    A shingle of a single node carries that node to the sum, so nothing is joined.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in sliced(batches, "words"):
-            text, sh, weight = weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(text)), pa.array(sh.view(np.int64)), pa.array(weight)], ["id", "sh", "weight"])
+            _, sh, _ = weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE))
+            cell, n = np.unique(sh % np.uint64(CELLS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int32))], ["cell", "n"])
 
-    rows = texts.select(F.xxhash64("node").alias("id"), "words").mapInArrow(spread, "id long, sh long, weight double")
-    each = rows.groupBy("sh").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.min("weight").alias("weight"))
-    own = each.filter("n = 1").groupBy("id").agg(F.sum("weight").alias("alone"))
-    sizes = texts.select("node", F.xxhash64("node").alias("id"), *_sizes("words"))
-    return sizes.join(own, "id", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0.0))).alias("core"), "flat")
+    got = nodes.select("words").mapInArrow(counts, "cell int, n int").groupBy("cell").agg(F.least(F.sum("n"), F.lit(65535)).cast("int").alias("n")).filter("n > 1").toArrow()
+    out = np.ones(CELLS, np.uint16)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
-def _sizes(words: str) -> list:
-    """size and flat of a text."""
+def prefix_pairs(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """All pairs (a, b) of nodes (node, words, class, open) that may be similar, of different classes and with a open.
 
-    @F.pandas_udf("size double, flat boolean")
-    def of(x: pd.Series) -> pd.DataFrame:
-        hashes, out = WordHashes(), []
-        for t in x:
-            _, _, weight = weighted(*shingled(*worded(pa.array([t]), hashes), SHINGLE))
-            out.append((weight.sum(), bool((weight == 1).all())))
-        return pd.DataFrame(out, columns=["size", "flat"])
+    Any total order of shingles is right; one by counts makes prefixes rare. Of
+    two similar nodes let i be the first common shingle. The common ones weigh
+    no more than what either has from i on (`rest`), and that must be `least`
+    of the node's size; for weights of 1 both together must reach
+    least / (1 + least) of the sum of sizes.
+    """
+    sent = nodes.sparkSession.sparkContext.broadcast(_cell_counts(nodes))
 
-    made = of(words)
-    return [made["size"].alias("size"), made["flat"].alias("flat")]
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in sliced(batches, "words"):
+            text, sh, weight = weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE))
+            n = sent.value[(sh % np.uint64(CELLS)).astype(np.int64)]
+            order = np.lexsort((sh, n, text))
+            text, sh, weight, n = text[order], sh[order], weight[order], n[order]
+            size = np.bincount(text, weight, b.num_rows)
+            flat = np.bincount(text, weight != 1, b.num_rows) == 0
+            rest = np.cumsum(size)[text] - (np.cumsum(weight) - weight)
+            keep = (n > 1) & (rest >= least * size[text] - 1e-6)
+            text = text[keep]
+            own = b.drop_columns(["words"]).take(pa.array(text))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sh[keep].view(np.int64)), pa.array(rest[keep]), pa.array(size[text]), pa.array(flat[text])], [*own.schema.names, "sh", "rest", "size", "flat"])
+
+    rows = nodes.select("node", "class", "open", "words").mapInArrow(prefixes, "node binary, class binary, open boolean, sh long, rest double, size double, flat boolean")
+    rows = stored(rows, "prefixes")
+    a = rows.filter("open").select("sh", *[F.col(c).alias(f"a_{c}") for c in ("node", "class", "rest", "size", "flat")])
+    enough = F.least("a_rest", "rest") >= least / (1 + least) * (F.col("a_size") + F.col("size")) - 1e-6
+    once = ~F.col("open") | (F.col("a_node") < F.col("node"))
+    pairs = a.join(rows, (a["sh"] == rows["sh"]) & (F.col("a_class") != F.col("class")) & once & (enough | ~F.col("a_flat") | ~F.col("flat")))
+    return pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, sketches: DataFrame, least: float = LEAST) -> DataFrame:
@@ -218,34 +237,16 @@ def linked(docs: DataFrame, sketches: DataFrame, least: float = LEAST) -> DataFr
     pivots = stored(members.groupBy("bucket").agg(F.max(F.struct("fullness", "node")).alias("p")).select("bucket", F.col("p.node").alias("a")), "pivots")
     pairs = pivots.join(members, "bucket").filter("a != node").select("a", F.col("node").alias("b")).distinct()
     links = stored(verified(pairs, texts, least), "links")
-    used, many, limits = pivots.select("bucket", F.col("a").alias("node")), 2, None
-    while True:
-        classes = components(links)
-        now = stored(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "now")
-        by_class = now.groupBy("bucket", "class").agg(F.count("*").alias("n"))
-        main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
-        open_ = now.join(main.select("bucket", F.col("main.class").alias("main")), "bucket")
-        if limits is None:
-            limits = stored(bounds(texts.join(open_.select("node").distinct(), "node", "left_semi")), "limits")
-        open_ = stored(open_.join(limits, "node"), "open")
-        # what no partner in the bucket can make similar needs no comparison
-        shape = open_.groupBy("bucket").agg(F.min("size").alias("least_size"), F.every("flat").alias("all_flat"))
-        core, size = F.col("core"), F.col("size")
-        most = F.when(F.col("flat") & F.col("all_flat"), core / (size + F.greatest("least_size", core) - core)).otherwise(core / size)
-        left = open_.filter("class != main").join(shape, "bucket").filter(most >= least - 1e-9).join(used, ["bucket", "node"], "left_anti")
-        place = F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("fullness"), "node"))
-        pivots = stored(left.withColumn("place", place).filter(F.col("place") <= many).select("bucket", *[F.col(c).alias(f"a_{c}") for c in ("node", "class", "size", "core", "flat")]), "pivots")
-        if pivots.isEmpty():
-            break
-        shared = F.least("a_core", "core")
-        most = F.when(F.col("a_flat") & F.col("flat"), shared / (F.col("a_size") + size - shared)).otherwise(F.least(F.col("a_core") / F.col("a_size"), core / size))
-        pairs = pivots.join(open_, (pivots["bucket"] == open_["bucket"]) & (F.col("class") != F.col("a_class")) & (most >= least - 1e-9))
-        pairs = pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
-        links = links.unionByName(stored(verified(pairs, texts, least), "links"))
-        used = used.unionByName(pivots.select("bucket", F.col("a_node").alias("node")))
-        many *= 4
-        dropped(spark, now.scratch, open_.scratch)
-    dropped(spark, texts.scratch)
+    classes = components(links)
+    now = stored(members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "now")
+    by_class = now.groupBy("bucket", "class").agg(F.count("*").alias("n"))
+    main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
+    met = now.join(main.select("bucket", F.col("main.class").alias("main")), "bucket")
+    met = stored(met.groupBy("node").agg(F.first("class").alias("class"), F.bool_or(F.col("class") != F.col("main")).alias("open")), "met")
+    more = stored(verified(prefix_pairs(met.join(texts, "node"), least), texts, least), "links")
+    if not more.isEmpty():
+        classes = components(links.unionByName(more))
+    dropped(spark, texts.scratch, now.scratch, members.scratch)
     return classes
 
 
