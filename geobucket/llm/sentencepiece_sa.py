@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import sliced
 from .token_orc import parts, ragged
 
-MARK, SLICE, LONG_CHUNK, NEVER = "▁", 16 << 20, 128, np.int64(2**62)
+MARK, SLICE, LONG_CHUNK, NEVER = "▁", 4 << 20, 128, np.int64(2**62)
 
 
 class Pieces:
