@@ -188,8 +188,9 @@ class Model:
         for s, run in _by_shard(shard_of(words, self.shards), self.shards):
             if self.unigrams[s]:
                 keys, n, m = _mapped(self.unigrams[s], "u8 u4 u4")
-                at, there = _found(keys, words[run])
-                count[run], before[run] = np.where(there, n[at], 0), np.where(there, m[at], 0)
+                if len(keys):  # a shard may hold no word but BEGIN
+                    at, there = _found(keys, words[run])
+                    count[run], before[run] = np.where(there, n[at], 0), np.where(there, m[at], 0)
         cut = np.r_[0.0, self.e][np.minimum(before, 3)]
         return count, np.maximum(before - cut, 0) / max(1, self.continuations) + self.rest / (self.words + 1)
 
