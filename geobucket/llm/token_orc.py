@@ -14,6 +14,7 @@ call; texts with other white space around a cut are encoded whole.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import scratch_path, sliced, stored
 
-END_ID, CALL, SLICE, MEMORY = 2, 10_000, 32 << 20, 300_000
+END_ID, CALL, SLICE, MEMORY = 2, 10_000, 8 << 20, 300_000
 ORC = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
@@ -104,8 +105,9 @@ def encode_slice(texts: pa.Array, tokenizer, memory: dict[str, bytes] | None = N
     if len(line) != 1:
         raise ValueError("a line end is not one token")
     pieces, numbers, counts = parts(texts)
-    core = [x[1:] if x[:1] == "\n" else x for x in pieces]
-    odd = np.fromiter((not x or x[0].isspace() or x[-1].isspace() for x in core), bool, len(pieces))
+    core = list(map(str.removeprefix, pieces, itertools.repeat("\n")))
+    bare = np.fromiter(map(len, map(str.strip, core)), np.int64, len(core))
+    odd = (bare == 0) | (bare != np.fromiter(map(len, core), np.int64, len(core)))
     text = np.repeat(np.arange(len(texts)), counts)
     whole = np.unique(text[odd[numbers]]) if len(numbers) else np.zeros(0, np.int64)
     often = np.bincount(numbers, minlength=len(pieces))[~odd] > 1
