@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 
 from .common import scratch_path, sliced, stored
 
-END_ID, CALL, SLICE, MEMORY = 2, 10_000, 8 << 20, 300_000
+END_ID, CALL, SLICE, MEMORY = 2, 10_000, 10 << 20, 450_000
 ORC = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 
