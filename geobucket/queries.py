@@ -246,12 +246,24 @@ def feature_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT 'c' || (event_id % 3)::VARCHAR || '_ndjson.json' AS lines_file, count(*) AS lines FROM events WHERE event_id < 300 GROUP BY 1")
 def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of 100 features each, rewritten as lines and counted."""
-    docs = _table(spark, sf_dir, "events").filter("event_id < 300").groupBy(F.format_string("c%d", F.col("event_id") % 3).alias("name"))
-    docs = docs.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.struct("event_id")).alias("features"))).alias("value"))
+    docs = _table(spark, sf_dir, "events").filter("event_id < 300").withColumn("name", F.format_string("c%d", F.col("event_id") % 3))
+    return _lines_counted(spark, docs, ["name"])
+
+
+@_query("SELECT 'c' || (event_id // 100 % 16)::VARCHAR || '_ndjson.json' AS lines_file, count(*) AS lines FROM events GROUP BY 1")
+def ndjson_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events, in documents of 100 features each whose lines go to 16 folders."""
+    docs = _table(spark, sf_dir, "events").withColumn("doc", F.expr("event_id div 100"))
+    return _lines_counted(spark, docs.withColumn("name", F.format_string("c%d", F.col("doc") % 16)), ["name", "doc"])
+
+
+def _lines_counted(spark: SparkSession, rows: DataFrame, document: list[str]) -> DataFrame:
+    """A document for each value of the columns `document`, of which one is `name`; each is a file of its own."""
+    docs = rows.groupBy(*document).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.struct("event_id")).alias("features"))).alias("value"))
     folder, target = scratch_path(spark, "documents"), scratch_path(spark, "lines")
-    docs.select("value", "name").write.partitionBy("name").text(folder)
-    rows = spark.read.text(folder, wholetext=True).select(F.explode(formats.features_of(F.col("value"))).alias("feature"), formats.lines_name(F.concat("name", F.lit(".geojson"))).alias("lines_file"))
-    rows.write.partitionBy("lines_file").text(target)
+    docs.select("value", *document).write.partitionBy(*document).text(folder)
+    lines = spark.read.text(folder, wholetext=True).select(F.explode(formats.features_of(F.col("value"))).alias("feature"), formats.lines_name(F.concat("name", F.lit(".geojson"))).alias("lines_file"))
+    lines.write.partitionBy("lines_file").text(target)
     return spark.read.text(target).groupBy("lines_file").agg(F.count("*").alias("lines"))
 
 
