@@ -341,15 +341,23 @@ def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_EDGES} SELECT pos, src, dst FROM edges")
 def edge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges printed as text and parsed again."""
-    lines = _edges(spark, sf_dir).select("pos", F.format_string("Edge %d: Node %d → Node %d; rest", "pos", "src", "dst").alias("t"))
+    return _edges_parsed(_edges(spark, sf_dir))
+
+
+def _edges_parsed(rows: DataFrame) -> DataFrame:
+    lines = rows.select("pos", F.format_string("Edge %d: Node %d → Node %d; rest", "pos", "src", "dst").alias("t"))
     return lines.select("pos", F.explode(edges.parsed_edges(F.col("t"))).alias("e")).select("pos", "e.src", "e.dst")
 
 
 @_query(f"WITH {_EDGES} SELECT pos AS edge_id, src, dst FROM edges")
 def edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written as lines of three tokens and read again."""
+    return _edges_filed(spark, _edges(spark, sf_dir))
+
+
+def _edges_filed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = scratch_path(spark, "edges")
-    _edges(spark, sf_dir).select(F.format_string("e%d n%d n%d", "pos", "src", "dst").alias("value")).write.text(path)
+    rows.select(F.format_string("e%d n%d n%d", "pos", "src", "dst").alias("value")).write.text(path)
     return edges.read_edges(spark, path).select(F.col("edge_id").cast("long").alias("edge_id"), "src", "dst")
 
 
@@ -383,6 +391,76 @@ def pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coverage(graph.numbered_pairs(_edges(spark, sf_dir)), _trace(spark, sf_dir))
 
 
+# The same over all orders: each node has an edge to node 0, a hub, and up to seven others; the trace walks along three nodes for each event.
+_STEP = "CASE WHEN {j} = 0 THEN 0 ELSE ({at} * 7 + {j}) % n END"
+_WHOLE_EDGES = f"""nodes AS (SELECT count(*) AS n FROM customer),
+edges AS (SELECT row_number() OVER (ORDER BY src, dst) AS pos, src, dst FROM (SELECT DISTINCT (o_custkey % n)::INT AS src, ({_STEP.format(j="(o_orderkey % 8)", at="o_custkey")})::INT AS dst FROM orders, nodes))"""
+_WHOLE_PAIRS = _WHOLE_EDGES + _PAIRS.removeprefix(_EDGES)
+_WHOLE_TRIPLES = f"""w1 AS (SELECT ts, event_id, n, (event_id * 31 + user_id) % n AS a FROM events, nodes),
+w2 AS (SELECT *, {_STEP.format(j="(event_id % 8)", at="a")} AS b FROM w1), w3 AS (SELECT *, {_STEP.format(j="(event_id // 8 % 8)", at="b")} AS c FROM w2),
+steps AS (SELECT ts, event_id, 0 AS k, a AS node FROM w3 UNION ALL SELECT ts, event_id, 1, b FROM w3 UNION ALL SELECT ts, event_id, 2, c FROM w3),
+trace AS (SELECT node::INT AS n1, lead(node::INT, 1) OVER w AS n2, lead(node::INT, 2) OVER w AS n3 FROM steps WINDOW w AS (ORDER BY ts, event_id, k)),
+triples AS (SELECT DISTINCT n1, n2, n3 FROM trace WHERE n3 IS NOT NULL)"""
+
+
+def _with_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _table(spark, sf_dir, name).withColumn("n", F.lit(_table(spark, sf_dir, "customer").count()))
+
+
+def _whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = _STEP.format(j="(o_orderkey % 8)", at="o_custkey")
+    rows = _with_nodes(spark, sf_dir, "orders").selectExpr("cast(o_custkey % n as int) AS src", f"cast({step} as int) AS dst").distinct()
+    return stored(numbered(rows, ["src", "dst"], "pos").withColumn("edge_id", F.col("pos")), "edges")
+
+
+def _whole_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_nodes(spark, sf_dir, "events").withColumn("a", F.expr("(event_id * 31 + user_id) % n"))
+    rows = rows.withColumn("b", F.expr(_STEP.format(j="(event_id % 8)", at="a")))
+    rows = rows.withColumn("c", F.expr(_STEP.format(j="(event_id div 8 % 8)", at="b")))
+    steps = rows.select("ts", "event_id", F.posexplode(F.array("a", "b", "c")).alias("k", "node"))
+    return stored(numbered(steps, ["ts", "event_id", "k"], "pos").select("pos", F.col("node").cast("int").alias("node")), "trace")
+
+
+@_query(f"WITH {_WHOLE_EDGES} SELECT pos, src, dst FROM edges")
+def edge_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges_parsed(_whole_edges(spark, sf_dir))
+
+
+@_query(f"WITH {_WHOLE_EDGES} SELECT pos AS edge_id, src, dst FROM edges")
+def edge_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges_filed(spark, _whole_edges(spark, sf_dir))
+
+
+@_query(f"WITH {_WHOLE_PAIRS} SELECT edge1_id, edge2_id, n1, n2, n3 FROM pairs")
+def edge_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edge_pairs(_whole_edges(spark, sf_dir)).select("edge1_id", "edge2_id", "n1", "n2", "n3")
+
+
+@_query(f"WITH {_WHOLE_PAIRS} SELECT pair_no, edge1_id, edge2_id, n1, n2, n3 FROM pairs")
+def edge_pairs_numbered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.numbered_pairs(_whole_edges(spark, sf_dir))
+
+
+@_query(f"WITH {_WHOLE_PAIRS} SELECT pair_no, 'Paired Edge ' || pair_no || ': Node ' || n1 || ' → Node ' || n2 || ' , Node ' || n2 || ' → Node ' || n3 AS line FROM pairs")
+def edge_pairs_rendered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.rendered_pairs(_whole_edges(spark, sf_dir))
+
+
+@_query(f"WITH {_WHOLE_PAIRS}, {_WHOLE_TRIPLES} SELECT pair_no, n1, n2, n3 FROM pairs SEMI JOIN triples USING (n1, n2, n3)")
+def pair_covered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.covered_pairs(graph.numbered_pairs(_whole_edges(spark, sf_dir)), _whole_trace(spark, sf_dir)).select("pair_no", "n1", "n2", "n3")
+
+
+@_query(f"WITH {_WHOLE_PAIRS}, {_WHOLE_TRIPLES} SELECT pair_no, n1, n2, n3 FROM pairs ANTI JOIN triples USING (n1, n2, n3)")
+def pair_uncovered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.uncovered_pairs(graph.numbered_pairs(_whole_edges(spark, sf_dir)), _whole_trace(spark, sf_dir)).select("pair_no", "n1", "n2", "n3")
+
+
+@_query(f"WITH {_WHOLE_PAIRS}, {_WHOLE_TRIPLES} SELECT count(*) AS pairs, count(t.n1) AS covered, count(*) = count(t.n1) AS all_covered FROM pairs p LEFT JOIN triples t ON p.n1 = t.n1 AND p.n2 = t.n2 AND p.n3 = t.n3")
+def pair_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.coverage(graph.numbered_pairs(_whole_edges(spark, sf_dir)), _whole_trace(spark, sf_dir))
+
+
 # Items of events: value rounded, category by type, with gaps of each kind.
 _ITEM = "event_id AS item_pos, event_id % 17 = 3 AS is_null, event_id % 13 <> 5 AS has_value, event_id % 11 <> 7 AS value_is_int, cast(floor(value) AS int) AS value, event_id % 7 <> 2 AS has_category, CASE event_id % 4 WHEN 0 THEN 'Special' WHEN 1 THEN 'normal' WHEN 2 THEN event_type END AS category"
 OPTIONS = {"doubleHighAlpha": True, "addLowAlpha": False, "negateSpecialBeta": True, "logAll": True}
