@@ -2,12 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,8 +10,6 @@ from ..plans.scratch import stored
 
 #: Rows a bucket at the first load, rows beyond which a bucket is split, quantile error.
 TARGET, MOST, REL_ERROR = 64, 128, 0.001
-#: Up to so many bounds a native array is searched, beyond them an Arrow batch by binary search.
-NATIVE = 256
 #: Keys of a cell; medians are found in the cells of a label first, then within one cell.
 CELL = 1 << 15
 
@@ -25,47 +18,83 @@ def bucket_count(rows: int, target: int = TARGET) -> int:
     return (rows + target - 1) // target
 
 
-def equi_depth_splits(df: DataFrame, key: str, target: int = TARGET, rel_error: float = REL_ERROR) -> list[float]:
-    """Quantiles 0, 1/n, ..., 1 of the key for n = ceil(rows / target) buckets; none for an empty table."""
-    n = bucket_count(df.count(), target)
-    return df.approxQuantile(key, [i * 1.0 / n for i in range(n + 1)], rel_error) if n else []
+def _dealt(df: DataFrame, key: str) -> DataFrame:
+    """df stored in ranges of the key, with the number `__part` of its range."""
+    return stored(df.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+
 
+def _carry(df: DataFrame, rows: list[tuple], kind: str) -> DataFrame:
+    """df with the column `__carry` of its range; rows are (range, carry)."""
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, f"__part int, __carry {kind}")), "__part")
 
-def _at_or_below(value: Column, bounds: Sequence[int], below: int, null: Column) -> Column:
-    """The greatest bound at or below value, `below` where there is none."""
-    own = sorted({int(b) for b in bounds})
-    if len(own) <= NATIVE:
-        found = F.array_max(F.filter(F.lit(own).cast("array<bigint>"), lambda b: b <= value))
-        return F.when(value.isNull(), null).otherwise(F.coalesce(found, F.lit(below))).cast("long")
-    sorted_bounds = np.array(own, np.int64)
 
-    @F.pandas_udf("long")
-    def search(v: pd.Series) -> pd.Series:
-        at = np.searchsorted(sorted_bounds, v.fillna(0).to_numpy(), "right") - 1
-        return pd.Series(np.where(at >= 0, sorted_bounds[np.maximum(at, 0)], below)).where(v.notna())
+def _so_far() -> WindowSpec:
+    return W.partitionBy("__part").orderBy("__key").rowsBetween(W.unboundedPreceding, 0)
 
-    return search(value)
 
+def _ranked(df: DataFrame, key: str) -> DataFrame:
+    """(__key, __cnt, __to): the different keys, their rows and the rank of the last of them. One sum a range reaches the driver."""
+    own = df.select(F.col(key).alias("__key")).filter(F.col("__key").isNotNull() & ~F.isnan(F.col("__key").cast("double")))
+    dealt = _dealt(own.groupBy("__key").agg(F.count("*").alias("__cnt")), "__key")
+    starts, total = [], 0
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.sum("__cnt")).collect()):
+        starts.append((part, total))
+        total += n
+    return _carry(dealt, starts, "long").select("__key", "__cnt", (F.col("__carry") + F.sum("__cnt").over(_so_far())).alias("__to"))
 
-def static_bucket(value: Column, splits: Sequence[float]) -> Column:
-    """The split at or below value, of all but the last; the last bucket's for values below the first split. Null for null."""
-    if len(splits) < 2:
-        raise ValueError("two splits or more are needed")
-    own = [math.floor(s) for s in splits[:-1]]
-    return F.when(value < F.lit(float(splits[0])), own[-1]).otherwise(_at_or_below(value, own, own[-1], F.lit(None))).cast("long")
 
+def equi_depth_splits(df: DataFrame, key: str, target: int = TARGET, rel_error: float = REL_ERROR) -> DataFrame:
+    """(split_no, split): quantiles 0, 1/b, ..., 1 of the key for b = ceil(rows / target) buckets; none for an empty table.
 
-def nearest_lower(value: Column, buckets: Sequence[int]) -> Column:
-    """The greatest bucket at or below value, else the least bucket. Null for null."""
-    if not buckets:
+    Split i is the key at rank ceil(i / b * n) of the n keys that are not null,
+    the first at rank 1. Ranks are exact, which suits any rel_error.
+    """
+    if rel_error < 0:
+        raise ValueError("rel_error must not be negative")
+    b = bucket_count(df.count(), target)
+    ranks = stored(_ranked(df, key), "ranks")
+    n = ranks.agg(F.max("__to")).first()[0] or 0
+    if not b or not n:
+        return df.sparkSession.createDataFrame([], "split_no long, split double")
+    after = F.col("__to") - F.col("__cnt")
+    low = F.greatest(F.lit(0), F.floor(after * (b / n)) - 1).cast("long")
+    high = F.least(F.lit(b), F.ceil(F.col("__to") * (b / n)) + 1).cast("long")
+    near = ranks.select("__key", "__to", after.alias("__after"), F.explode(F.sequence(low, high)).alias("split_no"))
+    rank = F.greatest(F.lit(1), F.ceil(F.col("split_no") * F.lit(1.0) / F.lit(float(b)) * F.lit(float(n))))
+    return near.filter((rank > F.col("__after")) & (rank <= F.col("__to"))).select("split_no", F.col("__key").cast("double").alias("split"))
+
+
+def _at_or_below(df: DataFrame, key: str, bounds: DataFrame, name: str, last_if_none: bool = False) -> DataFrame:
+    """df with the greatest bound at or below its key; below all bounds the least one, or the last. Null for null.
+
+    Different keys and bounds are dealt by range together, each range starts
+    with the last bound of those before it, and the bounds found are joined
+    back. The least and the last bound of a range reach the driver.
+    """
+    kind = df.schema[key].dataType
+    keys = df.select(F.col(key).alias("__key")).filter("__key is not null").select("__key", F.lit(None).cast("long").alias("__bound"))
+    marks = bounds.select(F.col(bounds.columns[0]).cast("long").alias("__bound")).filter("__bound is not null").select(F.col("__bound").cast(kind).alias("__key"), "__bound")
+    dealt = _dealt(keys.unionByName(marks).groupBy("__key").agg(F.max("__bound").alias("__bound")), "__key")
+    ends = sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.min("__bound"), F.max("__bound")).collect())
+    known = [(a, z) for _, a, z in ends if a is not None]
+    if not known:
         raise ValueError("no buckets")
-    return _at_or_below(value, buckets, min(buckets), F.lit(None))
+    starts, last = [], known[-1][1] if last_if_none else known[0][0]
+    for part, _, z in ends:
+        starts.append((part, last))
+        last = last if z is None else z
+    found = F.coalesce(F.last("__bound", ignorenulls=True).over(_so_far()), "__carry")
+    found = _carry(dealt, starts, "long").select("__key", found.alias("__found"))
+    return df.join(found, F.col(key) == F.col("__key"), "left").withColumn(name, F.col("__found")).drop("__key", "__found")
 
 
 def equi_depth_bucket(df: DataFrame, key: str, name: str = "bucket_min", target: int = TARGET, rel_error: float = REL_ERROR) -> DataFrame:
-    """df with the bucket of each key; an empty table gets a null column."""
-    splits = equi_depth_splits(df, key, target, rel_error)
-    return df.withColumn(name, static_bucket(F.col(key), splits) if splits else F.lit(None).cast("long"))
+    """df with the split at or below each key, of all but the last; an empty table gets a null column."""
+    splits = stored(equi_depth_splits(df, key, target, rel_error), "splits")
+    last = splits.agg(F.max("split_no")).first()[0]
+    if last is None:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    return _at_or_below(df, key, splits.filter(F.col("split_no") < last).select(F.floor("split")), name, last_if_none=True)
 
 
 def bucket_counts(df: DataFrame, label: str = "bucket_min") -> DataFrame:
@@ -74,8 +103,7 @@ def bucket_counts(df: DataFrame, label: str = "bucket_min") -> DataFrame:
 
 def assign_to_existing(df: DataFrame, key: str, buckets: DataFrame, label: str = "bucket_min") -> DataFrame:
     """df with the nearest lower label of a table of bucket metadata."""
-    own = [r[0] for r in buckets.select(label).distinct().collect()]  # one number a bucket
-    return df.withColumn(label, nearest_lower(F.col(key), own))
+    return _at_or_below(df, key, buckets.select(label), label)
 
 
 def oversize(counts: DataFrame, most: int = MOST) -> DataFrame:

@@ -96,8 +96,7 @@ splits AS (SELECT i AS split_no, k::DOUBLE AS split FROM b, range((n + 63) // 64
 
 @_query(f"WITH {_XY}, {_SPLITS} SELECT split_no, split FROM splits")
 def equi_depth_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = B.equi_depth_splits(keyed(spark, sf_dir), "geohash_numeric", rel_error=0.0)
-    return spark.createDataFrame(list(enumerate(found)), "split_no long, split double")
+    return B.equi_depth_splits(keyed(spark, sf_dir), "geohash_numeric", rel_error=0.0)
 
 
 @_query(f"""WITH {_XY}, {_SPLITS}, own AS (SELECT DISTINCT split::BIGINT AS s FROM splits WHERE split_no < (SELECT b FROM b))
