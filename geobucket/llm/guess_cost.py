@@ -5,7 +5,8 @@ log10 costs of words (by rank, with a charge for capitals and for characters
 that stand for letters), dates, repeats, keyboard walks and sequences, and
 brute-force spans (each character by the size of the value's alphabet). A
 value that stands after a credential word and costs `least` or more is a
-secret even where no fixed pattern fits it.
+secret even where no fixed pattern fits it, whatever its characters are. Words
+are common passwords and the most frequent words of the documents themselves.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import dropped, sliced, stored
 
 #: Base patterns, in the order in which kinds are listed.
 BASE = (
@@ -63,10 +66,44 @@ def _neighbours() -> dict[str, dict[str, int]]:
 
 NEXT = _neighbours()
 WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-LONGEST_WORD = max(map(len, COMMON_WORDS))
+#: Letters of a word of documents, and the most words that are kept: at most 50,000 words of 80 bytes, 4 MB.
+SHORTEST_WORD, LONGEST_WORD, MOST_WORDS = 3, 20, 50_000
 
 
-def guess_cost(value: str) -> float:
+def ranked_words(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
+    """Word to rank by its count over all documents, with the common words at their own rank if that is lower.
+
+    Values after credential words and base patterns are not counted, so a
+    secret doesn't become a word by standing in a text; nor are words that
+    occur once. Words of equal class of counts are kept or left out together,
+    so the number of words that reach the driver is at most `most`.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    low = F.lower(text)
+    said = F.lit(False)
+    for w in CREDENTIAL_WORDS:
+        said = said | low.contains(w)
+    text = F.when(said, F.regexp_replace(text, CONTEXT.pattern, " ")).otherwise(text)
+    text = F.when(text.contains("AKIA"), F.regexp_replace(text, BASE[1][1].pattern, " ")).otherwise(text)
+    words = docs.select(F.explode(F.split(F.lower(F.regexp_replace(text, BASE[2][1].pattern, " ")), r"[^\p{L}]+")).alias("word"))
+    words = words.filter(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = stored(words.withColumn("class", F.floor(16 * F.log2("n"))), "words")
+    least, total = math.inf, 0
+    for c, n in sorted((tuple(r) for r in counts.groupBy("class").count().collect()), reverse=True):
+        if (total := total + n) > most:
+            break
+        least = c
+    kept = [] if least == math.inf else counts.filter(F.col("class") >= least).select("n", "word").collect()
+    dropped(docs.sparkSession, counts.scratch)
+    out = {w: k + 1 for k, (_, w) in enumerate(sorted(kept, key=lambda r: (-r[0], r[1])))}
+    return out | {w: min(k, out.get(w, k)) for w, k in WORD_RANK.items()}
+
+
+def _sent(docs: DataFrame) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(ranked_words(docs))
+
+
+def guess_cost(value: str, words: Mapping[str, int] = WORD_RANK) -> float:
     """log10 of the guesses that the cheapest segmentation needs; linear in the length."""
     n, low = len(value), value.lower()
     if len(low) != n:  # a few letters change their length
@@ -81,9 +118,9 @@ def guess_cost(value: str) -> float:
         same_to[i] = same_to[i + 1] if low[i] == low[i + 1] else i + 1
     for i in range(n):
         spans = [(i + 1, each)]
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank, extra = WORD_RANK.get(low[i:j]), 0.0
-            if rank is None and (rank := WORD_RANK.get(plain[i:j])):
+        for j in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
+            rank, extra = words.get(low[i:j]), 0.0
+            if rank is None and (rank := words.get(plain[i:j])):
                 extra = math.log10(4)
             if rank:
                 own = value[i:j]
@@ -111,12 +148,12 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
-def is_secret(value: str, least: float = LEAST) -> bool:
-    """A credential of SHORTEST characters or more, not of letters only, that is hard to guess."""
-    return len(value) >= SHORTEST and not value.isalpha() and guess_cost(value) >= least
+def is_secret(value: str, least: float = LEAST, words: Mapping[str, int] = WORD_RANK) -> bool:
+    """A credential of SHORTEST characters or more that is hard to guess."""
+    return len(value) >= SHORTEST and guess_cost(value, words) >= least
 
 
-def secret_spans(text: str | None, least: float = LEAST) -> list[tuple[int, int, int, int]]:
+def secret_spans(text: str | None, least: float = LEAST, known: Mapping[str, int] = WORD_RANK) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) by start, then kind. Positions are code points."""
     text, out = text or "", []
     lower = text.lower()
@@ -131,7 +168,7 @@ def secret_spans(text: str | None, least: float = LEAST) -> list[tuple[int, int,
         base = sorted((a, b) for a, _, b, _ in out)
         for m in CONTEXT.finditer(text):
             a, b = m.span(m.lastindex)
-            if is_secret(m[m.lastindex], least) and not any(x < b and a < y for x, y in base):
+            if not any(x < b and a < y for x, y in base) and is_secret(m[m.lastindex], least, known):
                 out.append((a, 3, b, a))
     return sorted(out)
 
@@ -148,9 +185,11 @@ def scan_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     long as its text.
     """
 
+    known = _sent(docs)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
-            rows = [secret_spans(t, least) for t in b.column("text").to_pylist()]
+            rows = [secret_spans(t, least, known.value) for t in b.column("text").to_pylist()]
             base = [[s for s in r if s[1] < 3] for r in rows]
             counts = [pa.array([sum(s[1] == k for s in r) for r in rows], pa.int64()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts[:3], pa.array([hashlib.sha256(_said(r).encode()).hexdigest() for r in base]), pa.array([_said(r) for r in rows], pa.string()), counts[3]], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess"])
@@ -159,9 +198,9 @@ def scan_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
-def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]") -> str | None:
+def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]", known: Mapping[str, int] = WORD_RANK) -> str | None:
     """The text with the value of every span replaced; null stays null."""
-    spans = secret_spans(text, least)
+    spans = secret_spans(text, least, known)
     if not spans:
         return text
     out, at = [], 0
@@ -174,12 +213,12 @@ def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]") ->
 
 def redact_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with secrets replaced in `text` and `n_chars` counted anew where it is there; all rows and columns stay."""
-    names = docs.columns
+    names, known = docs.columns, _sent(docs)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, "text"):
             old = b.column("text").to_pylist()
-            new = [redacted(t, least) for t in old]
+            new = [redacted(t, least, known=known.value) for t in old]
             b = b.set_column(names.index("text"), "text", pa.array(new, b.column("text").type))
             if "n_chars" in names:
                 n = [c if x is y or y is None else len(y) for c, x, y in zip(b.column("n_chars").to_pylist(), old, new)]
