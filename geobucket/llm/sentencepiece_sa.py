@@ -8,6 +8,13 @@ position. The model is a byte-pair one, so edges are relaxed in merge order:
 in each round every chunk contracts its leftmost pair of neighbouring symbols
 whose join is the edge of the best score, until no pair is an edge. The ids
 equal those of the library. Characters without a piece become byte pieces.
+
+Memory is bounded by SLICE, whatever the length of a text or of a word: chunks
+are matched in groups of SLICE characters, and a chunk longer than BLOCK is
+encoded in blocks that overlap. Two blocks are joined at a token that both
+have: symbols are those of the whole chunk if every two neighbours are those
+of their own join, and on either side of that token all neighbours come from
+one block.
 """
 
 from __future__ import annotations
@@ -26,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import sliced
 from .token_orc import parts, ragged
 
-MARK, SLICE, LONG_CHUNK, NEVER = "▁", 4 << 20, 128, np.int64(2**62)
+MARK, SLICE, LONG_CHUNK, NEVER = "▁", 1 << 20, 128, np.int64(2**62)
+#: Characters of a long chunk that are encoded at once, and how far the next block reaches back.
+BLOCK, OVERLAP = 1 << 15, 1 << 9
 
 
 class Pieces:
@@ -57,12 +66,14 @@ class Pieces:
         _, rank = np.unique([-s for _, s, _ in own], return_inverse=True)
         self.rank = rank.astype(np.int64)
         self.depth = int(self.lengths.max())
+        if self.depth >= 64:
+            raise ValueError("a piece has 64 characters or more")
         self.words = (self.depth + 3) // 4
         chars = np.array(sorted({ord(c) for p, _, _ in own for c in p}))
         if len(chars) > 65000:
             raise ValueError("the pieces have too many different characters")
         # 0 stands between chunks; a character of no piece gets the last code
-        self.code = np.full(0x110000, len(chars) + 1, np.uint64)
+        self.code = np.full(0x110000, len(chars) + 1, np.uint16)
         self.code[chars] = np.arange(1, len(chars) + 1)
         grid = np.zeros((len(own), self.words * 4), np.uint64)
         for x, (p, _, _) in enumerate(own):
@@ -77,7 +88,7 @@ class Pieces:
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences of pieces in a text of codes: sorted keys position * 64 + length, and piece numbers."""
-        n = len(codes)
+        n, codes = len(codes), codes.astype(np.uint64)
         padded = np.concatenate([codes, np.zeros(self.words * 4, np.uint64)])
         four = (padded[:-3] << np.uint64(48)) | (padded[1:-2] << np.uint64(32)) | (padded[2:-1] << np.uint64(16)) | padded[3:]
         keys = [four[4 * j : 4 * j + n] for j in range(self.words)]
@@ -194,8 +205,8 @@ def _contract_long(begin: int, end: int, ranks: dict[int, int]) -> list[tuple[in
     return sorted(size.items())
 
 
-def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all chunks, one after the other, and the number of ids of each."""
+def _symbols(chunks: list[str], p: Pieces) -> tuple[np.ndarray, ...]:
+    """Of all chunks, one after the other: symbols (start in its chunk, length), their number of ids, the ids, and the symbols of each chunk."""
     text = "\x00".join(chunks)  # a character of no piece; its code is set to 0 below
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     codes = p.code[points]
@@ -237,7 +248,51 @@ def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]
         raw = np.frombuffer("".join(map(chr, cp.tolist())).encode(), np.uint8)
         ids[ragged(ends[~ok] - counts[~ok], counts[~ok])] = p.byte_id[raw]
     chunk = np.searchsorted(begins, start, "right") - 1
-    return ids, np.bincount(chunk, counts, len(chunks)).astype(np.int64)
+    return start - begins[chunk], length, counts, ids, np.bincount(chunk, minlength=len(chunks))
+
+
+def _in_blocks(chunk: str, p: Pieces, block: int = BLOCK) -> np.ndarray:
+    """Ids of one chunk of any length, from overlapping blocks; they grow where two have no symbol in common."""
+    out, at = [], 0
+    start, length, counts, ids, _ = _symbols([chunk[:block]], p)
+    while at + block < len(chunk):
+        begin = int(start[min(np.searchsorted(start, block - OVERLAP), len(start) - 1)])
+        new_start, new_length, new_counts, new_ids, _ = _symbols([chunk[at + begin : at + begin + block]], p)
+        same = np.flatnonzero(np.isin((start - begin) * block + length, new_start * block + new_length) & (start >= begin))
+        if not begin or not len(same):
+            return _in_blocks(chunk, p, 2 * block)
+        i = same[0]
+        j = np.searchsorted(new_start, start[i] - begin)
+        out.append(ids[: counts[:i].sum()])
+        ids = new_ids[new_counts[:j].sum() :]
+        start, length, counts, at = new_start[j:], new_length[j:], new_counts[j:], at + begin
+    return np.concatenate([*out, ids])
+
+
+def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all chunks, one after the other, and the number of ids of each."""
+    all_ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(chunks), np.int64)
+    group, held = [], 0
+
+    def flush() -> None:
+        if group:
+            _, _, counts, ids, symbols = _symbols([chunks[i] for i in group], p)
+            sizes[group] = np.bincount(np.repeat(np.arange(len(group)), symbols), counts, len(group))
+            all_ids.append(ids)
+
+    for i, c in enumerate(chunks):
+        if group and (held + len(c) > SLICE or len(c) > BLOCK):
+            flush()
+            group, held = [], 0
+        if len(c) > BLOCK:
+            ids = _in_blocks(c, p)
+            all_ids.append(ids)
+            sizes[i] = len(ids)
+        else:
+            group.append(i)
+            held += len(c)
+    flush()
+    return np.concatenate(all_ids), sizes
 
 
 _RUN = re.compile("  +")
@@ -268,6 +323,11 @@ def decode_ids(ids: list[int], p: Pieces) -> str:
     return b"".join(map(p.raw.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _decoded(ids: np.ndarray, p: Pieces, most: int = 1 << 16) -> str:
+    """The same for an array, a part at a time."""
+    return b"".join(b"".join(map(p.raw.__getitem__, ids[at : at + most].tolist())) for at in range(0, len(ids), most)).removeprefix(b" ").decode("utf-8", "replace")
+
+
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip for every row.
 
@@ -279,10 +339,9 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model_file)
         for b in sliced(batches, "text", SLICE):
-            texts = b.column("text").to_pylist()
             ids, counts = encode_texts(b.column("text"), p)
             ends = np.cumsum(counts)
-            back = [decode_ids(ids[e - n : e].tolist(), p) == (t or "").replace(MARK, " ") for t, e, n in zip(texts, ends, counts)]
+            back = [_decoded(ids[e - n : e], p) == (t.as_py() or "").replace(MARK, " ") for t, e, n in zip(b.column("text"), ends, counts)]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), lists, pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 
