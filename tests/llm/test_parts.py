@@ -1,5 +1,10 @@
 """Parts of the operators, without Spark: encoders against the libraries, permutations, secret spans."""
 
+import random
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -8,7 +13,7 @@ from geobucket.llm import feistel, guess_cost, sentencepiece_sa, token_orc
 
 from ..support import DATA
 
-ODD = [None, "", " ", "a  b", " a\n\n b ", "▁x", "é漢😀 \t\n<s>", "x" * 3000, "a\r\nb c", "<|endoftext|> a"]
+ODD = [None, "", " ", "don't. O'Neil! ¿qué? a.b ab.. x! \nfoo. bar\nÉté; ªº a÷b 12. 3,4", "Ġ. x a\u0085b", "a  b", " a\n\n b ", "▁x", "é漢😀 \t\n<s>", "x" * 3000, "a\r\nb c", "<|endoftext|> a"]
 TEXTS = ODD + pq.read_table(DATA / "sf0.001/documents.parquet")["text"].to_pylist()
 
 
@@ -28,9 +33,27 @@ def test_pieces_are_those_of_the_library():
 
 
 def test_tokens_are_those_of_the_library():
-    tokenizer, _ = token_orc._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
-    got = cut(*token_orc.encode_slice(pa.array(TEXTS, pa.string()), tokenizer))
-    assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    encoder = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
+    for _ in range(2):  # the second time from memory
+        assert cut(*token_orc.encode_slice(pa.array(TEXTS, pa.string()), encoder)) == want
+
+
+def test_long_chunks_are_encoded_in_blocks():
+    from sentencepiece import SentencePieceProcessor
+
+    file, r = public_tokenizers.path("piece_bpe_32k.model"), random.Random(1)
+    p, sp = sentencepiece_sa.Pieces(file), SentencePieceProcessor(model_file=file)
+    prose = "".join(t or "" for t in TEXTS).replace(" ", "").replace("\n", "")
+    for text in ("x" * 90_000, "aaaab" * 15_000, "é漢😀" * 15_000, prose[:90_000], "".join(r.choice("abcdefgh") for _ in range(90_000)), "y" * 40_000 + " z"):
+        assert sentencepiece_sa.encode_texts(pa.array([text]), p)[0].tolist() == sp.encode(text)
+
+
+def test_memory_of_one_long_word():
+    """A word of 10 MB takes less than 500 MB of its worker."""
+    script = "import sys, resource, public_tokenizers; from geobucket.llm import sentencepiece_sa as S; import pyarrow as pa; p = S.Pieces(public_tokenizers.path('piece_bpe_32k.model')); n = len(S.encode_texts(pa.array(['wordswithoutspaces0123456' * 400000]), p)[0]); print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    n, most = map(int, subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert n > 10**6 and most < 500_000
 
 
 def test_feistel_permutes_and_inverts():

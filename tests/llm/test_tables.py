@@ -5,12 +5,15 @@ import collections
 import functools
 import hashlib
 import math
+import os
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyarrow import orc
 from geobucket.llm import feistel, guess_cost, kneser_ney, quality, sentencepiece_sa, token_orc, warc
 from geobucket.llm import queries as llm
 from geobucket.llm.containment import without_items
@@ -104,7 +107,7 @@ def test_sentencepiece(spark, texts, odd):
 
 
 def tokens(texts):
-    tokenizer, _ = token_orc._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    tokenizer = token_orc.encoder_of(public_tokenizers.path("byte_bpe_50k.json")).library
     out = []
     for d, t in texts:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
@@ -129,6 +132,46 @@ def test_token_files(spark, texts, odd):
     assert token_orc.token_documents(odd.limit(0), file).count() == 0
 
 
+def written(spark, docs, name, **options):
+    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/{name}"
+    token_orc.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), **options)
+    return path
+
+
+def test_token_starts_follow_the_files(spark):
+    """Repeated and null ids: starts are those of a scan of the files, file by file and row by row."""
+    rows = [(k % 3 or None, "word " * (k * 7 % 31)) for k in range(200)] + [(1, "word ")] * 20
+    path = written(spark, spark.createDataFrame(rows, "doc_id long, text string"), "ties", file_bytes=2000)
+    scanned, at = [], 0
+    for f in sorted(Path(path.removeprefix("file://")).glob("part-*.orc")):
+        for r in orc.read_table(f).to_pylist():
+            scanned.append((r["doc_id"], at, len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes())))
+            at += len(r["ids"])
+    assert len({x.split("-")[1] for x in os.listdir(path.removeprefix("file://")) if x.startswith("part-")}) > 3
+    assert in_order(token_orc.token_table(spark, path).collect()) == in_order(scanned)
+
+
+def test_token_files_prune(spark):
+    """Files hold row indexes and Bloom filters on doc_id, and reads of single ids skip row groups and files."""
+    n = 6000
+    path = written(spark, spark.range(n).selectExpr("2 * id AS doc_id", "concat('text ', id) AS text"), "prune", file_bytes=1 << 30)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    (file,) = Path(path.removeprefix("file://")).glob("part-*.orc")
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    index = reader.rows().readRowIndex(0, None, None)
+    assert index.getRowGroupIndex()[1].getEntryCount() == 6 and index.getBloomFilterIndex()[1].getBloomFilterCount() == 6
+
+    def scanned(condition):
+        q = token_orc.read_tokens(spark, path).filter(condition)
+        rows = len(q.collect())
+        return rows, q._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    assert scanned("doc_id = 2468") == (1, 1000)
+    assert scanned("doc_id BETWEEN 4000 AND 4100") == (51, 1000)
+    assert scanned("doc_id = 2469") == (0, 0)  # inside the range of a row group: its Bloom filter says no
+    assert scanned("doc_id > 20000") == (0, 0)
+
+
 #: The base patterns, and the least length of a match (assign: of its value).
 PATTERNS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 12),
