@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import scratch_path, sliced
 
-END_ID, CALL, SLICE, MEMORY = 2, 10_000, 10 << 20, 450_000
-#: Bytes of text a file; smaller tables are spread over all cores, down to 1 MB a file.
-FILE_BYTES, LEAST_BYTES = 256 << 20, 1 << 20
+END_ID, CALL, SLICE, MEMORY = 2, 10_000, 4 << 20, 450_000
+#: Most bytes of text a file; smaller tables make SPREAD files a core, down to 1 MB a file.
+FILE_BYTES, LEAST_BYTES, SPREAD = 64 << 20, 1 << 20, 4
 ORC = {"orc.compress": "ZSTD", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(16 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 #: A plain word, after a line end where it follows one, and the marks that may follow it.
 PLAIN, MARKS = "^\n?[A-Za-zÀ-ÖØ-öø-ÿ]+$", string.punctuation.replace("'", "")
@@ -263,7 +263,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, math.ceil(size / file_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
+    files = max(1, math.ceil(size / file_bytes), min(SPREAD * docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
     dealt = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     encoded(dealt.select("doc_id", "text"), tokenizer_file, end_id).write.options(**ORC).orc(path)
 
