@@ -89,9 +89,7 @@ class Encoder:
             raise ValueError("a line end is not one token")
         self.line = int(line[0])
         # plain words are given to the library's model already parted, in its alphabet of bytes
-        self.words = Tokenizer.from_file(file)
-        self.words.encode_special_tokens = True
-        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.spaces = pre_tokenizers.CharDelimiterSplit(" ")
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         self.alphabet = np.zeros(256, np.uint16)
         self.alphabet[shown] = shown
@@ -115,7 +113,7 @@ class Encoder:
         for at in range(0, len(pieces), CALL):
             own = pieces.slice(at, CALL).to_pylist()
             bare = np.fromiter((x[0] == "\n" for x in own), np.int64, len(own))
-            ids = self._encoded(self.library, "".join([x if x[0] == "\n" else "\n " + x for x in own]))
+            ids = self._encoded("".join([x if x[0] == "\n" else "\n " + x for x in own]))
             start, length = self._cut(ids, len(own))
             all_ids.append(ids)
             starts.append(before + start + 1 - bare)
@@ -132,7 +130,9 @@ class Encoder:
             own = pc.if_else(after_line, pc.utf8_ltrim(own, "\n"), pc.binary_join_element_wise(" ", own, ""))
             raw = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), "\0\n\0")[0].as_py()
             text = self.alphabet[np.frombuffer(f"\n\0{raw}".encode(), np.uint8)].tobytes().decode("utf-16-le")
-            ids, spaced = self._encoded(self.words, text), ~after_line.to_numpy(zero_copy_only=False)
+            own_pattern, self.library.pre_tokenizer = self.library.pre_tokenizer, self.spaces
+            ids, spaced = self._encoded(text), ~after_line.to_numpy(zero_copy_only=False)
+            self.library.pre_tokenizer = own_pattern
             start, length = self._cut(ids, len(own))
             all_ids.append(ids)
             starts.append(before + start + spaced)
@@ -140,9 +140,8 @@ class Encoder:
             before += len(ids)
         return np.concatenate(all_ids), np.concatenate(starts), np.concatenate(lengths)
 
-    @staticmethod
-    def _encoded(library, text: str) -> np.ndarray:
-        return np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
     def cores(self, pieces: pa.Array, often: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of different parts; those of parts that occur often are taken from, and kept in, the memory."""
