@@ -2,16 +2,23 @@
 
 The guess cost of a value is the least sum, over all its segmentations, of
 log10 costs of words (by rank, with a charge for capitals and for characters
-that stand for letters), dates, repeats, keyboard walks and sequences, and
-brute-force spans (each character by the size of the value's alphabet). A
-value that stands after a credential word and costs `least` or more is a
-secret even where no fixed pattern fits it, whatever its characters are. Words
-are common passwords and the most frequent words of the documents themselves.
+that stand for letters), separators, dates, repeats, keyboard walks and
+sequences, and brute-force spans (each character by the size of the value's
+alphabet). A value that stands after a credential word and costs `least` or
+more is a secret, whatever its characters are and whether or not a fixed
+pattern covers it too. Words are common ones of passwords and of code, and the
+most frequent words of the documents themselves.
+
+A span of cost `least` or more can't be part of a cheaper segmentation, so for
+a verdict the programme goes on only from the places that are reached below
+`least`; their number does not grow with the value, and long values take time
+in proportion to their length at most.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections.abc import Iterator, Mapping
@@ -41,7 +48,13 @@ COMMON_WORDS = (
     "summer", "winter", "spring", "autumn", "flower", "cheese", "computer", "internet", "pepper", "ginger",
     "change", "please", "test", "guest", "root", "user", "pass", "love", "money", "the",
     "example", "sample", "default", "token", "value", "null", "none", "true", "false", "your",
+    "get", "set", "key", "api", "env", "process", "config", "here", "this", "self",
+    "new", "app", "name", "file", "path", "data", "settings", "options", "request", "response",
+    "string", "read", "load", "fetch", "input", "insert", "enter", "placeholder", "dummy", "fake",
+    "auth", "access", "client", "private", "public", "session", "credentials", "system", "local", "server",
 )
+#: What stands between words, most common first.
+SEPARATORS = ("_", "-", ".", "()", " ", "/", ":", "(", ")", "$", "{", "}", "<", ">")
 #: Key rows, and sequences.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
@@ -66,6 +79,9 @@ def _neighbours() -> dict[str, dict[str, int]]:
 
 NEXT = _neighbours()
 WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
+SEPARATOR_COST = {x: math.log10(i + 2) for i, x in enumerate(SEPARATORS)}
+_CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[A-Z]"), 26), (re.compile("[a-z]"), 26), (re.compile("[^0-9A-Za-z]"), 33))
+_HEX = re.compile("[0-9a-f]+")
 #: Letters of a word of documents, and the most words that are kept: at most 50,000 words of 80 bytes, 4 MB.
 SHORTEST_WORD, LONGEST_WORD, MOST_WORDS = 3, 20, 50_000
 
@@ -103,58 +119,92 @@ def _sent(docs: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(ranked_words(docs))
 
 
-def guess_cost(value: str, words: Mapping[str, int] = WORD_RANK) -> float:
-    """log10 of the guesses that the cheapest segmentation needs; linear in the length."""
+def _each(value: str) -> float:
+    """log10 of the size of the value's alphabet."""
+    return math.log10(16 if _HEX.fullmatch(value) else sum(n for x, n in _CLASSES if x.search(value)))
+
+
+def _capitals(own: str) -> float:
+    if own.islower() or not any(map(str.isupper, own)):
+        return 0.0
+    first = own[0].isupper() and not any(map(str.isupper, own[1:]))
+    return math.log10(2 if first or own.isupper() else 8)
+
+
+class _Repeats:
+    """From a place to the end of the repetition that begins there, by the length of the repeated unit; places must not decrease."""
+
+    def __init__(self, low: str):
+        self.low, self.ends = low, {}
+
+    def copies(self, i: int, unit: int) -> int:
+        """How often the unit at i stands there, one after the other."""
+        low, n, end = self.low, len(self.low), self.ends.get(unit, -1)
+        if end < i:
+            end = i
+            while end + unit < n and low[end] == low[end + unit]:
+                end += 1
+            self.ends[unit] = end
+        return (end - i) // unit + 1
+
+
+def guess_cost(value: str, words: Mapping[str, int] = WORD_RANK, limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation needs; `limit` if that is not below it."""
     n, low = len(value), value.lower()
+    if not n:
+        return 0.0
     if len(low) != n:  # a few letters change their length
         low = value
-    plain = low.translate(STANDS_FOR)
-    kinds = {("hex" if all(c in "0123456789abcdef" for c in value) else ""), *(("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s") for c in value)}
-    size = 16 if "hex" in kinds else 10 * ("d" in kinds) + 26 * ("u" in kinds) + 26 * ("l" in kinds) + 33 * ("s" in kinds)
-    each = math.log10(max(2, size))
-    best = [0.0] + [math.inf] * n
-    same_to = [n] * n  # end of the run of equal characters
-    for i in range(n - 2, -1, -1):
-        same_to[i] = same_to[i + 1] if low[i] == low[i + 1] else i + 1
-    for i in range(n):
-        spans = [(i + 1, each)]
-        for j in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
-            rank, extra = words.get(low[i:j]), 0.0
-            if rank is None and (rank := words.get(plain[i:j])):
-                extra = math.log10(4)
-            if rank:
-                own = value[i:j]
-                upper = 0.0 if own.islower() or not any(map(str.isupper, own)) else math.log10(2) if own[0].isupper() and not any(map(str.isupper, own[1:])) or own.isupper() else math.log10(8)
-                spans.append((j, math.log10(rank + 1) + extra + upper))
-        if "0" <= low[i] <= "9" and (m := _DATE.match(value, i, min(n, i + 10))):
-            spans.append((m.end(), math.log10(150) if m.end() - i == 4 else math.log10(365 * 150)))
-        if same_to[i] - i >= 3:
-            spans.append((same_to[i], each + math.log10(same_to[i] - i)))
-        for unit in range(2, min(8, (n - i) // 2) + 1):  # blocks that repeat
-            if low[i : i + unit] == low[i + unit : i + 2 * unit]:
-                j = i + 2 * unit
-                while low.startswith(low[i : i + unit], j) and j - i < 64 * unit:
-                    j += unit
-                spans.append((j, unit * each + math.log10((j - i) // unit)))
-        j, turns, last = i + 1, 0, None
-        while j < n and j - i < 64 and (d := NEXT.get(low[j - 1], {}).get(low[j])) is not None:
-            turns += d != last
-            last, j = d, j + 1
-        if j - i >= 3:
-            spans.append((j, math.log10(47 * (j - i)) + turns * math.log10(4)))
-        for j, cost in spans:
-            if (total := best[i] + cost) < best[j]:
+    plain, each = low.translate(STANDS_FOR), _each(value)
+    units = int(min(n // 2, limit / each))
+    best, places, repeats = {0: 0.0}, [0], _Repeats(low)
+    while places:
+        i = heapq.heappop(places)
+        so_far = best.pop(i)
+        if i == n:
+            return so_far
+        for j, cost in _spans(value, low, plain, each, words, i, units, limit - so_far, repeats):
+            total = so_far + cost
+            if total < limit and total < best.get(j, math.inf):
+                if j not in best:
+                    heapq.heappush(places, j)
                 best[j] = total
-    return best[n]
+    return limit
+
+
+def _spans(value: str, low: str, plain: str, each: float, words: Mapping[str, int], i: int, units: int, left: float, repeats: _Repeats) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the spans that begin at i: one character, separators, words, dates, repeats, walks that cost less than `left`."""
+    n = len(value)
+    yield i + 1, each
+    for x in (low[i], low[i : i + 2]):
+        if x in SEPARATOR_COST:
+            yield i + len(x), SEPARATOR_COST[x]
+    for j in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
+        rank, extra = words.get(low[i:j]), 0.0
+        if rank is None and (rank := words.get(plain[i:j])):
+            extra = math.log10(4)
+        if rank:
+            yield j, math.log10(rank + 1) + extra + _capitals(value[i:j])
+    if "0" <= low[i] <= "9" and (m := _DATE.match(value, i, min(n, i + 10))):
+        yield m.end(), math.log10(150) if m.end() - i == 4 else math.log10(365 * 150)
+    for unit in range(1, units + 1):
+        if i + 2 * unit <= n and (copies := repeats.copies(i, unit)) > (2 if unit == 1 else 1):
+            yield i + unit * copies, unit * each + math.log10(copies)
+    j, turns, last = i + 1, 0, None
+    while j < n and turns * math.log10(4) < left and (d := NEXT.get(low[j - 1], {}).get(low[j])) is not None:
+        turns += d != last
+        last, j = d, j + 1
+        if j - i >= 3:
+            yield j, math.log10(47 * (j - i)) + turns * math.log10(4)
 
 
 def is_secret(value: str, least: float = LEAST, words: Mapping[str, int] = WORD_RANK) -> bool:
     """A credential of SHORTEST characters or more that is hard to guess."""
-    return len(value) >= SHORTEST and guess_cost(value, words) >= least
+    return len(value) >= SHORTEST and guess_cost(value, words, least) >= least
 
 
 def secret_spans(text: str | None, least: float = LEAST, known: Mapping[str, int] = WORD_RANK) -> list[tuple[int, int, int, int]]:
-    """(start, kind, end, start of the value) by start, then kind. Positions are code points."""
+    """(start, kind, end, start of the value) by start, then kind. Positions are code points; time follows the length of the text."""
     text, out = text or "", []
     lower = text.lower()
     words = any(w in lower for w in CREDENTIAL_WORDS)
@@ -165,10 +215,9 @@ def secret_spans(text: str | None, least: float = LEAST, known: Mapping[str, int
         elif kind == 2 or "AKIA" in text:
             out += [(m.start(), kind, m.end(), m.start()) for m in pattern.finditer(text)]
     if words:
-        base = sorted((a, b) for a, _, b, _ in out)
         for m in CONTEXT.finditer(text):
             a, b = m.span(m.lastindex)
-            if not any(x < b and a < y for x, y in base) and is_secret(m[m.lastindex], least, known):
+            if is_secret(m[m.lastindex], least, known):
                 out.append((a, 3, b, a))
     return sorted(out)
 
@@ -180,9 +229,10 @@ def _said(spans: list[tuple[int, int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_guess for every row.
 
-    Spans of the method have kind guess and never overlap a base span. Null and
-    empty texts have no span; repeated rows give equal rows; a match may be as
-    long as its text.
+    Spans of the method have kind guess; one may lie inside a base span. Null
+    and empty texts have no span; repeated rows give equal rows; a match may be
+    as long as its text; other columns are ignored, whatever their names. An
+    empty table gives no rows.
     """
 
     known = _sent(docs)
@@ -212,7 +262,10 @@ def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]", kno
 
 
 def redact_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """docs with secrets replaced in `text` and `n_chars` counted anew where it is there; all rows and columns stay."""
+    """docs with secrets replaced in `text` and `n_chars` counted anew where it is there; all rows and columns stay.
+
+    Null and empty texts stay as they are; repeated rows stay repeated.
+    """
     names, known = docs.columns, _sent(docs)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
