@@ -3,7 +3,9 @@
 Level 1 encodes the listed keys. Tried on every other key of the universe it
 lets some pass; level 2 encodes those, level 3 the listed keys that level 2
 lets pass, and so on until none is left. A key of the universe is judged by
-the first level it fails, without error, so no join is needed. Each level is
+the first level it fails, without error, so no join is needed. The listed keys
+are a table; the universe is the keys of the rows to judge and the list
+together, so building the cascade takes one grouping and no join. Each level is
 built by Spark as bitmap buckets; only the finished bits, whose number is known
 from the count of keys, reach the driver and the tasks. Above `most_bytes` the
 listed keys are joined instead, with the same result.
@@ -21,9 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mixed, stored
 
-#: Host labels that stand for unwanted sites.
-LISTED_LABELS = ("adult", "ads", "bets", "casino", "pills", "spam")
-LISTED_HOST = r"(^|[.-])(" + "|".join(LISTED_LABELS) + r")([.-]|$)"
 #: Verdict, host and path of each rule.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MOST_BYTES, FIRST_RATE, NEXT_RATE = 64 << 20, 0.02, 0.5
@@ -109,12 +108,17 @@ def cascade(universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None
     return out
 
 
-def with_listed(rows: DataFrame, key: str, universe: DataFrame, name: str = "listed", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """rows with a boolean: is the key listed? Null keys are not. Keys must all be in the universe."""
+def with_listed(rows: DataFrame, key: str, listed: DataFrame, name: str = "listed", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """rows with a boolean: is the key in the first column of `listed`? Null keys are not.
+
+    The list may hold keys that no row has, nulls and repeated keys.
+    """
+    keys = listed.select(F.col(listed.columns[0]).cast("string").alias("key"))
+    universe = rows.select(F.col(key).alias("key"), F.lit(False).alias("listed")).unionByName(keys.select("key", F.lit(True).alias("listed")))
     found = cascade(universe, most_bytes)
     if found is None:
-        listed = universe.filter("listed").select(F.col("key").alias("__key")).distinct().withColumn(name, F.lit(True))
-        return rows.join(listed, rows[key] == listed["__key"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("__key")
+        keys = keys.select(F.col("key").alias("__key")).distinct().withColumn(name, F.lit(True))
+        return rows.join(keys, rows[key] == keys["__key"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("__key")
     sent = rows.sparkSession.sparkContext.broadcast(found)
 
     @F.pandas_udf("boolean")
@@ -143,16 +147,16 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return rule, verdict
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, listed: str = LISTED_HOST, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """page_id, host, path, rule, verdict for every row of pages.
+def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """page_id, host, path, rule, verdict for every row of pages; `listed` is a table of hosts.
 
     Without a fitting rule, a page is blocked if its host is listed. Null and
     odd urls have an empty host and path, which no rule fits; repeated rows are
-    judged alike; other columns are ignored.
+    judged alike; other columns are ignored, whatever their names. Empty pages
+    give no rows, an empty list blocks nothing.
     """
     host, path = url_parts(pages["url"])
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    universe = rows.groupBy(F.col("host").alias("key")).agg(F.first(F.col("host").rlike(listed)).alias("listed"))
-    rows = with_listed(rows, "host", universe, "listed", most_bytes)
+    rows = with_listed(rows, "host", listed, "listed", most_bytes)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))

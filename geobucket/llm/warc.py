@@ -55,14 +55,19 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def inflated(read, chunk: int = CHUNK) -> Iterator[bytes]:
-    """The content of a gzip file of one or more members, inflated in one pass."""
+    """The content of a gzip file of one or more members, inflated in one pass, at most `chunk` bytes at a time."""
     z, ended = zlib.decompressobj(31), True
     while data := read(chunk):
-        while data:
-            yield z.decompress(data)
-            data, ended = z.unused_data, z.eof
+        while data or not (ended or z.eof):
+            out = z.decompress(data, chunk)
+            ended = z.eof
+            data = z.unused_data if ended else z.unconsumed_tail
+            if out:
+                yield out
             if ended:
                 z = zlib.decompressobj(31)
+            elif not data and len(out) < chunk:
+                break
     if not ended:
         raise ValueError("gzip stream is cut off")
 
@@ -233,11 +238,27 @@ def _row(rec: bytes) -> dict:
     return {"page_id": _page(head["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": head["warc-type"], "refers_to": _page(head.get("warc-refers-to")), "target_uri": head.get("warc-target-uri")}
 
 
+def resolved(rows: DataFrame) -> DataFrame:
+    """rows of records; a revisit whose response is missing, or has another digest or size, is an error. Only ids, digests and sizes are shuffled."""
+    own = rows.filter("record_type = 'response'").select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), F.col("payload_bytes").alias("__bytes")).distinct()
+    met = (F.col("refers_to") == F.col("__id")) & (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes"))
+    lost = (F.col("record_type") == "revisit") & F.col("__id").isNull()
+    said = F.concat(F.lit("a revisit does not match its response: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))
+    return rows.join(own, met, "left").withColumn("record_type", F.when(lost, F.raise_error(said)).otherwise(F.col("record_type"))).select(rows.columns)
+
+
 def archived_pages(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Writes, normalises and reads back all pages; the monolithic files are deleted once they are rewritten."""
+    """Writes, normalises and reads back all pages; the monolithic files are deleted once they are rewritten.
+
+    Sizes and digests of responses come from the payloads that are read, those
+    of revisits are held against their response. A null html is an empty
+    payload, a null url has no target, a null page_id no number; rows that
+    repeat a page are records of their own; other columns are ignored. An empty
+    table gives no rows.
+    """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
     whole = write_archives(pages, f"{folder}/whole", file_bytes)
     members = normalise(whole, f"{folder}/members")
     dropped(spark, f"{folder}/whole")
-    return read_archives(members)
+    return resolved(stored(read_archives(members), "records"))
