@@ -13,6 +13,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_no", first: int =
 
     Rows are dealt by range and numbered in place; each partition starts after
     the sizes of those before it. Only one count a partition reaches the driver.
+    `total` of the result is the number of rows.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id())
     kept = stored(ranged.withColumns({"__part": F.shiftrightunsigned("__n", 33), "__at": F.col("__n").bitwiseAND((1 << 33) - 1)}).drop("__n"), "numbered")
@@ -22,4 +23,6 @@ def numbered(df: DataFrame, order: list[str], name: str = "row_no", first: int =
         starts.append((part, total))
         total += n
     parts = df.sparkSession.createDataFrame(starts, "__part long, __start long")
-    return kept.join(F.broadcast(parts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    out = kept.join(F.broadcast(parts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
+    out.total = total - first
+    return out
