@@ -56,7 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result is a table in the shared folder."""
+    """The stages applied to documents; each result is a table in the shared folder.
+
+    Rows with null or empty texts go in the first stage; columns besides those
+    of documents, whatever their names, reach all but the last stage; an empty
+    table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))

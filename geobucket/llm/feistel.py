@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, stored
+from ..operators.numbering import numbered as numbered_rows
+from .common import mixed
 
 ROUNDS = 8
 
@@ -51,27 +52,6 @@ class Feistel:
         return self._walk(x, True)
 
 
-def row_numbers(df: DataFrame, order: list[str | Column], name: str = "row_number") -> DataFrame:
-    """df with dense global numbers from 0 in the given order.
-
-    One range shuffle; each partition is numbered in place and shifted by the
-    sizes of those before it. The written table fixes the partitions, so a
-    task that runs again gives the same numbers. Only one count a partition
-    reaches the driver.
-    """
-    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__n", F.monotonically_increasing_id())
-    kept = stored(numbered.withColumns({"__part": F.shiftrightunsigned("__n", 33), "__at": F.col("__n").bitwiseAND((1 << 33) - 1)}).drop("__n"), "numbered")
-    sizes = {r[0]: r[1] for r in kept.groupBy("__part").count().collect()}
-    total, before = 0, []
-    for part in sorted(sizes):
-        before.append((part, total))
-        total += sizes[part]
-    starts = df.sparkSession.createDataFrame(before or [(0, 0)], "__part long, __start long")
-    out = kept.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__at", "__start")
-    out.total = total
-    return out
-
-
 def sharded(rows: DataFrame, order: list[str], shards: int = 40, seed: int = 2024) -> DataFrame:
     """rows with `shard` and `slot`, law `rows`.
 
@@ -79,7 +59,7 @@ def sharded(rows: DataFrame, order: list[str], shards: int = 40, seed: int = 202
     no difference. Nulls come first. An empty table gives no rows. rows must
     be narrow: only what the order and the result need is shuffled.
     """
-    numbered = row_numbers(rows, order, "__row")
+    numbered = numbered_rows(rows, order, "__row", 0)
     n = numbered.total
 
     @F.pandas_udf("long")

@@ -166,7 +166,9 @@ def speaking_texts(docs: DataFrame, sketches: DataFrame, nodes: DataFrame) -> Da
     wanted = stored(sketches.groupBy("node").agg(F.min("doc_id").alias("speaker")).join(nodes.select("node"), "node"), "wanted")
     few = wanted.count() <= SENT_NODES
     found = texts.join(F.broadcast(wanted) if few else wanted, (F.col("own") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("speaker")))
-    return stored(found.select("node", "words").dropDuplicates(["node"]), "texts")
+    found = stored(found.select("node", "words").dropDuplicates(["node"]), "texts")
+    dropped(docs.sparkSession, wanted.scratch)
+    return found
 
 
 def _cell_counts(nodes: DataFrame) -> np.ndarray:
@@ -185,14 +187,13 @@ def _cell_counts(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_pairs(nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """All pairs (a, b) of nodes (node, words, class, open) that may be similar, of different classes and with a open.
+def prefix_rows(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """The prefixes of nodes (node, words, class, open): a row for each shingle that two similar nodes may have as the first common one.
 
     Any total order of shingles is right; one by counts makes prefixes rare. Of
     two similar nodes let i be the first common shingle. The common ones weigh
     no more than what either has from i on (`rest`), and that must be `least`
-    of the node's size; for weights of 1 both together must reach
-    least / (1 + least) of the sum of sizes.
+    of the node's size. `more` is what these weigh above 1 each.
     """
     sent = nodes.sparkSession.sparkContext.broadcast(_cell_counts(nodes))
 
@@ -204,19 +205,31 @@ def prefix_pairs(nodes: DataFrame, least: float = LEAST) -> DataFrame:
             order = np.lexsort((sh, n, text))
             text, sh, weight, n = text[order], sh[order], weight[order], n[order]
             size = np.bincount(text, weight, b.num_rows)
-            flat = np.bincount(text, weight != 1, b.num_rows) == 0
             rest = np.cumsum(size)[text] - (np.cumsum(weight) - weight)
+            above = weight - 1
+            more = np.cumsum(np.bincount(text, above, b.num_rows))[text] - (np.cumsum(above) - above)
             keep = (n > 1) & (rest >= least * size[text] - 1e-6)
             text = text[keep]
             own = b.drop_columns(["words"]).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sh[keep].view(np.int64)), pa.array(rest[keep]), pa.array(size[text]), pa.array(flat[text])], [*own.schema.names, "sh", "rest", "size", "flat"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(sh[keep].view(np.int64)), pa.array(rest[keep]), pa.array(size[text]), pa.array(more[keep])], [*own.schema.names, "sh", "rest", "size", "more"])
 
-    rows = nodes.select("node", "class", "open", "words").mapInArrow(prefixes, "node binary, class binary, open boolean, sh long, rest double, size double, flat boolean")
-    rows = stored(rows, "prefixes")
-    a = rows.filter("open").select("sh", *[F.col(c).alias(f"a_{c}") for c in ("node", "class", "rest", "size", "flat")])
-    enough = F.least("a_rest", "rest") >= least / (1 + least) * (F.col("a_size") + F.col("size")) - 1e-6
+    return nodes.select("node", "class", "open", "words").mapInArrow(prefixes, "node binary, class binary, open boolean, sh long, rest double, size double, more double")
+
+
+def prefix_pairs(rows: DataFrame, least: float = LEAST) -> DataFrame:
+    """All pairs (a, b) of nodes with prefixes `rows` that may be similar, of different classes and with a open.
+
+    With C the common shingles, A and B the sizes, and weights of 1 or more,
+    the similarity is at most sum over C of max(a_i, b_i), over
+    A + B - max(sum over C of a_i, sum over C of b_i). A sum over C is at most
+    the node's own rest, and the other's rest with the own weights above 1.
+    """
+    a = rows.filter("open").select("sh", *[F.col(c).alias(f"a_{c}") for c in ("node", "class", "rest", "size", "more")])
+    one, other = F.col("a_rest") + F.col("more"), F.col("rest") + F.col("a_more")
+    common = F.greatest(F.least("a_rest", other), F.least("rest", one))
+    enough = F.least(one, other) >= least * (F.col("a_size") + F.col("size") - common) - 1e-6
     once = ~F.col("open") | (F.col("a_node") < F.col("node"))
-    pairs = a.join(rows, (a["sh"] == rows["sh"]) & (F.col("a_class") != F.col("class")) & once & (enough | ~F.col("a_flat") | ~F.col("flat")))
+    pairs = a.join(rows, (a["sh"] == rows["sh"]) & (F.col("a_class") != F.col("class")) & once & enough)
     return pairs.select(F.col("a_node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -243,10 +256,13 @@ def linked(docs: DataFrame, sketches: DataFrame, least: float = LEAST) -> DataFr
     main = by_class.groupBy("bucket").agg(F.max(F.struct("n", "class")).alias("main"), F.count("*").alias("classes")).filter("classes > 1")
     met = now.join(main.select("bucket", F.col("main.class").alias("main")), "bucket")
     met = stored(met.groupBy("node").agg(F.first("class").alias("class"), F.bool_or(F.col("class") != F.col("main")).alias("open")), "met")
-    more = stored(verified(prefix_pairs(met.join(texts, "node"), least), texts, least), "links")
+    met_texts = met.join(texts, "node")
+    prefixes = stored(prefix_rows(met_texts, least), "prefixes")
+    more = stored(verified(prefix_pairs(prefixes, least), texts, least), "links")
     if not more.isEmpty():
-        classes = components(links.unionByName(more))
-    dropped(spark, texts.scratch, now.scratch, members.scratch)
+        old, classes = classes, components(links.unionByName(more))
+        dropped(spark, old.scratch)
+    dropped(spark, *[x.scratch for x in (texts, now, members, pivots, links, met, prefixes, more)])
     return classes
 
 
@@ -268,7 +284,11 @@ def duplicate_classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of docs for each class, the one of the least doc_id, with all columns; rows without words all stay."""
+    """One row of docs for each class, the one of the least doc_id, with all columns; rows without words all stay.
+
+    A row with a null doc_id stays only if no row of its class has an id; an
+    empty table gives no rows; columns of any names are kept.
+    """
     found = stored(duplicate_classes(docs, least), "classes")
     # of rows that share the least doc_id of a class, different texts included, one stays
     keep = found.filter("node is not null and doc_id <=> class_id").groupBy("class", "doc_id", "node").agg(F.count("*").alias("n"))

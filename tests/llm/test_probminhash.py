@@ -115,3 +115,16 @@ def test_deduplicated_keeps_columns_and_one_row(spark):
     rows = got.collect()
     assert sorted(r.doc_id for r in rows) == [1, 3]
     assert M.deduplicated(df.limit(0)).count() == 0
+
+
+def test_candidates_of_a_family_with_repeated_lines(spark):
+    """Texts that share some 70 % of their shingles, a few of them repeated, meet in few candidate pairs, and in none of the links."""
+    rng, n = random.Random(5), 300
+    base = [f"b{i}" for i in range(100)]
+    rows = [(i, " ".join([*base, "same line of words here", "same line of words here", *[f"u{i}.{k}" for k in range(45)]])) for i in range(n)]
+    rng.shuffle(rows)
+    own = spark.createDataFrame(rows, SCHEMA).selectExpr("unhex(md5(text)) AS node", "unhex(md5(text)) AS class", "true AS open", "text AS words")
+    assert by_definition(weights(rows[0][1]), weights(rows[1][1])) < 0.75
+    assert M.prefix_pairs(M.prefix_rows(own)).count() < n
+    near = [" ".join([*base, "same line of words here", "same line of words here", *[f"u{i}.{k}" for k in range(9)]]) for i in range(8)]
+    assert classes(spark, list(enumerate(near))) == brute(list(enumerate(near)))
