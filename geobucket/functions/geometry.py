@@ -88,11 +88,16 @@ def _whole(members: Column) -> Column:
     return _let(members, lambda x: F.when(F.forall(x, lambda m: m.isNotNull()), x))
 
 
+def _collection(members: Column) -> Column:
+    """The members of a collection, after one of type 0 without a shape, so that one of a single member is no plain geometry."""
+    return F.concat(F.array(F.struct(F.lit(0).alias("type"), F.array().cast(_SHAPE).alias("shape"))), members)
+
+
 def parse_geojson(text: Column, precision: str = "double") -> Column:
     """Members of a GeoJSON geometry; null if it is malformed."""
     schema = "type string, coordinates string, geometries array<struct<type:string,coordinates:string>>"
     inner = lambda g: F.transform(g["geometries"], lambda m: _member(m["type"], m["coordinates"], precision))
-    members = lambda g: F.when(g["type"] == "GeometryCollection", inner(g)).otherwise(F.array(_member(g["type"], g["coordinates"], precision)))
+    members = lambda g: F.when(g["type"] == "GeometryCollection", _collection(inner(g))).otherwise(F.array(_member(g["type"], g["coordinates"], precision)))
     return _whole(_let(F.from_json(text, schema), members))
 
 
@@ -124,7 +129,7 @@ def parse_wkt(text: Column, precision: str = "double") -> Column:
     nested = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
     body = F.regexp_extract(text, r"(?i)^\s*GEOMETRYCOLLECTION\s*\((.*)\)\s*$", 1)
     inner = F.transform(F.regexp_extract_all(body, F.lit(rf"([A-Za-z]+\s*{nested})"), 1), lambda m: _wkt_member(m, precision))
-    return _whole(F.when(text.rlike(r"(?i)^\s*GEOMETRYCOLLECTION"), inner).otherwise(F.array(_wkt_member(text, precision))))
+    return _whole(F.when(text.rlike(r"(?i)^\s*GEOMETRYCOLLECTION"), _collection(inner)).otherwise(F.array(_wkt_member(text, precision))))
 
 
 def _wkb_text(raw: bytes, at: int = 0) -> tuple[str, int]:

@@ -19,13 +19,30 @@ STATUSES = ("Pending", "confirmed", "Delivered")
 def discounted(price: Column, percent: Column) -> Column:
     """price less percent, truncated toward zero."""
     hundredths = price.cast("bigint") * (100 - percent)
-    return ((hundredths - hundredths % 100) / 100).cast("bigint")
+    return F.floor(hundredths.cast("decimal(20,0)") / 100).cast("bigint") + F.when((hundredths < 0) & (hundredths % 100 != 0), 1).otherwise(0)  # decimals are exact
 
 
 def item_by_index(items: DataFrame, order: str, index: int) -> DataFrame:
     """The item at a position from 0 in the order of a column, as JSON; no row beyond the end."""
-    rows = numbered(items, [order], "__no", 0).filter(F.col("__no") == index)
-    return rows.select(F.col("__no").alias("i"), F.to_json(F.struct(*items.columns)).alias("json"))
+    row = items.orderBy(order).offset(index).limit(1)
+    return row.select(F.lit(index).cast("long").alias("i"), F.to_json(F.struct(*items.columns)).alias("json"))
+
+
+def row_by_key(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The rows of one key; the filter reaches the scan."""
+    return rows.filter(F.col(key) == F.lit(value))
+
+
+def views_of(views: DataFrame, items: DataFrame, item_id: int) -> DataFrame:
+    """Rows of views that belong to an item that exists."""
+    return row_by_key(views, "id", item_id).join(row_by_key(items, "id", item_id), "id", "left_semi")
+
+
+def exists(rows: DataFrame, **values: object) -> DataFrame:
+    """One row: does any row have all these values?"""
+    for key, value in values.items():
+        rows = row_by_key(rows, key, value)
+    return rows.limit(1).agg((F.count("*") > 0).alias("found"))
 
 
 def request_fields(request: Column) -> list[Column]:

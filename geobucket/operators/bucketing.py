@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..plans.scratch import stored
+from ..plans.scratch import dropped, stored
 
 #: Rows a bucket at the first load, rows beyond which a bucket is split, quantile error.
 TARGET, MOST, REL_ERROR = 64, 128, 0.001
@@ -151,18 +153,21 @@ def split_labels(df: DataFrame, key: str, label: str = "bucket_min", most: int =
     """(old_label, key, label, cnt): oversize buckets are halved at their median until none can be split.
 
     Rows of equal key stay together, so all work is on the histogram of keys,
-    one job a round for all buckets. A bucket of a single key can't be split
-    and stays. Rows with a null key or label are left out.
+    one round for all buckets; labels that can't be split further are set aside
+    and not read again. A bucket of a single key can't be split and stays. Rows
+    with a null key or label are left out.
     """
     old = df.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("old_label"), key).agg(F.count("*").alias("cnt"))
-    now, done = stored(old.withColumn(label, F.col("old_label")), "histogram"), 0
+    now, done, settled = stored(old.withColumn(label, F.col("old_label")), "histogram"), 0, []
     while rounds is None or done < rounds:
         points = stored(split_points(now.groupBy(label, key).agg(F.sum("cnt").alias("cnt")), label, key, most), "splits")
         if points.isEmpty():
             break
-        now = stored(relabelled(now, points, label, key).select("old_label", key, label, "cnt"), "histogram")
-        done += 1
-    return now
+        settled.append(stored(now.join(points, label, "left_anti").select("old_label", key, label, "cnt"), "settled"))
+        moved = stored(relabelled(now.join(points, label, "left_semi"), points, label, key).select("old_label", key, label, "cnt"), "histogram")
+        dropped(df.sparkSession, now.scratch, points.scratch)
+        now, done = moved, done + 1
+    return functools.reduce(DataFrame.unionByName, settled, now)
 
 
 def split_oversize(df: DataFrame, key: str, label: str = "bucket_min", most: int = MOST) -> DataFrame:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +13,7 @@ from ..functions.geometry import with_geometry
 from ..operators import bucketing as B
 from ..sources.formats import geometry_column, read_by_extension
 from . import tables
-from .scratch import stored
+from .scratch import dropped, stored
 from .tables import TableSpec
 
 BUCKET, KEY = "bucket_min", "geohash_numeric"
@@ -35,51 +34,73 @@ def refined(raw: DataFrame, fmt: str = "geojson", features: Iterable[str] = ("ge
     return rows.withColumn(KEY, geohash_to_long(F.col(name)["geohash"]))
 
 
-def load_bronze(spark: SparkSession, path: str, bronze: TableSpec) -> DataFrame:
-    """Appends a raw file to the bronze table, which is created where absent; returns the raw rows."""
-    raw = read_by_extension(spark, path)
-    tables.create_table(spark, bronze, raw.schema)
-    tables.append(raw, bronze)
-    return raw
+def _to_bronze(raw: DataFrame, bronze: TableSpec) -> int:
+    """Appends raw rows to the bronze table, which is created where absent; returns their number, counted by the write itself."""
+    seen = Observation()
+    tables.create_table(raw.sparkSession, bronze, raw.schema)
+    tables.append(raw.observe(seen, F.count(F.lit(1)).alias("n")), bronze)
+    return seen.get["n"]
 
 
-def initial_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), target: int = B.TARGET, rel_error: float = B.REL_ERROR) -> int:
-    """Loads a file into new tables; returns how many rows had no valid geometry. The file is parsed once."""
-    raw = load_bronze(spark, path, bronze)
-    rows = stored(refined(raw, fmt, features), "refined")
+def _by_bucket(laid: DataFrame) -> DataFrame:
+    """Rows of a bucket together, ordered for row-group pruning; a bucket too large for one task is spread over several."""
+    return laid.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, KEY)
+
+
+def initial_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), target: int = B.TARGET, rel_error: float = B.REL_ERROR, properties: list[str] | None = None) -> int:
+    """Loads a file into new tables; returns how many rows had no valid geometry.
+
+    A geometry column that the format can't read is an error before anything is written.
+    """
+    raw = read_by_extension(spark, path, properties=properties)
+    good = refined(raw, fmt, features)
+    n = _to_bronze(raw, bronze)
+    rows = stored(good, "refined")
     laid = B.equi_depth_bucket(rows, KEY, BUCKET, target, rel_error)
-    _publish(spark, laid, silver)
-    return raw.count() - rows.count()
+    tables.create_table(spark, silver, laid.schema, partitioned_by=[BUCKET])
+    tables.append(_by_bucket(laid), silver)
+    lost = n - rows.count()
+    dropped(spark, rows.scratch)
+    return lost
 
 
-def incremental_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), most: int = B.MOST) -> DataFrame:
+def bucket_labels(spark: SparkSession, silver: TableSpec) -> DataFrame:
+    """The labels of the table's partitions, from the catalog alone."""
+    found = spark.sql(f"SHOW PARTITIONS {silver.name}")
+    return found.select(F.regexp_extract("partition", rf"^{BUCKET}=(-?\d+)$", 1).alias("x")).filter("x != ''").select(F.col("x").cast("long").alias(BUCKET))
+
+
+def incremental_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), most: int = B.MOST, properties: list[str] | None = None) -> DataFrame:
     """Adds a file: rows go to the nearest lower bucket, then oversize buckets are split; returns the new bucket counts.
 
-    The new layout is staged and published in one step, so nothing that is
-    read is overwritten.
+    Only the buckets that got rows are read and written again: their new rows
+    are staged, then replace these partitions in one step. A bucket whose label
+    is not among the new ones (its keys lie below it) is dropped.
     """
-    rows = stored(refined(load_bronze(spark, path, bronze), fmt, features), "refined")
-    old = spark.table(silver.name)
-    added = B.assign_to_existing(rows, KEY, B.bucket_counts(old, BUCKET), BUCKET)
-    laid = B.split_oversize(stored(old.unionByName(added), "joined"), KEY, BUCKET, most)
-    _publish(spark, laid, silver)
+    raw = read_by_extension(spark, path, properties=properties)
+    good = refined(raw, fmt, features)
+    _to_bronze(raw, bronze)
+    added = stored(B.assign_to_existing(good, KEY, bucket_labels(spark, silver), BUCKET), "added")
+    touched = stored(added.filter(F.col(BUCKET).isNotNull()).select(BUCKET).distinct(), "touched")
+    old = spark.table(silver.name).join(touched, BUCKET, "left_semi")
+    laid = stored(B.split_oversize(stored(old.unionByName(added), "joined"), KEY, BUCKET, most), "laid")
+    tables.overwrite_partitions(_by_bucket(laid), silver)
+    for (label,) in touched.join(laid, BUCKET, "left_anti").collect():
+        spark.sql(f"ALTER TABLE {silver.name} DROP IF EXISTS PARTITION ({BUCKET} = {label})")
+    dropped(spark, added.scratch, touched.scratch, laid.scratch)
     return B.bucket_counts(spark.table(silver.name), BUCKET)
 
 
-def _publish(spark: SparkSession, laid: DataFrame, silver: TableSpec) -> None:
-    staged = TableSpec(silver.database, f"{silver.table}_{uuid.uuid4().hex}")
-    tables.create_table(spark, staged, laid.schema, partitioned_by=[BUCKET])
-    # a bucket's rows are written by one task, ordered for row-group pruning
-    tables.append(laid.repartition(BUCKET).sortWithinPartitions(BUCKET, KEY), staged)
-    tables.publish(spark, silver, staged.name)
-
-
-def in_key_range(silver: DataFrame, least: int, most: int, label: str = BUCKET, key: str = KEY) -> DataFrame:
-    """Rows with keys in a range; the lowest bucket is open below, so partitions are pruned by their upper neighbours.
+def in_key_range(spark: SparkSession, silver: TableSpec, least: int, most: int) -> DataFrame:
+    """Rows of a table with keys in a range, from the buckets that may hold some.
 
-    The label of the last bucket at or below `least` is found from the partition values alone.
+    They are found from the partition list of the catalog; the lowest bucket
+    is open below. Two labels reach the driver.
     """
-    labels = sorted(r[0] for r in silver.select(label).distinct().collect())
-    below = [x for x in labels if x <= least]
-    first = below[-1] if below else (labels[0] if labels else 0)
-    return silver.filter((F.col(label) >= first) & ((F.col(label) <= most) | (F.col(label) == F.lit(labels[0] if labels else 0))) & F.col(key).between(least, most))
+    labels = bucket_labels(spark, silver)
+    lowest, first = labels.agg(F.min(BUCKET), F.max(F.when(F.col(BUCKET) <= least, F.col(BUCKET)))).first()
+    rows = spark.table(silver.name).filter(F.col(KEY).between(least, most))
+    if lowest is None:
+        return rows
+    first = lowest if first is None else first
+    return rows.filter((F.col(BUCKET) >= first) & ((F.col(BUCKET) <= most) | (F.col(BUCKET) == lowest)))

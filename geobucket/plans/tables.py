@@ -50,8 +50,3 @@ def overwrite_partitions(df: DataFrame, spec: TableSpec) -> None:
         df.select(*spark.table(spec.name).columns).write.insertInto(spec.name, overwrite=True)
     finally:
         spark.conf.set(key, before)
-
-
-def publish(spark: SparkSession, spec: TableSpec, staged: str) -> None:
-    """Points the view of a table at a staged one; readers see the old or the new rows, never both."""
-    spark.sql(f"CREATE OR REPLACE VIEW {spec.name} AS SELECT * FROM {staged}")

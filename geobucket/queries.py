@@ -18,7 +18,7 @@ from .functions import store as S
 from .operators import bucketing as B
 from .operators import graph, rules
 from .operators.numbering import numbered
-from .plans import tables
+from .plans import pipeline, tables
 from .plans.scratch import scratch_path, stored
 from .plans.tables import TableSpec
 from .sources import database, edges, formats
@@ -299,6 +299,53 @@ def _fresh(spark: SparkSession, df: DataFrame, partitioned_by: list[str]) -> Tab
     return spec
 
 
+def _feature_file(rows: DataFrame, name: str) -> str:
+    """Points (event_id, lon, lat) as a folder of feature lines."""
+    path = f"{scratch_path(rows.sparkSession, name)}.geojson"
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(F.col("event_id").cast("string").alias("event_id")).alias("properties"))
+    rows.select(F.to_json(feature).alias("value")).write.text(path)
+    return path
+
+
+def _loaded(spark: SparkSession, sf_dir: str) -> tuple[TableSpec, TableSpec]:
+    """Bronze and silver tables of events with even ids, by an initial load."""
+    tag = f"{spark.sparkContext.applicationId.replace('-', '_')}_{next(_SERIAL)}"
+    bronze, silver = (TableSpec("default", f"geobucket_{x}_{tag}") for x in ("bronze", "silver"))
+    for t in (bronze, silver):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+    pipeline.initial_load(spark, _feature_file(points(spark, sf_dir).filter("event_id % 2 = 0"), "first"), bronze, silver, properties=["event_id"])
+    return bronze, silver
+
+
+_SHOWN = ("CAST(event_id AS bigint) AS event_id", "geohash_numeric", "bucket_min")
+
+
+_EVEN = _XY.replace("keyed AS", "all_keyed AS") + ", keyed AS (SELECT * FROM all_keyed WHERE event_id % 2 = 0)"
+
+
+@_query(f"""WITH {_EVEN}, {_SPLITS}, own AS (SELECT DISTINCT split::BIGINT AS s FROM splits WHERE split_no < (SELECT b FROM b))
+SELECT event_id, geohash_numeric, s AS bucket_min FROM keyed ASOF JOIN own ON geohash_numeric >= s""")
+def initial_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even events from feature lines to bronze and silver."""
+    return spark.table(_loaded(spark, sf_dir)[1].name).selectExpr(*_SHOWN)
+
+
+@_query()
+def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd events added to the silver table of the even ones, with splits of oversize buckets."""
+    bronze, silver = _loaded(spark, sf_dir)
+    pipeline.incremental_load(spark, _feature_file(points(spark, sf_dir).filter("event_id % 2 = 1"), "second"), bronze, silver, properties=["event_id"])
+    return spark.table(silver.name).selectExpr(*_SHOWN)
+
+
+@_query(f"WITH {_XY} SELECT event_id, geohash_numeric FROM keyed WHERE event_id % 2 = 0 AND geohash_numeric BETWEEN 200000000 AND 500000000")
+def key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the silver table in a range of keys, from the buckets that may hold them."""
+    silver = _loaded(spark, sf_dir)[1]
+    return pipeline.in_key_range(spark, silver, 200000000, 500000000).selectExpr(*_SHOWN[:2])
+
+
 @_query(f"WITH {_LAID} SELECT event_id, geohash_numeric, bucket_min FROM laid")
 def bronze_silver_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table partitioned by bucket, filled by two appends and read back."""
@@ -533,6 +580,22 @@ def discount_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", S.discounted(price, percent).alias("discounted"))
 
 
+@_query("SELECT * FROM part WHERE p_partkey = 77")
+def item_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.row_by_key(_table(spark, sf_dir, "part"), "p_partkey", 77)
+
+
+@_query("SELECT l_partkey AS id, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = 77 AND EXISTS (SELECT 1 FROM part WHERE p_partkey = 77)")
+def views_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_orderkey", "l_linenumber")
+    return S.views_of(views, _table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id"), 77)
+
+
+@_query("SELECT count(*) > 0 AS found FROM customer WHERE c_custkey = 42 AND c_nationkey = 7")
+def user_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.exists(_table(spark, sf_dir, "customer"), c_custkey=42, c_nationkey=7)
+
+
 @_query("SELECT 41::BIGINT AS i, '{\"p_partkey\":' || p_partkey || ',\"p_size\":' || p_size || '}' AS json FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1 OFFSET 41)")
 def item_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.item_by_index(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 41)

@@ -44,11 +44,11 @@ def collections_to_lines(spark: SparkSession, folder: str, target: str) -> DataF
     return rows.groupBy("file", "lines_file").agg(F.count("*").alias("features"))
 
 
-def read_by_extension(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """GeoJSON lines, Parquet or CSV by the lower-cased extension; anything else is a ValueError."""
+def read_by_extension(spark: SparkSession, path: str, header: bool = True, properties: list[str] | None = None) -> DataFrame:
+    """GeoJSON lines (with the named properties as columns), Parquet or CSV by the lower-cased extension; anything else is a ValueError."""
     low = path.lower().rstrip("/")
     if low.endswith((".json", ".geojson")):
-        return read_geojson_lines(spark, path)
+        return read_geojson_lines(spark, path, properties)
     if low.endswith(".parquet"):
         return spark.read.parquet(path)
     if low.endswith(".csv"):
