@@ -187,7 +187,7 @@ class Model:
         count, before = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for s, run in _by_shard(shard_of(words, self.shards), self.shards):
             if self.unigrams[s]:
-                keys, n, m = _mapped(self.unigrams[s], "u8 u4 u4")
+                keys, n, m = _mapped(self.unigrams[s], "u8 i8 i8")
                 if len(keys):  # a shard may hold no word but BEGIN
                     at, there = _found(keys, words[run])
                     count[run], before[run] = np.where(there, n[at], 0), np.where(there, m[at], 0)
@@ -199,7 +199,7 @@ class Model:
         stats = np.zeros((len(words), 4), np.int64)
         for s, run in _by_shard(shard_of(words, self.shards), self.shards):
             if self.bigrams[s]:
-                keys, *four = _mapped(self.bigrams[s][2], "u8 u4 u4 u4 u4")
+                keys, *four = _mapped(self.bigrams[s][2], "u8 i8 i8 i8 i8")
                 at, there = _found(keys, words[run])
                 stats[run] = np.stack([np.where(there, x[at], 0) for x in four], axis=1) if len(keys) else 0
         at, there = _found(self.split[0], words)
@@ -214,7 +214,7 @@ class Model:
             if self.bigrams[s]:
                 at_ = order[run]
                 once = _mapped(self.bigrams[s][0], "u8")[0]
-                keys, n = _mapped(self.bigrams[s][1], "u8 u4")
+                keys, n = _mapped(self.bigrams[s][1], "u8 i8")
                 own = np.where(_found(once, key[at_])[1], 1, 0)
                 at, there = _found(keys, key[at_])
                 if len(keys):
@@ -259,7 +259,7 @@ def train(docs: DataFrame) -> Model:
         ways = {str(k): int(-(-v // most)) for k, v in zip(keys[n > most], n[n > most])}
         own = keys != BEGIN
         keys, n = keys[own], n[own]
-        meta = {"path": _write(folder, "words", keys, n.astype("u4")), "words": len(keys), "total": int(n.sum()), "split": ways}
+        meta = {"path": _write(folder, "words", keys, n.astype("i8")), "words": len(keys), "total": int(n.sum()), "split": ways}
         return pa.Table.from_batches([_batch([{"shard": table["shard"][0].as_py(), "kind": "meta", "meta": json.dumps(meta)}])])
 
     counted = texts.mapInArrow(count_words, BLOBS).groupBy("shard").applyInArrow(word_shard, BLOBS)
@@ -297,8 +297,8 @@ def train(docs: DataFrame) -> Model:
         first, i = np.unique(b, return_inverse=True)
         stats = np.stack([np.bincount(i, w, len(first)).astype(np.int64) for w in (n, once, n == 2, n > 2)], axis=1)
         there = _found(model.split[0], first)[1]
-        whole = first[~there], *stats[~there].astype("u4").T
-        paths = [_write(folder, "once", keys[once]), _write(folder, "pairs", keys[~once], n[~once].astype("u4")), _write(folder, "contexts", *whole)]
+        whole = first[~there], *stats[~there].astype("i8").T
+        paths = [_write(folder, "once", keys[once]), _write(folder, "pairs", keys[~once], n[~once].astype("i8")), _write(folder, "contexts", *whole)]
         meta = {"bigrams": paths, "of_counts": _of_counts(n), "split": [[str(k), *map(int, v)] for k, v in zip(first[there], stats[there])]}
         after, m = np.unique(c, return_counts=True)
         rows = [{"shard": table["shard"][0].as_py(), "kind": "meta", "meta": json.dumps(meta)}]
@@ -309,12 +309,12 @@ def train(docs: DataFrame) -> Model:
         rows, s = table.to_pylist(), table["shard"][0].as_py()
         out = [r for r in rows if r["kind"] == "meta"]
         if s in word_paths:
-            keys, n = _mapped(word_paths[s], "u8 u4")
+            keys, n = _mapped(word_paths[s], "u8 i8")
             m = np.zeros(len(keys), np.int64)
             for r in rows:
                 if r["kind"] == "after":
                     m[np.searchsorted(keys, np.frombuffer(r["keys"], "u8"))] += np.frombuffer(r["n"], "u4")
-            meta = {"unigrams": _write(folder, "unigrams", keys, n, m.astype("u4")), "of_counts": _of_counts(m), "many": int((m > 2).sum()), "sum": int(m.sum())}
+            meta = {"unigrams": _write(folder, "unigrams", keys, n, m.astype("i8")), "of_counts": _of_counts(m), "many": int((m > 2).sum()), "sum": int(m.sum())}
             out.append({"shard": s, "kind": "meta", "meta": json.dumps(meta)})
         return pa.Table.from_batches([_batch(out)])
 

@@ -275,3 +275,10 @@ def test_scores(spark, texts, odd):
     check_scores(llm.op6_kneser_ney(spark, str(SF)), texts)
     check_scores(kneser_ney.score_documents(odd), ODD_ROWS)
     assert kneser_ney.score_documents(odd.limit(0)).count() == 0
+
+
+def test_counts_beyond_32_bits_are_kept(tmp_path):
+    """Counts in the model's files are 64-bit."""
+    keys, n = np.array([3, 9], np.uint64), np.array([2**32 + 5, 7], np.int64)
+    model = kneser_ney.Model(1, total=2**33, words=2, unigrams=[kneser_ney._write(str(tmp_path), "unigrams", keys, n, n)], continuations=2**33)
+    assert model.unigram(keys)[0].tolist() == n.tolist()
