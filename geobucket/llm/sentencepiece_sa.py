@@ -271,27 +271,20 @@ def _in_blocks(chunk: str, p: Pieces, block: int = BLOCK) -> np.ndarray:
 
 def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all chunks, one after the other, and the number of ids of each."""
+    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    # cuts: before and after each long chunk, and where a group would grow beyond SLICE
+    long = np.flatnonzero(lengths > BLOCK)
+    group = np.cumsum(lengths) // SLICE
+    cuts = np.unique(np.concatenate([[0, len(chunks)], long, long + 1, 1 + np.flatnonzero(np.diff(group))]))
     all_ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(chunks), np.int64)
-    group, held = [], 0
-
-    def flush() -> None:
-        if group:
-            _, _, counts, ids, symbols = _symbols([chunks[i] for i in group], p)
-            sizes[group] = np.bincount(np.repeat(np.arange(len(group)), symbols), counts, len(group))
-            all_ids.append(ids)
-
-    for i, c in enumerate(chunks):
-        if group and (held + len(c) > SLICE or len(c) > BLOCK):
-            flush()
-            group, held = [], 0
-        if len(c) > BLOCK:
-            ids = _in_blocks(c, p)
-            all_ids.append(ids)
-            sizes[i] = len(ids)
+    for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if lengths[at] > BLOCK:
+            ids = _in_blocks(chunks[at], p)
+            sizes[at] = len(ids)
         else:
-            group.append(i)
-            held += len(c)
-    flush()
+            _, _, counts, ids, symbols = _symbols(chunks[at:to], p)
+            sizes[at:to] = np.bincount(np.repeat(np.arange(to - at), symbols), counts, to - at)
+        all_ids.append(ids)
     return np.concatenate(all_ids), sizes
 
 
