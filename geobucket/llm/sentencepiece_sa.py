@@ -66,8 +66,8 @@ class Pieces:
         _, rank = np.unique([-s for _, s, _ in own], return_inverse=True)
         self.rank = rank.astype(np.int64)
         self.depth = int(self.lengths.max())
-        if self.depth >= 64:
-            raise ValueError("a piece has 64 characters or more")
+        if self.depth >= 64 or n >= 1 << 20:
+            raise ValueError("a piece has 64 characters or more, or there are 2**20 pieces or more")
         self.words = (self.depth + 3) // 4
         chars = np.array(sorted({ord(c) for p, _, _ in own for c in p}))
         if len(chars) > 65000:
@@ -98,8 +98,8 @@ class Pieces:
         count = np.maximum(0, _bisect(keys, self.high, True) - first)
         piece = np.repeat(np.arange(len(first)), count)
         edge = suffixes[ragged(first, count)] * 64 + self.lengths[piece]
-        order = np.argsort(edge)
-        return edge[order], piece[order]
+        both = np.sort(edge << 20 | piece)  # positions below 2**37, pieces below 2**20: one sort of whole numbers
+        return both >> 20, both & 0xFFFFF
 
 
 def _sorted_suffixes(four: np.ndarray, depth: int) -> np.ndarray:
