@@ -242,25 +242,13 @@ def feature_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.posexplode(formats.features_of(document)).alias("k", "feature")).withColumn("k", F.col("k").cast("long"))
 
 
-@_query("SELECT 'c' || (event_id % 3)::VARCHAR || '_ndjson.json' AS lines_file, count(*) AS lines FROM events WHERE event_id < 300 GROUP BY 1")
-def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of 100 features each, rewritten as lines and counted."""
-    docs = _table(spark, sf_dir, "events").filter("event_id < 300").withColumn("name", F.format_string("c%d", F.col("event_id") % 3))
-    return _lines_counted(spark, docs, ["name"])
-
-
 @_query("SELECT 'c' || (event_id // 100 % 16)::VARCHAR || '_ndjson.json' AS lines_file, count(*) AS lines FROM events GROUP BY 1")
-def ndjson_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events, in documents of 100 features each whose lines go to 16 folders."""
-    docs = _table(spark, sf_dir, "events").withColumn("doc", F.expr("event_id div 100"))
-    return _lines_counted(spark, docs.withColumn("name", F.format_string("c%d", F.col("doc") % 16)), ["name", "doc"])
-
-
-def _lines_counted(spark: SparkSession, rows: DataFrame, document: list[str]) -> DataFrame:
-    """A document for each value of the columns `document`, of which one is `name`; each is a file of its own."""
-    docs = rows.groupBy(*document).agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.struct("event_id")).alias("features"))).alias("value"))
+    rows = _table(spark, sf_dir, "events").withColumn("doc", F.expr("event_id div 100")).withColumn("name", F.format_string("c%d", F.col("doc") % 16))
+    docs = rows.groupBy("name", "doc").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.struct("event_id")).alias("features"))).alias("value"))
     folder, target = scratch_path(spark, "documents"), scratch_path(spark, "lines")
-    docs.select("value", *document).write.partitionBy(*document).text(folder)
+    docs.write.partitionBy("name", "doc").text(folder)
     lines = spark.read.text(folder, wholetext=True).select(F.explode(formats.features_of(F.col("value"))).alias("feature"), formats.lines_name(F.concat("name", F.lit(".geojson"))).alias("lines_file"))
     lines.write.partitionBy("lines_file").text(target)
     return spark.read.text(target).groupBy("lines_file").agg(F.count("*").alias("lines"))
@@ -308,41 +296,39 @@ def _feature_file(rows: DataFrame, name: str) -> str:
     return path
 
 
-def _loaded(spark: SparkSession, sf_dir: str) -> tuple[TableSpec, TableSpec]:
-    """Bronze and silver tables of events with even ids, by an initial load."""
+def _loaded(spark: SparkSession, rows: DataFrame) -> tuple[TableSpec, TableSpec]:
+    """Bronze and silver tables of points, by an initial load."""
     tag = f"{spark.sparkContext.applicationId.replace('-', '_')}_{next(_SERIAL)}"
     bronze, silver = (TableSpec("default", f"geobucket_{x}_{tag}") for x in ("bronze", "silver"))
     for t in (bronze, silver):
         spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-    pipeline.initial_load(spark, _feature_file(points(spark, sf_dir).filter("event_id % 2 = 0"), "first"), bronze, silver, properties=["event_id"])
+    pipeline.initial_load(spark, _feature_file(rows, "first"), bronze, silver, properties=["event_id"])
     return bronze, silver
 
 
 _SHOWN = ("CAST(event_id AS bigint) AS event_id", "geohash_numeric", "bucket_min")
 
 
-_EVEN = _XY.replace("keyed AS", "all_keyed AS") + ", keyed AS (SELECT * FROM all_keyed WHERE event_id % 2 = 0)"
-
-
-@_query(f"""WITH {_EVEN}, {_SPLITS}, own AS (SELECT DISTINCT split::BIGINT AS s FROM splits WHERE split_no < (SELECT b FROM b))
+@_query(f"""WITH {_XY}, {_SPLITS}, own AS (SELECT DISTINCT split::BIGINT AS s FROM splits WHERE split_no < (SELECT b FROM b))
 SELECT event_id, geohash_numeric, s AS bucket_min FROM keyed ASOF JOIN own ON geohash_numeric >= s""")
 def initial_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even events from feature lines to bronze and silver."""
-    return spark.table(_loaded(spark, sf_dir)[1].name).selectExpr(*_SHOWN)
+    """Events from feature lines to bronze and silver."""
+    return spark.table(_loaded(spark, points(spark, sf_dir))[1].name).selectExpr(*_SHOWN)
 
 
 @_query()
 def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd events added to the silver table of the even ones, with splits of oversize buckets."""
-    bronze, silver = _loaded(spark, sf_dir)
-    pipeline.incremental_load(spark, _feature_file(points(spark, sf_dir).filter("event_id % 2 = 1"), "second"), bronze, silver, properties=["event_id"])
+    rows = points(spark, sf_dir)
+    bronze, silver = _loaded(spark, rows.filter("event_id % 2 = 0"))
+    pipeline.incremental_load(spark, _feature_file(rows.filter("event_id % 2 = 1"), "second"), bronze, silver, properties=["event_id"])
     return spark.table(silver.name).selectExpr(*_SHOWN)
 
 
-@_query(f"WITH {_XY} SELECT event_id, geohash_numeric FROM keyed WHERE event_id % 2 = 0 AND geohash_numeric BETWEEN 200000000 AND 500000000")
+@_query(f"WITH {_XY} SELECT event_id, geohash_numeric FROM keyed WHERE geohash_numeric BETWEEN 200000000 AND 500000000")
 def key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the silver table in a range of keys, from the buckets that may hold them."""
-    silver = _loaded(spark, sf_dir)[1]
+    silver = _loaded(spark, points(spark, sf_dir))[1]
     return pipeline.in_key_range(spark, silver, 200000000, 500000000).selectExpr(*_SHOWN[:2])
 
 
@@ -365,45 +351,48 @@ def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(spec.name)
 
 
-# Edges of orders and the trace of events.
-_EDGE = "DISTINCT (o_custkey % 20)::INT AS src, (((o_orderkey // 200) * 7 + o_custkey) % 20)::INT AS dst FROM orders WHERE o_orderkey % 200 = 0"
-_EDGES = f"edges AS (SELECT row_number() OVER (ORDER BY src, dst) AS pos, src, dst FROM (SELECT {_EDGE}))"
+# Edges of all orders: a node for each customer, with an edge to node 0, a hub, and up to seven others. The trace of all events walks along three nodes for each.
+_STEP = "CASE WHEN {j} = 0 THEN 0 ELSE ({at} * 7 + {j}) % n END"
+_EDGES = f"""nodes AS (SELECT count(*) AS n FROM customer),
+edges AS (SELECT row_number() OVER (ORDER BY src, dst) AS pos, src, dst FROM (SELECT DISTINCT (o_custkey % n)::INT AS src, ({_STEP.format(j="(o_orderkey % 8)", at="o_custkey")})::INT AS dst FROM orders, nodes))"""
 _PAIRS = f"{_EDGES}, pairs AS (SELECT row_number() OVER (ORDER BY a.pos, b.pos) AS pair_no, a.pos AS edge1_id, b.pos AS edge2_id, a.src AS n1, a.dst AS n2, b.dst AS n3 FROM edges a JOIN edges b ON a.dst = b.src)"
-_TRIPLES = """trace AS (SELECT (user_id % 20)::INT AS n1, lead((user_id % 20)::INT, 1) OVER w AS n2, lead((user_id % 20)::INT, 2) OVER w AS n3 FROM events WINDOW w AS (ORDER BY ts, event_id)),
+_TRIPLES = f"""w1 AS (SELECT ts, event_id, n, (event_id * 31 + user_id) % n AS a FROM events, nodes),
+w2 AS (SELECT *, {_STEP.format(j="(event_id % 8)", at="a")} AS b FROM w1), w3 AS (SELECT *, {_STEP.format(j="(event_id // 8 % 8)", at="b")} AS c FROM w2),
+steps AS (SELECT ts, event_id, 0 AS k, a AS node FROM w3 UNION ALL SELECT ts, event_id, 1, b FROM w3 UNION ALL SELECT ts, event_id, 2, c FROM w3),
+trace AS (SELECT node::INT AS n1, lead(node::INT, 1) OVER w AS n2, lead(node::INT, 2) OVER w AS n3 FROM steps WINDOW w AS (ORDER BY ts, event_id, k)),
 triples AS (SELECT DISTINCT n1, n2, n3 FROM trace WHERE n3 IS NOT NULL)"""
 
 
+def _with_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return _table(spark, sf_dir, name).withColumn("n", F.lit(_table(spark, sf_dir, "customer").count()))
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").filter("o_orderkey % 200 = 0")
-    rows = rows.selectExpr("cast(o_custkey % 20 as int) AS src", "cast(((o_orderkey div 200) * 7 + o_custkey) % 20 as int) AS dst").distinct()
+    step = _STEP.format(j="(o_orderkey % 8)", at="o_custkey")
+    rows = _with_nodes(spark, sf_dir, "orders").selectExpr("cast(o_custkey % n as int) AS src", f"cast({step} as int) AS dst").distinct()
     return stored(numbered(rows, ["src", "dst"], "pos").withColumn("edge_id", F.col("pos")), "edges")
 
 
 def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").selectExpr("ts", "event_id", "cast(user_id % 20 as int) AS node")
-    return numbered(rows, ["ts", "event_id"], "pos").select("pos", "node")
+    rows = _with_nodes(spark, sf_dir, "events").withColumn("a", F.expr("(event_id * 31 + user_id) % n"))
+    rows = rows.withColumn("b", F.expr(_STEP.format(j="(event_id % 8)", at="a")))
+    rows = rows.withColumn("c", F.expr(_STEP.format(j="(event_id div 8 % 8)", at="b")))
+    steps = rows.select("ts", "event_id", F.posexplode(F.array("a", "b", "c")).alias("k", "node"))
+    return stored(numbered(steps, ["ts", "event_id", "k"], "pos").select("pos", F.col("node").cast("int").alias("node")), "trace")
 
 
 @_query(f"WITH {_EDGES} SELECT pos, src, dst FROM edges")
 def edge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges printed as text and parsed again."""
-    return _edges_parsed(_edges(spark, sf_dir))
-
-
-def _edges_parsed(rows: DataFrame) -> DataFrame:
-    lines = rows.select("pos", F.format_string("Edge %d: Node %d → Node %d; rest", "pos", "src", "dst").alias("t"))
+    lines = _edges(spark, sf_dir).select("pos", F.format_string("Edge %d: Node %d → Node %d; rest", "pos", "src", "dst").alias("t"))
     return lines.select("pos", F.explode(edges.parsed_edges(F.col("t"))).alias("e")).select("pos", "e.src", "e.dst")
 
 
 @_query(f"WITH {_EDGES} SELECT pos AS edge_id, src, dst FROM edges")
 def edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges written as lines of three tokens and read again."""
-    return _edges_filed(spark, _edges(spark, sf_dir))
-
-
-def _edges_filed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     path = scratch_path(spark, "edges")
-    rows.select(F.format_string("e%d n%d n%d", "pos", "src", "dst").alias("value")).write.text(path)
+    _edges(spark, sf_dir).select(F.format_string("e%d n%d n%d", "pos", "src", "dst").alias("value")).write.text(path)
     return edges.read_edges(spark, path).select(F.col("edge_id").cast("long").alias("edge_id"), "src", "dst")
 
 
@@ -432,81 +421,11 @@ def pair_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.uncovered_pairs(graph.numbered_pairs(_edges(spark, sf_dir)), _trace(spark, sf_dir)).select("pair_no", "n1", "n2", "n3")
 
 
-@_query(f"WITH {_PAIRS}, {_TRIPLES}, m AS (SELECT (n1, n2, n3) IN (SELECT (n1, n2, n3) FROM triples) AS hit FROM pairs) SELECT count(*) AS pairs, count(*) FILTER (hit) AS covered, bool_and(hit) AS all_covered FROM m")
+@_query(f"WITH {_PAIRS}, {_TRIPLES} SELECT count(*) AS pairs, count(t.n1) AS covered, count(*) = count(t.n1) AS all_covered FROM pairs p LEFT JOIN triples t ON p.n1 = t.n1 AND p.n2 = t.n2 AND p.n3 = t.n3")
 def pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coverage(graph.numbered_pairs(_edges(spark, sf_dir)), _trace(spark, sf_dir))
 
 
-# The same over all orders: each node has an edge to node 0, a hub, and up to seven others; the trace walks along three nodes for each event.
-_STEP = "CASE WHEN {j} = 0 THEN 0 ELSE ({at} * 7 + {j}) % n END"
-_WHOLE_EDGES = f"""nodes AS (SELECT count(*) AS n FROM customer),
-edges AS (SELECT row_number() OVER (ORDER BY src, dst) AS pos, src, dst FROM (SELECT DISTINCT (o_custkey % n)::INT AS src, ({_STEP.format(j="(o_orderkey % 8)", at="o_custkey")})::INT AS dst FROM orders, nodes))"""
-_WHOLE_PAIRS = _WHOLE_EDGES + _PAIRS.removeprefix(_EDGES)
-_WHOLE_TRIPLES = f"""w1 AS (SELECT ts, event_id, n, (event_id * 31 + user_id) % n AS a FROM events, nodes),
-w2 AS (SELECT *, {_STEP.format(j="(event_id % 8)", at="a")} AS b FROM w1), w3 AS (SELECT *, {_STEP.format(j="(event_id // 8 % 8)", at="b")} AS c FROM w2),
-steps AS (SELECT ts, event_id, 0 AS k, a AS node FROM w3 UNION ALL SELECT ts, event_id, 1, b FROM w3 UNION ALL SELECT ts, event_id, 2, c FROM w3),
-trace AS (SELECT node::INT AS n1, lead(node::INT, 1) OVER w AS n2, lead(node::INT, 2) OVER w AS n3 FROM steps WINDOW w AS (ORDER BY ts, event_id, k)),
-triples AS (SELECT DISTINCT n1, n2, n3 FROM trace WHERE n3 IS NOT NULL)"""
-
-
-def _with_nodes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _table(spark, sf_dir, name).withColumn("n", F.lit(_table(spark, sf_dir, "customer").count()))
-
-
-def _whole_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    step = _STEP.format(j="(o_orderkey % 8)", at="o_custkey")
-    rows = _with_nodes(spark, sf_dir, "orders").selectExpr("cast(o_custkey % n as int) AS src", f"cast({step} as int) AS dst").distinct()
-    return stored(numbered(rows, ["src", "dst"], "pos").withColumn("edge_id", F.col("pos")), "edges")
-
-
-def _whole_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _with_nodes(spark, sf_dir, "events").withColumn("a", F.expr("(event_id * 31 + user_id) % n"))
-    rows = rows.withColumn("b", F.expr(_STEP.format(j="(event_id % 8)", at="a")))
-    rows = rows.withColumn("c", F.expr(_STEP.format(j="(event_id div 8 % 8)", at="b")))
-    steps = rows.select("ts", "event_id", F.posexplode(F.array("a", "b", "c")).alias("k", "node"))
-    return stored(numbered(steps, ["ts", "event_id", "k"], "pos").select("pos", F.col("node").cast("int").alias("node")), "trace")
-
-
-@_query(f"WITH {_WHOLE_EDGES} SELECT pos, src, dst FROM edges")
-def edge_parse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges_parsed(_whole_edges(spark, sf_dir))
-
-
-@_query(f"WITH {_WHOLE_EDGES} SELECT pos AS edge_id, src, dst FROM edges")
-def edge_file_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edges_filed(spark, _whole_edges(spark, sf_dir))
-
-
-@_query(f"WITH {_WHOLE_PAIRS} SELECT edge1_id, edge2_id, n1, n2, n3 FROM pairs")
-def edge_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edge_pairs(_whole_edges(spark, sf_dir)).select("edge1_id", "edge2_id", "n1", "n2", "n3")
-
-
-@_query(f"WITH {_WHOLE_PAIRS} SELECT pair_no, edge1_id, edge2_id, n1, n2, n3 FROM pairs")
-def edge_pairs_numbered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.numbered_pairs(_whole_edges(spark, sf_dir))
-
-
-@_query(f"WITH {_WHOLE_PAIRS} SELECT pair_no, 'Paired Edge ' || pair_no || ': Node ' || n1 || ' → Node ' || n2 || ' , Node ' || n2 || ' → Node ' || n3 AS line FROM pairs")
-def edge_pairs_rendered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.rendered_pairs(_whole_edges(spark, sf_dir))
-
-
-@_query(f"WITH {_WHOLE_PAIRS}, {_WHOLE_TRIPLES} SELECT pair_no, n1, n2, n3 FROM pairs SEMI JOIN triples USING (n1, n2, n3)")
-def pair_covered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.covered_pairs(graph.numbered_pairs(_whole_edges(spark, sf_dir)), _whole_trace(spark, sf_dir)).select("pair_no", "n1", "n2", "n3")
-
-
-@_query(f"WITH {_WHOLE_PAIRS}, {_WHOLE_TRIPLES} SELECT pair_no, n1, n2, n3 FROM pairs ANTI JOIN triples USING (n1, n2, n3)")
-def pair_uncovered_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.uncovered_pairs(graph.numbered_pairs(_whole_edges(spark, sf_dir)), _whole_trace(spark, sf_dir)).select("pair_no", "n1", "n2", "n3")
-
-
-@_query(f"WITH {_WHOLE_PAIRS}, {_WHOLE_TRIPLES} SELECT count(*) AS pairs, count(t.n1) AS covered, count(*) = count(t.n1) AS all_covered FROM pairs p LEFT JOIN triples t ON p.n1 = t.n1 AND p.n2 = t.n2 AND p.n3 = t.n3")
-def pair_coverage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.coverage(graph.numbered_pairs(_whole_edges(spark, sf_dir)), _whole_trace(spark, sf_dir))
-
-
 # Items of events: value rounded, category by type, with gaps of each kind.
 _ITEM = "event_id AS item_pos, event_id % 17 = 3 AS is_null, event_id % 13 <> 5 AS has_value, event_id % 11 <> 7 AS value_is_int, cast(floor(value) AS int) AS value, event_id % 7 <> 2 AS has_category, CASE event_id % 4 WHEN 0 THEN 'Special' WHEN 1 THEN 'normal' WHEN 2 THEN event_type END AS category"
 OPTIONS = {"doubleHighAlpha": True, "addLowAlpha": False, "negateSpecialBeta": True, "logAll": True}
