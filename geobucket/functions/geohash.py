@@ -23,8 +23,9 @@ def cell(value: Column, least: float, width: float, bits: int) -> Column:
 def geohash_numeric(lon: Column, lat: Column, chars: int = CHARS, bind: bool = False) -> Column:
     """Morton code of a point; null for null or out-of-range coordinates.
 
-    Generated code computes each cell once; inside a higher-order function,
-    which is interpreted, bind does the same.
+    Generated code computes each cell once, as it stands outside any branch:
+    only the zero that nulls out-of-range codes is in one. Inside a
+    higher-order function, which is interpreted, bind does the same.
     """
     x_bits, y_bits = (5 * chars + 1) // 2, 5 * chars // 2
     x, y = cell(lon, -180.0, 360.0, x_bits), cell(lat, -90.0, 180.0, y_bits)
@@ -32,17 +33,22 @@ def geohash_numeric(lon: Column, lat: Column, chars: int = CHARS, bind: bool = F
         code = F.get(F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda c: _interleaved(c["x"], c["y"], 5 * chars)), F.lit(0))
     else:
         code = _interleaved(x, y, 5 * chars)
-    return F.when(lon.between(-180, 180) & lat.between(-90, 90), code)
+    return code.bitwiseOR(F.when(lon.between(-180, 180) & lat.between(-90, 90), F.lit(0).cast("long")))
+
+
+def _spread(v: Column, bits: int) -> Column:
+    """The bits of v, each followed by a zero bit above it."""
+    for shift in (16, 8, 4, 2, 1):
+        if shift < bits:
+            mask = sum(((1 << shift) - 1) << at for at in range(0, 63, 2 * shift))
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask & (1 << 63) - 1))
+    return v
 
 
 def _interleaved(x: Column, y: Column, bits: int) -> Column:
-    """Bits of x and y in turn, from the top."""
-    x_bits, y_bits = (bits + 1) // 2, bits // 2
-    code = F.lit(0).cast("long")
-    for k in range(bits):
-        axis, left = (x, x_bits - 1 - k // 2) if k % 2 == 0 else (y, y_bits - 1 - k // 2)
-        code = code.bitwiseOR(F.shiftleft(F.shiftright(axis, left).bitwiseAND(1), bits - 1 - k))
-    return code
+    """Bits of x and y in turn, from the top, which is one of x."""
+    x, y = _spread(x, (bits + 1) // 2), _spread(y, bits // 2)
+    return x.bitwiseOR(F.shiftleft(y, 1)) if bits % 2 else F.shiftleft(x, 1).bitwiseOR(y)
 
 
 def geohash_text(code: Column, chars: int = CHARS) -> Column:

@@ -36,8 +36,9 @@ def _so_far() -> WindowSpec:
 
 def _ranked(df: DataFrame, key: str) -> DataFrame:
     """(__key, __cnt, __to): the different keys, their rows and the rank of the last of them. One sum a range reaches the driver."""
-    own = df.select(F.col(key).alias("__key")).filter(F.col("__key").isNotNull() & ~F.isnan(F.col("__key").cast("double")))
-    dealt = _dealt(own.groupBy("__key").agg(F.count("*").alias("__cnt")), "__key")
+    # Filters come after the write: pushed below it they would compute the key once more for each test.
+    dealt = _dealt(df.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__cnt")), "__key")
+    dealt = dealt.filter(F.col("__key").isNotNull() & ~F.isnan(F.col("__key").cast("double")))
     starts, total = [], 0
     for part, n in sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.sum("__cnt")).collect()):
         starts.append((part, total))
@@ -74,9 +75,9 @@ def _at_or_below(df: DataFrame, key: str, bounds: DataFrame, name: str, last_if_
     back. The least and the last bound of a range reach the driver.
     """
     kind = df.schema[key].dataType
-    keys = df.select(F.col(key).alias("__key")).filter("__key is not null").select("__key", F.lit(None).cast("long").alias("__bound"))
+    keys = df.select(F.col(key).alias("__key"), F.lit(None).cast("long").alias("__bound"))
     marks = bounds.select(F.col(bounds.columns[0]).cast("long").alias("__bound")).filter("__bound is not null").select(F.col("__bound").cast(kind).alias("__key"), "__bound")
-    dealt = _dealt(keys.unionByName(marks).groupBy("__key").agg(F.max("__bound").alias("__bound")), "__key")
+    dealt = _dealt(keys.unionByName(marks).groupBy("__key").agg(F.max("__bound").alias("__bound")), "__key").filter("__key is not null")
     ends = sorted(tuple(r) for r in dealt.groupBy("__part").agg(F.min("__bound"), F.max("__bound")).collect())
     known = [(a, z) for _, a, z in ends if a is not None]
     if not known:
