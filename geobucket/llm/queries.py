@@ -13,6 +13,7 @@ from .containment import contained_items
 from .feistel import shard_documents
 from .guess_cost import scan_secrets
 from .kneser_ney import score_documents
+from .merkle import merkle_documents
 from .probminhash import duplicate_classes
 from .quality import quality_documents
 from .sentencepiece_sa import encode_documents
@@ -78,8 +79,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan, op11_merkle_manifest)}
 
 
 _URL = """
@@ -126,5 +131,31 @@ FROM b
 """
 
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32 = "xor(list_reduce([4294967295::UBIGINT] || flatten(list_transform(string_split({x}, ''), lambda ch: [ascii(ch)::UBIGINT, 0, 0, 0, 0, 0, 0, 0])), lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384::UBIGINT)), 4294967295::UBIGINT)"
+
+_MERKLE = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce({_CRC32.format(x="doc_id::VARCHAR")} % 5 = 0, false) AS marked,
+  list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR], lambda x: coalesce(strlen(x)::VARCHAR || ':' || x, '-')) AS head,
+  text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+l AS (SELECT r, doc_id, source, marked, sha256(array_to_string(head, '') || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+  sha256(array_to_string(head, '') || coalesce(strlen(low)::VARCHAR || ':' || low, '-')) AS other FROM d),
+p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+t AS (SELECT g, 0 AS lvl, i, n, leaf AS h FROM p UNION ALL SELECT g, lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, lvl, i // 16, n),
+s AS (SELECT g, h, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, g AS i, n, h FROM s UNION ALL SELECT lvl + 1, i // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 16, n),
+nodes AS (SELECT g, lvl, i, n, h FROM t UNION ALL SELECT -1, lvl, i, n, h FROM u),
+sib AS (SELECT g, lvl, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS z
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY g, lvl, i // 16 ORDER BY i)),
+steps AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY part, lvl) AS k, a, z FROM (
+  SELECT r, 0 AS part, lvl, a, z FROM p JOIN sib ON sib.g = p.g AND sib.i = p.i >> (4 * lvl) UNION ALL SELECT r, 1, lvl, a, z FROM p JOIN sib ON sib.g = -1 AND sib.i = p.g >> (4 * lvl))),
+f AS (SELECT r, 0 AS k, CASE WHEN marked THEN other ELSE leaf END AS h FROM p UNION ALL SELECT f.r, f.k + 1, sha256(a || h || z) FROM f JOIN steps USING (r) WHERE steps.k = f.k + 1),
+o AS (SELECT r, arg_max(h, k) AS folded_root FROM f GROUP BY r),
+q AS (SELECT r, sha256(string_agg(a || z, '' ORDER BY k)) AS proof FROM steps GROUP BY r)
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = u.h AS verified
+FROM p JOIN s USING (g) JOIN o USING (r) LEFT JOIN q USING (r), u WHERE u.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_cascade": _QUALITY, "op8_url_cascade": _URL, "op9_benchmark_containment": _CONTAINED}
+    return {"op11_merkle_manifest": _MERKLE, "op5_quality_cascade": _QUALITY, "op8_url_cascade": _URL, "op9_benchmark_containment": _CONTAINED}
