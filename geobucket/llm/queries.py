@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import alignment_table
 from .bloom_cascade import judge_urls, url_parts
 from .common import stored, table
 from .containment import contained_items
@@ -83,8 +84,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan, op11_merkle_manifest, op12_token_alignment)}
 
 
 _URL = """

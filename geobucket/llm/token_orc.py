@@ -78,12 +78,13 @@ def _gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[n
 class Encoder:
     """Ids of parts by the library, as (ids, start of each part, length of each part)."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.library.encode_special_tokens = plain_specials  # else their strings are tokens wherever they occur
+        self.added = [] if plain_specials else [t.content for t in self.library.get_added_tokens_decoder().values()]
         line = self._of("\n")
         if len(line) != 1:
             raise ValueError("a line end is not one token")
@@ -197,7 +198,8 @@ class Encoder:
 def encode_slice(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and the number of ids of each text.
 
-    A text with other white space around a single space or line end is encoded whole.
+    A text with other white space around a single space or line end is encoded
+    whole, as is one that holds the string of an added token.
     """
     pieces, numbers, counts = split_parts(texts)
     bare = pc.binary_length(pc.utf8_trim_whitespace(pieces)).to_numpy(zero_copy_only=False)
@@ -205,6 +207,8 @@ def encode_slice(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndar
     odd = (bare == 0) | (bare + line != pc.binary_length(pieces).to_numpy(zero_copy_only=False))
     text = np.repeat(np.arange(len(texts)), counts)
     whole = np.unique(text[odd[numbers]]) if len(numbers) else np.zeros(0, np.int64)
+    for special in encoder.added:
+        whole = np.union1d(whole, np.flatnonzero(pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)))
     often = np.bincount(numbers, minlength=len(pieces))[~odd] > 1
     ids, starts, lengths = encoder.of(pieces.filter(pa.array(~odd)), often)
     place = np.cumsum(~odd) - 1
@@ -224,10 +228,10 @@ def encode_slice(texts: pa.Array, encoder: Encoder) -> tuple[np.ndarray, np.ndar
     return ids[ragged(start, length)], np.bincount(text, length, len(texts)).astype(np.int64)
 
 
-@functools.lru_cache(1)
-def encoder_of(file: str) -> Encoder:
+@functools.lru_cache(2)
+def encoder_of(file: str, plain_specials: bool = False) -> Encoder:
     """The encoder of this worker, with its memory of parts."""
-    return Encoder(file)
+    return Encoder(file, plain_specials)
 
 
 def encoded(rows: DataFrame, tokenizer_file: str, end_id: int = END_ID) -> DataFrame:
