@@ -11,6 +11,7 @@ from .alignment import alignment_table
 from .bloom_cascade import judge_urls, url_parts
 from .common import stored, table
 from .containment import contained_items
+from .crf_language import language_documents
 from .feistel import shard_documents
 from .guess_cost import scan_secrets
 from .kneser_ney import score_documents
@@ -88,8 +89,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_table(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan, op11_merkle_manifest, op12_token_alignment)}
+    return {f.__name__: f for f in (op1_probminhash, op2_warc, op3_feistel_shards, op4_sentencepiece, op5_quality_cascade, op6_kneser_ney, op7_token_orc, op8_url_cascade, op9_benchmark_containment, op10_secret_scan, op11_merkle_manifest, op12_token_alignment, op13_crf_language)}
 
 
 _URL = """
