@@ -33,7 +33,7 @@ from .token_orc import Encoder, encoder_of, ragged
 
 MARK = "▁"
 #: Bytes of text handled at once, chunks of a library call, tokens of one kind in a DuckDB query, chunks a worker remembers and their longest, and DuckDB's memory.
-SLICE, CALL, TOKENS, MEMORY, BRIEF, LIMIT = 8 << 20, 512, 1 << 19, 200_000, 64, "512MB"
+SLICE, CALL, TOKENS, MEMORY, BRIEF, LIMIT = 4 << 20, 512, 1 << 17, 200_000, 64, "256MB"
 #: A single space between characters other than white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
@@ -263,7 +263,9 @@ def chunked(texts: pa.Array) -> tuple[pa.Array, list[str], np.ndarray, np.ndarra
     A part follows a space or begins with a line end. A text with other white
     space around a cut is cut only at single spaces between other characters.
     """
-    lists = pc.split_pattern(pc.replace_substring(pc.if_else(pc.equal(pc.fill_null(texts, ""), ""), None, texts), "\n", " \n"), " ")
+    empty = pc.equal(pc.fill_null(texts, ""), "").to_numpy(zero_copy_only=False)
+    texts = texts.take(pa.array(np.arange(len(texts)), mask=empty))  # empty ones as null
+    lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
     counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     parts, numbers = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
