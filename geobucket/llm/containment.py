@@ -10,6 +10,10 @@ one row a band: a window that agrees with an item in a register makes the
 document a candidate. A candidate is kept if at least `least` of the item's
 distinct five-word shingles occur in the whole document, counted exactly.
 
+Items of one to four words are one shingle of their own length; documents are
+searched for shingles of that length too, so they are found inside documents
+of any length.
+
 A register of a contained item is hidden only if one of the window's other
 shingles falls into it with a lesser hash, chance 1/8 at most, so an item with
 m shingles present is missed with a chance below 8^-m.
@@ -47,25 +51,33 @@ def _registers(h: np.ndarray, size: int, group: np.ndarray | None = None) -> tup
 
 
 class ItemIndex:
-    """Register values and exact shingles of a block of items."""
+    """Register values and exact shingles of a block of items, by the length of their shingles."""
 
     def __init__(self, texts: list[str | None], least: float = LEAST):
         h, counts = worded(pa.array(texts, pa.string()), WordHashes())
-        text, sh = shingled(h, counts, SHINGLE)
-        cuts = np.searchsorted(text, np.arange(len(texts) + 1))
-        self.least, self.exact, by_class = least, [np.unique(sh[a:b]) for a, b in zip(cuts, cuts[1:])], {}
-        for i, own in enumerate(self.exact):
-            if len(own):
+        self.least, self.exact, self.lengths = least, [np.zeros(0, np.uint64)] * len(texts), {}
+        ends = np.cumsum(counts)
+        for k in np.unique(np.minimum(counts[counts > 0], SHINGLE)).tolist():
+            which = np.flatnonzero(np.minimum(counts, SHINGLE) == k)
+            text, sh = shingled(np.concatenate([h[ends[i] - counts[i] : ends[i]] for i in which]), counts[which], k)
+            cuts, by_class = np.searchsorted(text, np.arange(len(which) + 1)), {}
+            for i, a, b in zip(which.tolist(), cuts, cuts[1:]):
+                self.exact[i] = own = np.unique(sh[a:b])
                 size = 1 << max(0, math.ceil(math.log2(len(own))))
                 by_class.setdefault(size, []).extend((int(v), i) for v in _registers(own, size)[1])
-        self.classes = {s: tuple(np.array(x, t) for x, t in zip(zip(*sorted(v)), (np.uint64, np.int64))) for s, v in by_class.items()}
+            self.lengths[k] = {s: tuple(np.array(x, t) for x, t in zip(zip(*sorted(v)), (np.uint64, np.int64))) for s, v in by_class.items()}
+
+    def found(self, texts: pa.Array, hashes: WordHashes) -> list[tuple[int, int, int]]:
+        """(text, item, shared shingles) of all items contained in texts of words parted by single spaces."""
+        h, counts = worded(texts, hashes)
+        return [x for k, classes in self.lengths.items() for x in self.search(*shingled(h, counts, k), classes)]
 
-    def search(self, text: np.ndarray, sh: np.ndarray) -> list[tuple[int, int, int]]:
-        """(text, item, shared shingles) of all items contained in texts; text is sorted."""
+    def search(self, text: np.ndarray, sh: np.ndarray, classes: dict[int, tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int]]:
+        """The same for shingles of one length and the items that have such; text is sorted."""
         starts = np.searchsorted(text, text)
         at = np.arange(len(text)) - starts
         found: set[tuple[int, int]] = set()
-        for size, (values, items) in self.classes.items():
+        for size, (values, items) in classes.items():
             g = mixed(sh + np.uint64(size))
             place = np.minimum(np.searchsorted(values, g), len(values) - 1)
             hit = np.flatnonzero(values[place] == g)
@@ -109,8 +121,10 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = LEAST, blo
     """doc_id, item_id, item_shingles, shared, containment for each document row and item found in it.
 
     Words are runs without ASCII white space, lower-cased. Null or empty texts
-    and items have no shingle and never match; an item of under five words
-    matches only documents of just these words. Repeated rows match each.
+    and items have no shingle and never match; an item of under five words is
+    one shingle, found where its words follow each other. Repeated rows and
+    items match each; without documents or items there are no rows; other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, item_shingles long, shared long, containment double"
@@ -122,7 +136,7 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = LEAST, blo
         def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             (index, ids), hashes = sent.value, WordHashes()
             for b in sliced(batches, "text"):
-                rows = index.search(*shingled(*worded(b.column("text"), hashes), SHINGLE))
+                rows = index.found(b.column("text"), hashes)
                 if rows:
                     t, i, n = zip(*rows)
                     size = [len(index.exact[x]) for x in i]
@@ -133,17 +147,24 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = LEAST, blo
 
 
 def without_items(docs: DataFrame, items: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in which no item is contained, with all their columns."""
+    """The rows of docs in which no item is contained, with all their columns, whatever the names of these.
+
+    Null and empty texts stay; repeated rows stay or go together; without items
+    all rows stay; an empty table gives no rows.
+    """
+    # Arrow functions can't take columns with dots in their names
+    names, docs = docs.columns, docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text, schema = docs[f"c{names.index('text')}"], docs.schema
     for index, _ in _blocks(items, least, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
-            for b in sliced(batches, "__words"):
-                bad = [t for t, _, _ in sent.value.search(*shingled(*worded(b.column("__words"), hashes), SHINGLE))]
+            for b in sliced(batches, "words"):
                 keep = np.ones(b.num_rows, bool)
-                keep[bad] = False
-                yield b.drop_columns(["__words"]).filter(pa.array(keep))
+                keep[[t for t, _, _ in sent.value.found(b.column("words"), hashes)]] = False
+                yield b.drop_columns(["words"]).filter(pa.array(keep))
 
-        docs = docs.withColumn("__words", normal_words(docs["text"])).mapInArrow(clean, docs.schema)
-    return docs
+        docs = docs.withColumn("words", normal_words(text)).mapInArrow(clean, schema)
+        text = docs[f"c{names.index('text')}"]
+    return docs.toDF(*names)

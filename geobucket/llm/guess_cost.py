@@ -264,18 +264,22 @@ def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]", kno
 def redact_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with secrets replaced in `text` and `n_chars` counted anew where it is there; all rows and columns stay.
 
-    Null and empty texts stay as they are; repeated rows stay repeated.
+    Null and empty texts stay as they are; repeated rows stay repeated; columns
+    of any names are kept; an empty table gives no rows.
     """
     names, known = docs.columns, _sent(docs)
+    # Arrow functions can't take columns with dots in their names
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    text, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, "text"):
-            old = b.column("text").to_pylist()
+        for b in sliced(batches, f"c{text}"):
+            old = b.column(text).to_pylist()
             new = [redacted(t, least, known=known.value) for t in old]
-            b = b.set_column(names.index("text"), "text", pa.array(new, b.column("text").type))
-            if "n_chars" in names:
-                n = [c if x is y or y is None else len(y) for c, x, y in zip(b.column("n_chars").to_pylist(), old, new)]
-                b = b.set_column(names.index("n_chars"), "n_chars", pa.array(n, b.column("n_chars").type))
+            b = b.set_column(text, f"c{text}", pa.array(new, b.column(text).type))
+            if size is not None:
+                n = [c if x is y or y is None else len(y) for c, x, y in zip(b.column(size).to_pylist(), old, new)]
+                b = b.set_column(size, f"c{size}", pa.array(n, b.column(size).type))
             yield b
 
-    return docs.mapInArrow(clean, docs.schema)
+    return rows.mapInArrow(clean, rows.schema).toDF(*names)

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.names import free_names
 from .common import PRIME, WordHashes, dropped, mixed, normal_words, shingled, sliced, stored, worded
 
 SHINGLE, REGISTERS, BANDS, LEAST = 5, 64, 16, 0.8
@@ -293,10 +294,11 @@ def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     # of rows that share the least doc_id of a class, different texts included, one stays
     keep = found.filter("node is not null and doc_id <=> class_id").groupBy("class", "doc_id", "node").agg(F.count("*").alias("n"))
     keep = stored(keep.groupBy("class", "doc_id").agg(F.min(F.struct("node", "n")).alias("x")).select("doc_id", "x.node", "x.n"), "keep")
-    rows = docs.withColumn("__node", F.when((w := normal_words(docs["text"])) != "", F.unhex(F.md5(w))))
+    name, an_id, own = free_names(docs, "node", "id", "own")
+    rows = docs.withColumn(name, F.when((w := normal_words(docs["text"])) != "", F.unhex(F.md5(w))))
     again = keep.agg(F.max("n")).first()[0] or 1
-    keys = keep.select(F.col("doc_id").alias("__id"), F.col("node").alias("__own"))
-    out = rows.filter("__node is not null").join(keys, rows["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__own")), "left_semi")
+    keys = keep.select(F.col("doc_id").alias(an_id), F.col("node").alias(own))
+    out = rows.filter(rows[name].isNotNull()).join(keys, rows["doc_id"].eqNullSafe(keys[an_id]) & (rows[name] == keys[own]), "left_semi")
     if again > 1:
-        out = out.dropDuplicates(["doc_id", "__node"])
-    return out.unionByName(rows.filter("__node is null")).select(*docs.columns)
+        out = out.dropDuplicates(["doc_id", name])
+    return out.unionByName(rows.filter(rows[name].isNull())).drop(name)

@@ -33,10 +33,17 @@ def test_pieces_are_those_of_the_library():
 
 
 def test_tokens_are_those_of_the_library():
-    encoder = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    want = [encoder.library.encode(t or "", add_special_tokens=False).ids for t in TEXTS]
-    for _ in range(2):  # the second time from memory
-        assert cut(*token_orc.encode_slice(pa.array(TEXTS, pa.string()), encoder)) == want
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [*TEXTS, end, f"end {end} here", f"{end}{end}", f"{end} first", f"last {end}", f"\n{end}\nx", f"a{end}b"]
+    for plain in (False, True):
+        encoder, library = token_orc.Encoder(public_tokenizers.path("byte_bpe_50k.json"), plain), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        library.encode_special_tokens = plain
+        want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert any(50256 in x for x in want) != plain
+        for _ in range(2):  # the second time from memory
+            assert cut(*token_orc.encode_slice(pa.array(texts, pa.string()), encoder)) == want
 
 
 def test_long_chunks_are_encoded_in_blocks():

@@ -107,7 +107,9 @@ def test_sentencepiece(spark, texts, odd):
 
 
 def tokens(texts):
-    tokenizer = token_orc.encoder_of(public_tokenizers.path("byte_bpe_50k.json")).library
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))  # as it is, unlike the operator's
     out = []
     for d, t in texts:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
@@ -129,6 +131,9 @@ def test_token_files(spark, texts, odd):
     check_tokens(llm.op7_token_orc(spark, str(SF)).collect(), texts)
     file = public_tokenizers.path("byte_bpe_50k.json")
     check_tokens(token_orc.token_documents(odd, file).collect(), ODD_ROWS)
+    end = "<|endoftext|>"
+    special = list(enumerate([end, f"end {end} here", f"{end}{end}", f"{end} first", f"last {end}", f"\n{end}\nx", f"a{end}b {end}", f"plain words\n{end} and  more", "<|endoftext", "the plain words"]))
+    check_tokens(token_orc.token_documents(spark.createDataFrame(special, "doc_id long, text string").coalesce(1), file).collect(), special)
     assert token_orc.token_documents(odd.limit(0), file).count() == 0
 
 
