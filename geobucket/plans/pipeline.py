@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,11 +14,13 @@ from ..functions.geohash import geohash_to_long
 from ..functions.geometry import with_geometry
 from ..operators import bucketing as B
 from ..sources.formats import geometry_column, read_by_extension
-from . import tables
+from . import tables, versions
 from .scratch import dropped, stored
 from .tables import TableSpec
 
 BUCKET, KEY = "bucket_min", "geohash_numeric"
+#: How often a load starts again after another one's commit.
+TRIES = 5
 _INPUT = {"wkb": T.BinaryType, "wkt": T.StringType, "geojson": T.StringType}
 
 
@@ -34,11 +38,24 @@ def refined(raw: DataFrame, fmt: str = "geojson", features: Iterable[str] = ("ge
     return rows.withColumn(KEY, geohash_to_long(F.col(name)["geohash"]))
 
 
-def _to_bronze(raw: DataFrame, bronze: TableSpec) -> int:
-    """Appends raw rows to the bronze table, which is created where absent; returns their number, counted by the write itself."""
-    seen = Observation()
-    tables.create_table(raw.sparkSession, bronze, raw.schema)
-    tables.append(raw.observe(seen, F.count(F.lit(1)).alias("n")), bronze)
+def _load_id(load: str | None) -> str:
+    """The id of a load, or a new one; letters, digits, `_` and `-` only, as it names partitions."""
+    load = load or uuid.uuid4().hex
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", load):
+        raise ValueError(f"not an id of a load: {load!r}")
+    return load
+
+
+def _to_bronze(raw: DataFrame, bronze: TableSpec, load: str) -> int:
+    """Writes raw rows to the load's partition of the bronze table, in place of an earlier try; returns their number, counted by the write itself."""
+    spark, seen, view = raw.sparkSession, Observation(), f"bronze_{uuid.uuid4().hex}"
+    tables.create_table(spark, bronze, raw.withColumn(versions.LOAD, F.lit(load)).schema, partitioned_by=[versions.LOAD])
+    raw.observe(seen, F.count(F.lit(1)).alias("n")).createOrReplaceTempView(view)
+    try:
+        names = ", ".join(f"`{c}`" for c in spark.table(bronze.name).columns if c != versions.LOAD)
+        spark.sql(f"INSERT OVERWRITE TABLE {bronze.name} PARTITION ({versions.LOAD} = '{load}') SELECT {names} FROM {view}")
+    finally:
+        spark.catalog.dropTempView(view)
     return seen.get["n"]
 
 
@@ -47,59 +64,103 @@ def _by_bucket(laid: DataFrame) -> DataFrame:
     return laid.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, KEY)
 
 
-def initial_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), target: int = B.TARGET, rel_error: float = B.REL_ERROR, properties: list[str] | None = None) -> int:
+def _counts(laid: DataFrame) -> DataFrame:
+    return laid.groupBy(F.col(BUCKET).cast("long").alias(BUCKET)).agg(F.count("*").alias(versions.RECORDS))
+
+
+def initial_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), target: int = B.TARGET, rel_error: float = B.REL_ERROR, properties: list[str] | None = None, load: str | None = None) -> int:
     """Loads a file into new tables; returns how many rows had no valid geometry.
 
-    A geometry column that the format can't read is an error before anything is written.
+    A geometry column that the format can't read is an error before anything is
+    written. Silver becomes visible in one step. A load that broke off may be
+    run again under its id (one that is done then does nothing); a silver table
+    of other loads is an error.
     """
-    raw = read_by_extension(spark, path, properties=properties)
+    load, raw = _load_id(load), read_by_extension(spark, path, properties=properties)
     good = refined(raw, fmt, features)
-    n = _to_bronze(raw, bronze)
+    base = versions.current(spark, silver)
+    if base and not versions.holds(spark, silver, base, load):
+        raise ValueError(f"{silver.name} has rows already")
+    n = _to_bronze(raw, bronze, load)
     rows = stored(good, "refined")
-    laid = B.equi_depth_bucket(rows, KEY, BUCKET, target, rel_error)
-    tables.create_table(spark, silver, laid.schema, partitioned_by=[BUCKET])
-    tables.append(_by_bucket(laid), silver)
+    if not base:
+        laid = stored(B.equi_depth_bucket(rows, KEY, BUCKET, target, rel_error), "laid")
+        versions.publish(_by_bucket(laid), _counts(laid), silver, 0, load)
+        dropped(spark, laid.scratch)
+    else:
+        versions.shown(spark, silver, base)
     lost = n - rows.count()
     dropped(spark, rows.scratch)
     return lost
 
 
 def bucket_labels(spark: SparkSession, silver: TableSpec) -> DataFrame:
-    """The labels of the table's partitions, from the catalog alone."""
-    found = spark.sql(f"SHOW PARTITIONS {silver.name}")
-    return found.select(F.regexp_extract("partition", rf"^{BUCKET}=(-?\d+)$", 1).alias("x")).filter("x != ''").select(F.col("x").cast("long").alias(BUCKET))
+    """The labels of the table's buckets, from its newest version alone."""
+    return versions.parts(spark, silver, versions.current(spark, silver)).select(BUCKET)
 
 
-def incremental_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), most: int = B.MOST, properties: list[str] | None = None) -> DataFrame:
-    """Adds a file: rows go to the nearest lower bucket, then oversize buckets are split; returns the new bucket counts.
+def merged(good: DataFrame, silver: TableSpec, load: str, target: int = B.TARGET, most: int = B.MOST, rel_error: float = B.REL_ERROR) -> None:
+    """Adds refined rows to the silver table: each goes to the nearest lower bucket, then oversize buckets are split.
 
-    Only the buckets that got rows are read and written again: their new rows
-    are staged, then replace these partitions in one step. A bucket whose label
-    is not among the new ones (its keys lie below it) is dropped.
+    Only the buckets that get rows are read and written again. A bucket whose
+    label is not among the new ones (its keys lie below it) goes. All becomes
+    visible in one step; after another load's commit it starts again from
+    there, and a load that is in the table already adds nothing. The first
+    load lays the rows out in buckets of `target`.
+    """
+    spark = good.sparkSession
+    good = stored(good, "refined")
+    for _ in range(TRIES):
+        base = versions.current(spark, silver)
+        if versions.holds(spark, silver, base, load):
+            versions.shown(spark, silver, base)
+            break
+        if base:
+            labels = versions.parts(spark, silver, base).select(BUCKET)
+            added = stored(B.assign_to_existing(good, KEY, labels, BUCKET), "added")
+            touched = stored(added.filter(F.col(BUCKET).isNotNull()).select(BUCKET).distinct(), "touched")
+            old = versions.live(spark, silver, base).join(touched, BUCKET, "left_semi")
+            joined = stored(old.unionByName(added), "joined")
+            laid, scratch = stored(B.split_oversize(joined, KEY, BUCKET, most), "laid"), [added.scratch, touched.scratch, joined.scratch]
+        else:
+            laid, touched, scratch = stored(B.equi_depth_bucket(good, KEY, BUCKET, target, rel_error), "laid"), None, []
+        try:
+            versions.publish(_by_bucket(laid), _counts(laid), silver, base, load, touched)
+        except versions.Conflict:
+            continue
+        finally:
+            dropped(spark, laid.scratch, *scratch)
+        break
+    else:
+        raise versions.Conflict(silver.name)
+    dropped(spark, good.scratch)
+
+
+def incremental_load(spark: SparkSession, path: str, bronze: TableSpec, silver: TableSpec, fmt: str = "geojson", features: Iterable[str] = ("geohash",), most: int = B.MOST, properties: list[str] | None = None, load: str | None = None) -> DataFrame:
+    """Adds a file; returns the new bucket counts.
+
+    A load that broke off may be run again under its id, whatever step it had
+    come to: each row is in either table once.
     """
-    raw = read_by_extension(spark, path, properties=properties)
+    load, raw = _load_id(load), read_by_extension(spark, path, properties=properties)
     good = refined(raw, fmt, features)
-    _to_bronze(raw, bronze)
-    added = stored(B.assign_to_existing(good, KEY, bucket_labels(spark, silver), BUCKET), "added")
-    touched = stored(added.filter(F.col(BUCKET).isNotNull()).select(BUCKET).distinct(), "touched")
-    old = spark.table(silver.name).join(touched, BUCKET, "left_semi")
-    laid = stored(B.split_oversize(stored(old.unionByName(added), "joined"), KEY, BUCKET, most), "laid")
-    tables.overwrite_partitions(_by_bucket(laid), silver)
-    for (label,) in touched.join(laid, BUCKET, "left_anti").collect():
-        spark.sql(f"ALTER TABLE {silver.name} DROP IF EXISTS PARTITION ({BUCKET} = {label})")
-    dropped(spark, added.scratch, touched.scratch, laid.scratch)
-    return B.bucket_counts(spark.table(silver.name), BUCKET)
+    if not versions.current(spark, silver):
+        raise ValueError("no buckets")
+    _to_bronze(raw, bronze, load)
+    merged(good, silver, load, most=most)
+    return versions.parts(spark, silver, versions.current(spark, silver)).select(BUCKET, F.col(versions.RECORDS).alias("record_count"))
 
 
 def in_key_range(spark: SparkSession, silver: TableSpec, least: int, most: int) -> DataFrame:
     """Rows of a table with keys in a range, from the buckets that may hold some.
 
-    They are found from the partition list of the catalog; the lowest bucket
-    is open below. Two labels reach the driver.
+    They are found from the newest version's list; the lowest bucket is open
+    below. Two labels reach the driver.
     """
-    labels = bucket_labels(spark, silver)
+    number = versions.current(spark, silver)
+    labels = versions.parts(spark, silver, number).select(BUCKET)
     lowest, first = labels.agg(F.min(BUCKET), F.max(F.when(F.col(BUCKET) <= least, F.col(BUCKET)))).first()
-    rows = spark.table(silver.name).filter(F.col(KEY).between(least, most))
+    rows = versions.live(spark, silver, number).filter(F.col(KEY).between(least, most))
     if lowest is None:
         return rows
     first = lowest if first is None else first

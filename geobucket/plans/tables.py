@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_OVERWRITES = threading.Lock()
+
 
 @dataclass(frozen=True)
 class TableSpec:
@@ -41,12 +44,16 @@ def append(df: DataFrame, spec: TableSpec) -> None:
 
 
 def overwrite_partitions(df: DataFrame, spec: TableSpec) -> None:
-    """Replaces the partitions that df has rows of; an empty df replaces none."""
+    """Replaces the partitions that df has rows of; an empty df replaces none.
+
+    insertInto takes the mode from the session alone, so one call at a time sets it.
+    """
     spark = df.sparkSession
     key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        df.select(*spark.table(spec.name).columns).write.insertInto(spec.name, overwrite=True)
-    finally:
-        spark.conf.set(key, before)
+    with _OVERWRITES:
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")
+        try:
+            df.select(*spark.table(spec.name).columns).write.insertInto(spec.name, overwrite=True)
+        finally:
+            spark.conf.set(key, before)

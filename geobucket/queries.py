@@ -300,9 +300,7 @@ def _loaded(spark: SparkSession, rows: DataFrame) -> tuple[TableSpec, TableSpec]
     """Bronze and silver tables of points, by an initial load."""
     tag = f"{spark.sparkContext.applicationId.replace('-', '_')}_{next(_SERIAL)}"
     bronze, silver = (TableSpec("default", f"geobucket_{x}_{tag}") for x in ("bronze", "silver"))
-    for t in (bronze, silver):
-        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
-    pipeline.initial_load(spark, _feature_file(rows, "first"), bronze, silver, properties=["event_id"])
+    pipeline.initial_load(spark, _feature_file(rows, "first"), bronze, silver, rel_error=0.0, properties=["event_id"])
     return bronze, silver
 
 
@@ -316,7 +314,18 @@ def initial_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(_loaded(spark, points(spark, sf_dir))[1].name).selectExpr(*_SHOWN)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_XY}, even AS (SELECT * FROM keyed WHERE event_id % 2 = 0), n AS (SELECT count(*) AS n FROM even), b AS (SELECT (n + 63) // 64 AS b, n FROM n),
+ranked AS (SELECT geohash_numeric AS k, row_number() OVER (ORDER BY geohash_numeric) AS r FROM even),
+own AS (SELECT DISTINCT k AS s FROM b, range((n + 63) // 64) t(i), ranked WHERE r = greatest(1, ceil(i * 1.0::DOUBLE / b * n)::BIGINT)), low AS (SELECT min(s) AS m FROM own),
+placed AS (SELECT event_id, geohash_numeric AS k, coalesce(s, m) AS b FROM keyed ASOF LEFT JOIN own ON geohash_numeric >= s, low),
+h AS (SELECT b AS b0, b, k, count(*) AS c FROM placed WHERE b IN (SELECT b FROM placed WHERE event_id % 2 = 1) GROUP BY ALL),
+s AS (SELECT 0 AS step, b0, b, k, c FROM h UNION ALL
+  SELECT step + 1, b0, CASE WHEN n <= 128 OR p IS NULL THEN b WHEN k >= p THEN p WHEN p <= b THEN lo ELSE b END, k, c FROM (
+    SELECT *, CASE WHEN med > lo THEN med ELSE nxt END AS p FROM (
+      SELECT *, min(CASE WHEN k > med THEN k END) OVER (PARTITION BY b) AS nxt FROM (
+        SELECT *, tot AS n, min(k) OVER (PARTITION BY b) AS lo, min(CASE WHEN run >= (tot + 1) // 2 THEN k END) OVER (PARTITION BY b) AS med FROM (
+          SELECT *, sum(c) OVER (PARTITION BY b ORDER BY k) AS run, sum(c) OVER (PARTITION BY b) AS tot FROM s)))) WHERE step < 12)
+SELECT event_id, placed.k AS geohash_numeric, coalesce(s.b, placed.b)::BIGINT AS bucket_min FROM placed LEFT JOIN (SELECT * FROM s WHERE step = 12) s ON s.b0 = placed.b AND s.k = placed.k""")
 def incremental_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd events added to the silver table of the even ones, with splits of oversize buckets."""
     rows = points(spark, sf_dir)

@@ -6,7 +6,7 @@ import uuid
 import pytest
 from geobucket.functions import store as S
 from geobucket.operators import bucketing as B
-from geobucket.plans import pipeline, tables
+from geobucket.plans import pipeline, tables, versions
 from geobucket.plans.tables import TableSpec
 from geobucket.sources import formats
 from geobucket.streaming import ingest
@@ -56,7 +56,7 @@ def test_incremental_load_touches_only_its_buckets(spark, specs, tmp_path):
     bronze, silver = specs
     pipeline.initial_load(spark, feature_file(tmp_path, spread(500)), bronze, silver, properties=["id"])
     before = counts(spark, silver)
-    files = lambda: {r[0]: {f for f in r[1]} for r in spark.table(silver.name).selectExpr("bucket_min", "_metadata.file_path AS f").groupBy("bucket_min").agg({"f": "collect_set"}).collect()}
+    files = lambda: {r.bucket_min: r.load for r in versions.parts(spark, silver, versions.current(spark, silver)).collect()}
     old = files()
     one = spark.table(silver.name).orderBy("geohash_numeric").offset(250).first()
     x, y = one.geometry.part[0].coordinate[0]
@@ -102,11 +102,72 @@ def test_stream_appends_to_buckets(spark, specs, tmp_path):
     rows = pipeline.refined(ingest.stream_features(spark, str(tmp_path / "in")))
     assert rows.isStreaming
     batch = formats.read_geojson_lines(spark, str(tmp_path / "in"))
-    buckets = spark.createDataFrame([(0,), (500_000_000,)], "bucket_min long")
-    schema = B.assign_to_existing(pipeline.refined(batch), pipeline.KEY, buckets).schema
-    tables.create_table(spark, silver, schema, partitioned_by=["bucket_min"])
-    ingest.ingest(ingest.stream_features(spark, str(tmp_path / "in")), silver, buckets, str(tmp_path / "check")).awaitTermination()
-    assert counts(spark, silver).keys() == {0, 500_000_000} and spark.table(silver.name).count() == 50
+    assert batch.count() == 50
+    for k in range(2):  # the second run finds no new file
+        ingest.ingest(ingest.stream_features(spark, str(tmp_path / "in")), silver, str(tmp_path / "check")).awaitTermination()
+        assert spark.table(silver.name).count() == 50
+    feature_file(tmp_path / "in", spread(400, 0.01), "b.geojson")
+    ingest.ingest(ingest.stream_features(spark, str(tmp_path / "in")), silver, str(tmp_path / "check")).awaitTermination()
+    assert spark.table(silver.name).count() == 450 and max(counts(spark, silver).values()) <= B.MOST
+    pipeline.merged(pipeline.refined(batch), silver, ingest.load_id(str(tmp_path / "check"), 0))  # a batch that is tried again
+    assert spark.table(silver.name).count() == 450
+
+
+#: Where a load breaks off, whether after that step or before it, and whether it is the table's first.
+BREAKS = [("tables.create_table", True, True), ("versions.commit", False, True), ("versions.write_load", False, False), ("versions.write_load", True, False), ("versions.renamed", False, False), ("versions.commit", True, False), ("versions.shown", True, False)]
+
+
+@pytest.mark.parametrize(("step", "after", "first"), BREAKS)
+def test_a_load_that_breaks_off(spark, specs, tmp_path, monkeypatch, step, after, first):
+    """Readers see all of a load or nothing of it, and a second run leaves each row once."""
+    bronze, silver = specs
+    files = [feature_file(tmp_path, spread(100), "a.geojson"), feature_file(tmp_path, spread(150, 0.05), "b.geojson")]
+    if not first:
+        pipeline.initial_load(spark, files[0], bronze, silver, properties=["id"], load="one")
+    run = (lambda: pipeline.initial_load(spark, files[0], bronze, silver, properties=["id"], load="one")) if first else (lambda: pipeline.incremental_load(spark, files[1], bronze, silver, properties=["id"], load="two"))
+    module, name = step.split(".")
+    module = {"tables": tables, "versions": versions}[module]
+
+    def broken(*a, f=getattr(module, name), **b):
+        if after:
+            f(*a, **b)
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(module, name, broken)
+        with pytest.raises(OSError):
+            run()
+    seen = spark.table(silver.name).count() if spark.catalog.tableExists(silver.name) else 0
+    assert seen in ((0, 100) if first else (100, 250))
+    for _ in range(2):
+        run()
+        rows = spark.table(silver.name).select("id", "bucket_min", "geohash_numeric").collect()
+        want = [str(i) for i in range(100)] + ([] if first else [str(i) for i in range(150)])
+        assert sorted(r.id for r in rows) == sorted(want) and spark.table(bronze.name).count() == len(want)
+        assert all(r.geohash_numeric >= r.bucket_min for r in rows)
+
+
+def test_two_loads_at_once(spark, specs, tmp_path, monkeypatch):
+    """The one that commits second starts again from the other's version."""
+    bronze, silver = specs
+    pipeline.initial_load(spark, feature_file(tmp_path, spread(100)), bronze, silver, properties=["id"], load="one")
+    real, runs = versions.commit, []
+
+    def commit(*a, **b):
+        if not runs:
+            runs.append(1)
+            pipeline.incremental_load(spark, feature_file(tmp_path, spread(90, 0.02), "b.geojson"), bronze, silver, properties=["id"], load="between")
+        return real(*a, **b)
+
+    monkeypatch.setattr(versions, "commit", commit)
+    pipeline.incremental_load(spark, feature_file(tmp_path, spread(120, 0.04), "c.geojson"), bronze, silver, properties=["id"], load="outer")
+    assert versions.current(spark, silver) == 3 and spark.table(silver.name).count() == 310 == spark.table(bronze.name).count()
+    assert versions.vacuum(spark, silver) > 0 and spark.table(silver.name).count() == 310
+    assert versions.live(spark, silver, 3).count() == 310 and versions.vacuum(spark, silver) == 0
+    with pytest.raises(ValueError):
+        pipeline.initial_load(spark, feature_file(tmp_path, spread(3), "d.geojson"), bronze, silver, properties=["id"])
+    with pytest.raises(ValueError):
+        pipeline.incremental_load(spark, feature_file(tmp_path, spread(3), "d.geojson"), bronze, silver, load="a'b")
 
 
 def test_files_of_lines(spark, tmp_path):
