@@ -22,6 +22,7 @@ from .plans import pipeline, tables
 from .plans.scratch import scratch_path, stored
 from .plans.tables import TableSpec
 from .sources import database, edges, formats
+from .sources.collections import features_in
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -242,16 +243,26 @@ def feature_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").select("event_id", F.posexplode(formats.features_of(document)).alias("k", "feature")).withColumn("k", F.col("k").cast("long"))
 
 
-@_query("SELECT 'c' || (event_id // 100 % 16)::VARCHAR || '_ndjson.json' AS lines_file, count(*) AS lines FROM events GROUP BY 1")
+#: Features of a document that the fixture is written in, and folders of these.
+DOCUMENT, FOLDERS = 2000, 16
+
+
+@_query(f"SELECT 'c' || (event_id // {DOCUMENT} % {FOLDERS})::VARCHAR || '_ndjson.json' AS lines_file, count(*) AS lines, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events, in documents of 100 features each whose lines go to 16 folders."""
-    rows = _table(spark, sf_dir, "events").withColumn("doc", F.expr("event_id div 100")).withColumn("name", F.format_string("c%d", F.col("doc") % 16))
-    docs = rows.groupBy("name", "doc").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(F.struct("event_id")).alias("features"))).alias("value"))
+    """All events as documents of bounded size in few folders, cut into features again, whose lines go to a folder for each."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr(f"event_id div {DOCUMENT}").cast("int").alias("doc"))
+    files = (rows.agg(F.max("doc")).first()[0] or 0) + 1
+    line = F.concat(F.when(F.col("event_id") % DOCUMENT == 0, "").otherwise(","), F.to_json(F.struct("event_id")))
+    lines = rows.select("doc", F.col("event_id").alias("at"), line.alias("value"))
+    ends = rows.groupBy("doc").agg(F.lit(None).cast("long").alias("at")).withColumn("value", F.lit('{"type":"FeatureCollection","features":['))
+    ends = ends.unionByName(ends.select("doc", F.lit(1 << 62).alias("at"), F.lit("]}").alias("value")))
+    docs = lines.unionByName(ends).withColumn("name", F.format_string("c%d", F.col("doc") % FOLDERS))
     folder, target = scratch_path(spark, "documents"), scratch_path(spark, "lines")
-    docs.write.partitionBy("name", "doc").text(folder)
-    lines = spark.read.text(folder, wholetext=True).select(F.explode(formats.features_of(F.col("value"))).alias("feature"), formats.lines_name(F.concat("name", F.lit(".geojson"))).alias("lines_file"))
-    lines.write.partitionBy("lines_file").text(target)
-    return spark.read.text(target).groupBy("lines_file").agg(F.count("*").alias("lines"))
+    # a document is a file, and a file a task's
+    docs.repartitionById(files, F.col("doc")).sortWithinPartitions("name", "doc", "at").drop("doc", "at").write.partitionBy("name").text(folder)
+    found = features_in(spark, f"{folder}/name=*").select("feature", formats.lines_name(F.concat(F.regexp_extract("path", "name=(c[0-9]+)/", 1), F.lit(".geojson"))).alias("lines_file"))
+    found.write.partitionBy("lines_file").text(target)
+    return spark.read.text(target).groupBy("lines_file").agg(F.count("*").alias("lines"), F.sum(F.get_json_object("value", "$.event_id").cast("long")).alias("ids"))
 
 
 @_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")

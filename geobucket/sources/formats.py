@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collections import features_in
+
 FEATURE = "type string, geometry string, properties map<string,string>"
 
 
@@ -17,9 +19,8 @@ def read_geojson_lines(spark: SparkSession, path: str, properties: list[str] | N
 
 
 def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
-    """A row per feature of whole-document FeatureCollections: the feature as JSON text, and its file."""
-    docs = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file"))
-    return docs.select("file", F.explode(features_of(F.col("value"))).alias("feature"))
+    """A row per feature of FeatureCollections of any size: the feature as JSON text, and its file."""
+    return features_in(spark, path).select("file", "feature")
 
 
 def features_of(document: Column) -> Column:
