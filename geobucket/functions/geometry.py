@@ -12,7 +12,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,12 +95,27 @@ def _collection(members: Column) -> Column:
     return F.concat(F.array(F.struct(F.lit(0).alias("type"), F.array().cast(_SHAPE).alias("shape"))), members)
 
 
+_TYPED = "type string, coordinates string, geometries array<string>"
+
+
+def _members_of(texts: Column) -> Column:
+    """Geometries as JSON text, each collection replaced by its members, whatever the depth: a step opens one level, and there are no more levels than opening braces."""
+    collection = lambda g: g["type"] == "GeometryCollection"
+
+    def opened(now: Column, _: Column) -> Column:
+        nested = lambda t: t.contains("GeometryCollection")
+        one = lambda t: F.when(nested(t), _let(F.from_json(t, _TYPED), lambda g: F.when(collection(g), F.coalesce(g["geometries"], F.array(F.lit("null")))).otherwise(F.array(t)))).otherwise(F.array(t))
+        return F.when(F.exists(now, nested), F.flatten(F.transform(now, one))).otherwise(now)
+
+    levels = F.aggregate(texts, F.lit(0), lambda n, t: n + F.regexp_count(t, F.lit('"GeometryCollection"')).cast("int"))
+    return F.when(levels == 0, texts).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), texts, opened))
+
+
 def parse_geojson(text: Column, precision: str = "double") -> Column:
-    """Members of a GeoJSON geometry; null if it is malformed."""
-    schema = "type string, coordinates string, geometries array<struct<type:string,coordinates:string>>"
-    inner = lambda g: F.transform(g["geometries"], lambda m: _member(m["type"], m["coordinates"], precision))
-    members = lambda g: F.when(g["type"] == "GeometryCollection", _collection(inner(g))).otherwise(F.array(_member(g["type"], g["coordinates"], precision)))
-    return _whole(_let(F.from_json(text, schema), members))
+    """Members of a GeoJSON geometry, those of nested collections among them; null if it is malformed."""
+    parsed = lambda t: _let(F.from_json(t, "type string, coordinates string"), lambda m: _member(m["type"], m["coordinates"], precision))
+    members = lambda g: F.when(g["type"] == "GeometryCollection", _collection(F.transform(_members_of(g["geometries"]), parsed))).otherwise(F.array(_member(g["type"], g["coordinates"], precision)))
+    return _whole(_let(F.from_json(text, _TYPED), members))
 
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -125,15 +142,33 @@ def _wkt_lists(kind: Column, body: Column) -> Column:
 
 
 def parse_wkt(text: Column, precision: str = "double") -> Column:
-    """Members of a WKT geometry, collections of simple geometries included; null if it is malformed."""
+    """Members of a WKT geometry, those of nested collections among them; null if it is malformed."""
     nested = r"\((?:[^()]|\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))*\)"
+    # a collection without one inside gives its members to the one around it, as often as there are any
+    simple = rf"[A-Za-z]+\s*(?:{nested}|(?i:EMPTY))"
+    innermost = rf"(?i)(?<=[(,])\s*GEOMETRYCOLLECTION\s*\(\s*((?:(?!GEOMETRYCOLLECTION){simple}\s*,\s*)*(?!GEOMETRYCOLLECTION){simple})\s*\)"
+    inner_ones = F.regexp_count(text, F.lit(r"(?i)GEOMETRYCOLLECTION")) - 1
+    text = F.when(inner_ones <= 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(inner_ones, F.lit(1))), text, lambda t, _: F.regexp_replace(t, innermost, "$1")))
     body = F.regexp_extract(text, r"(?i)^\s*GEOMETRYCOLLECTION\s*\((.*)\)\s*$", 1)
     inner = F.transform(F.regexp_extract_all(body, F.lit(rf"([A-Za-z]+\s*{nested})"), 1), lambda m: _wkt_member(m, precision))
     return _whole(F.when(text.rlike(r"(?i)^\s*GEOMETRYCOLLECTION"), _collection(inner)).otherwise(F.array(_wkt_member(text, precision))))
 
 
-def _wkb_text(raw: bytes, at: int = 0) -> tuple[str, int]:
+#: Codes of the members of multi types.
+MEMBERS = {4: 1, 5: 2, 6: 3}
+_NAMES = {v: k for k, v in TYPES.items()}
+#: Collections within collections beyond which a value counts as damaged.
+DEEPEST = 64
+
+
+class _Damaged(ValueError):
+    pass
+
+
+def _wkb_text(raw: bytes, at: int = 0, wanted: int | None = None, depth: int = 0) -> tuple[str, int]:
     """GeoJSON text of one WKB geometry, and where it ends. Ordinates beyond x and y are skipped."""
+    if raw[at] > 1 or depth > DEEPEST:
+        raise _Damaged
     end = "<" if raw[at] == 1 else ">"
     (code,) = struct.unpack_from(f"{end}I", raw, at + 1)
     at += 5
@@ -142,11 +177,16 @@ def _wkb_text(raw: bytes, at: int = 0) -> tuple[str, int]:
         at += 4
     code &= 0x1FFFFFFF
     size, code = (3 if code // 1000 in (1, 2) else 4 if code // 1000 == 3 else size), code % 1000
+    if code not in _NAMES and code != 7 or wanted not in (None, code):
+        raise _Damaged
 
-    def number() -> int:
+    def number(least: int) -> int:
+        """A count of parts of `least` bytes or more, which must fit in what is left."""
         nonlocal at
         (n,) = struct.unpack_from(f"{end}I", raw, at)
         at += 4
+        if n * least > len(raw) - at:
+            raise _Damaged
         return n
 
     def point() -> str:
@@ -155,31 +195,56 @@ def _wkb_text(raw: bytes, at: int = 0) -> tuple[str, int]:
         at += 8 * size
         return f"[{x!r},{y!r}]"
 
-    many = lambda f: "[" + ",".join([f() for _ in range(number())]) + "]"
-    if code in (1, 2, 3):
-        coordinates = point() if code == 1 else many(point) if code == 2 else many(lambda: many(point))
-        return f'{{"type":"{[k for k, v in TYPES.items() if v == code][0]}","coordinates":{coordinates}}}', at
-    inner = []
-    for _ in range(number()):
-        text, at = _wkb_text(raw, at)
-        inner.append(text)
-    if code == 7:
-        return f'{{"type":"GeometryCollection","geometries":[{",".join(inner)}]}}', at
-    lists = ",".join(x[x.index('"coordinates":') + 14 : -1] for x in inner)
-    return f'{{"type":"{[k for k, v in TYPES.items() if v == code][0]}","coordinates":[{lists}]}}', at
-
-
-@F.pandas_udf(T.StringType())
-def wkb_to_geojson(raw: pd.Series) -> pd.Series:
+    def line() -> str:
+        return "[" + ",".join([point() for _ in range(number(8 * size))]) + "]"
+
+    if code == 1:
+        coordinates = point()
+    elif code == 2:
+        coordinates = line()
+    elif code == 3:
+        coordinates = "[" + ",".join([line() for _ in range(number(4))]) + "]"
+    else:
+        inner = []
+        for _ in range(number(5)):
+            text, at = _wkb_text(raw, at, MEMBERS.get(code), depth + 1)
+            inner.append(text)
+        if code == 7:
+            return f'{{"type":"GeometryCollection","geometries":[{",".join(inner)}]}}', at
+        coordinates = "[" + ",".join(x[x.index('"coordinates":') + 14 : -1] for x in inner) + "]"
+    return f'{{"type":"{_NAMES[code]}","coordinates":{coordinates}}}', at
+
+
+def _plain_points(raw: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are points of 21 bytes without a reference system, and (x, y) of these, without a loop over values."""
+    size = pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False)
+    which = np.flatnonzero(size == 21)
+    if not len(which):
+        return which, np.zeros((0, 2))
+    grid = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(which)], raw.take(pa.array(which))), b"")[0].as_py(), np.uint8).reshape(-1, 21)
+    little, big = ((grid[:, :5] == head).all(1) for head in ([1, 1, 0, 0, 0], [0, 0, 0, 0, 1]))
+    xy = np.where(little[:, None], np.ascontiguousarray(grid[:, 5:]).view("<f8"), np.ascontiguousarray(grid[:, 5:]).view(">f8").astype("<f8"))
+    return which[little | big], xy[little | big]
+
+
+@F.arrow_udf(T.StringType())
+def wkb_to_geojson(raw: pa.Array) -> pa.Array:
     """GeoJSON text of WKB; null where it is damaged. Spark has no native reader of binary geometries."""
 
     def text(x: bytes | None) -> str | None:
         try:
-            return None if x is None else _wkb_text(bytes(x))[0]
-        except (struct.error, IndexError):
+            return None if x is None else _wkb_text(x)[0]
+        except (struct.error, IndexError, ValueError, RecursionError):
             return None
 
-    return raw.map(text)
+    which, xy = _plain_points(raw)
+    out = np.empty(len(raw), object)
+    out[which] = [f'{{"type":"Point","coordinates":[{x!r},{y!r}]}}' for x, y in xy.tolist()]
+    rest = np.ones(len(raw), bool)
+    rest[which] = False
+    rest = np.flatnonzero(rest)
+    out[rest] = [text(x) for x in raw.take(pa.array(rest)).to_pylist()]
+    return pa.array(out, pa.string())
 
 
 def parse(value: Column, fmt: str, precision: str = "double") -> Column:

@@ -100,6 +100,13 @@ def equi_depth_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.equi_depth_splits(keyed(spark, sf_dir), "geohash_numeric", rel_error=0.0)
 
 
+@_query(f"WITH {_XY}, {_SPLITS} SELECT i AS split_no, true AS within FROM b, range(b.b + 1) t(i)")
+def equi_depth_splits_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the rank of each split of a relative error of 0.01 within it?"""
+    rows = keyed(spark, sf_dir)
+    return B.within_rank(rows, "geohash_numeric", B.equi_depth_splits(rows, "geohash_numeric", rel_error=0.01), 0.01)
+
+
 @_query(f"""WITH {_XY}, {_SPLITS}, own AS (SELECT DISTINCT split::BIGINT AS s FROM splits WHERE split_no < (SELECT b FROM b))
 SELECT event_id, geohash_numeric, s AS bucket_min FROM keyed ASOF JOIN own ON geohash_numeric >= s""")
 def static_bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +139,16 @@ def bucket_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.medians(histogram, "bucket_min", "geohash_numeric").select("bucket_min", F.col("n").alias("record_count"), "median")
 
 
+@_query(f"WITH {_LAID} SELECT bucket_min, count(*) AS record_count, min(geohash_numeric) AS least, true AS within FROM laid GROUP BY 1")
+def bucket_medians_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Is the rank of each label's median of a relative error of 0.02 within it?"""
+    rows = _laid(spark, sf_dir)
+    found = B.approximate_medians(rows, "bucket_min", "geohash_numeric", 0.02)
+    both = rows.join(found, "bucket_min").groupBy("bucket_min", "n", "least").agg(F.count_if(F.col("geohash_numeric") < F.col("median")).alias("below"), F.count_if(F.col("geohash_numeric") <= F.col("median")).alias("upto"))
+    within = (F.col("below") <= 0.52 * F.col("n")) & (F.col("upto") >= 0.48 * F.col("n"))
+    return both.select("bucket_min", F.col("n").alias("record_count"), "least", within.alias("within"))
+
+
 @_query(f"""WITH {_LAID}, m AS (SELECT bucket_min, count(*) AS n, min(geohash_numeric) AS lo, quantile_disc(geohash_numeric, 0.5) AS median FROM laid GROUP BY 1)
 SELECT CASE WHEN n > 128 AND median > lo AND geohash_numeric >= median THEN median ELSE bucket_min END AS bucket_min, count(*) AS record_count FROM laid JOIN m USING (bucket_min) GROUP BY 1""")
 def median_split_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,12 +425,13 @@ def edge_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("pos", F.explode(edges.parsed_edges(F.col("t"))).alias("e")).select("pos", "e.src", "e.dst")
 
 
-@_query(f"WITH {_EDGES} SELECT pos AS edge_id, src, dst FROM edges")
+@_query(f"WITH {_EDGES} SELECT pos, pos AS edge_id, src, dst FROM edges")
 def edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges written as lines of three tokens and read again."""
+    """Edges written as lines of three tokens to a folder of files in order, and read again with the lines' places."""
     path = scratch_path(spark, "edges")
-    _edges(spark, sf_dir).select(F.format_string("e%d n%d n%d", "pos", "src", "dst").alias("value")).write.text(path)
-    return edges.read_edges(spark, path).select(F.col("edge_id").cast("long").alias("edge_id"), "src", "dst")
+    rows = _edges(spark, sf_dir).repartitionByRange("pos").sortWithinPartitions("pos")
+    rows.select(F.format_string("e%d n%d n%d", "pos", "src", "dst").alias("value")).write.text(path)
+    return edges.read_edges(spark, path).select("pos", F.col("edge_id").cast("long").alias("edge_id"), "src", "dst")
 
 
 @_query(f"WITH {_PAIRS} SELECT edge1_id, edge2_id, n1, n2, n3 FROM pairs")
@@ -441,6 +459,13 @@ def pair_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.uncovered_pairs(graph.numbered_pairs(_edges(spark, sf_dir)), _trace(spark, sf_dir)).select("pair_no", "n1", "n2", "n3")
 
 
+@_query(f"""WITH {_EDGES.split(",")[0]}, {_TRIPLES.split("trace AS")[0]} five AS (SELECT node::INT AS n1, lead(node::INT, 1) OVER w AS n2, lead(node::INT, 2) OVER w AS n3, lead(node::INT, 3) OVER w AS n4, lead(node::INT, 4) OVER w AS n5 FROM steps WINDOW w AS (ORDER BY ts, event_id, k))
+SELECT DISTINCT n1, n2, n3, n4, n5 FROM five WHERE n5 IS NOT NULL""")
+def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different runs of five nodes of the trace."""
+    return graph.trace_windows(_trace(spark, sf_dir), 5)
+
+
 @_query(f"WITH {_PAIRS}, {_TRIPLES} SELECT count(*) AS pairs, count(t.n1) AS covered, count(*) = count(t.n1) AS all_covered FROM pairs p LEFT JOIN triples t ON p.n1 = t.n1 AND p.n2 = t.n2 AND p.n3 = t.n3")
 def pair_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.coverage(graph.numbered_pairs(_edges(spark, sf_dir)), _trace(spark, sf_dir))
@@ -540,6 +565,23 @@ def item_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.item_by_index(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey", 41)
 
 
+@_query("""WITH p AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part)
+SELECT i, '{"p_partkey":' || p_partkey || ',"p_size":' || p_size || '}' AS json FROM p WHERE i IN (SELECT l_orderkey FROM lineitem)""")
+def items_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items at all positions that a table asks for."""
+    index = S.position_index(_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    return index.fetch(_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i")))
+
+
+@_query("""WITH a AS (SELECT user_id % 50 AS userid, event_id % 3 AS id, CASE WHEN event_id % 5 < 2 THEN 1 ELSE -1 END AS change, ts, event_id FROM events),
+s AS (SELECT *, sum(change) OVER (PARTITION BY userid, id ORDER BY ts, event_id) AS s FROM a)
+SELECT userid, id, (sum(change) - least(0, min(s)))::BIGINT AS quantity FROM s GROUP BY ALL HAVING sum(change) - least(0, min(s)) > 0""")
+def folded_carts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carts after all events as actions in the order of time."""
+    actions = _table(spark, sf_dir, "events").selectExpr("user_id % 50 AS userid", "event_id % 3 AS id", "CASE WHEN event_id % 5 < 2 THEN 1 ELSE -1 END AS change", "ts", "event_id")
+    return S.folded_carts(actions, "ts", "event_id")
+
+
 @_query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'getviews' WHEN 1 THEN 'getallitems' ELSE 'Invalid action' END AS action,
 CASE event_id % 3 WHEN 0 THEN event_id::VARCHAR ELSE '' END AS id, CASE event_id % 3 WHEN 1 THEN user_id::VARCHAR ELSE '' END AS i FROM events""")
 def json_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
