@@ -302,6 +302,16 @@ def format_dispatch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_by_extension(spark, path).select(F.col("properties")["name"].alias("n_name"), F.col("properties")["key"].alias("key"), "geometry")
 
 
+@_query("""SELECT p_partkey AS "key", p_partkey % 7 = 3 AS flag, CASE WHEN p_partkey % 3 > 0 THEN p_partkey * 1.5 ELSE p_partkey END::DOUBLE AS half, CASE WHEN p_partkey % 5 > 0 THEN p_partkey::VARCHAR ELSE 'none of "it"' END AS mixed, '{"a":' || p_size || '}' AS nested, NULL::VARCHAR AS nothing, CASE WHEN p_partkey % 2 = 0 THEN p_size::BIGINT END AS "some", '{"type":"Point","coordinates":[' || p_size || ',1]}' AS geometry FROM part""")
+def property_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of parts with properties of all kinds, read as columns of the types that are found in them."""
+    path = scratch_path(spark, "parts") + ".geojson"
+    pairs = """concat('"key":', p_partkey, ',"flag":', p_partkey % 7 = 3, ',"half":', if(p_partkey % 3 > 0, format_string('%.1f', p_partkey * 1.5D), cast(p_partkey AS string)), ',"mixed":', if(p_partkey % 5 > 0, cast(p_partkey AS string), '"none of \\\\"it\\\\""'), ',"nested":{"a":', p_size, '},"nothing":null', if(p_partkey % 2 = 0, concat(',"some":', p_size), ''))"""
+    line = F.expr(f"""concat('{{"type":"Feature","geometry":{{"type":"Point","coordinates":[', p_size, ',1]}},"properties":{{', {pairs}, '}}}}')""")
+    _table(spark, sf_dir, "part").select(line.alias("value")).write.text(path)
+    return formats.read_geojson_lines(spark, path, formats.ALL)
+
+
 @_query()
 def schema_ddl(spark: SparkSession, sf_dir: str) -> DataFrame:
     statements = tables.create_sql(TableSpec("lake", "events"), _table(spark, sf_dir, "events").schema, partitioned_by=["bucket_min"])

@@ -10,12 +10,45 @@ from .collections import features_in
 FEATURE = "type string, geometry string, properties map<string,string>"
 
 
-def read_geojson_lines(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
-    """One feature a line: geometry as GeoJSON text, and properties as columns where named, else as a map. Blank lines are skipped."""
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", FEATURE).alias("f"))
+#: Given as the properties' names, all of them become columns of their own types.
+ALL = "all"
+
+
+def property_types(lines: DataFrame) -> dict[str, str]:
+    """Name to type of the properties of features (value), in the order of names, from all lines.
+
+    The types of a name's values are merged by an aggregate: whole numbers are
+    bigint, with other numbers double, true and false boolean; all else, mixed
+    and nested values too, is a string, as is a name whose values are all null.
+    A row a name reaches the driver.
+    """
+    spark = lines.sparkSession
+    found = lines.select(F.expr("variant_get(try_parse_json(value), '$.properties', 'variant')").alias("p")).filter("p IS NOT NULL")
+    each = found.lateralJoin(spark.tvf.variant_explode(F.col("p").outer())).filter("key IS NOT NULL")
+    merged = each.groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind")).collect()
+    kinds = (("BIGINT", "bigint"), ("DECIMAL", "double"), ("DOUBLE", "double"), ("FLOAT", "double"), ("BOOLEAN", "boolean"))
+    return {r.key: next((k for x, k in kinds if r.kind.startswith(x)), "string") for r in sorted(merged, key=lambda r: r.key)}
+
+
+def read_geojson_lines(spark: SparkSession, path: str, properties: list[str] | str | None = None) -> DataFrame:
+    """One feature a line: geometry as GeoJSON text, and properties as a map of strings, as string columns where named, or, for ALL, each as a column of its type.
+
+    Blank lines are skipped. A property called geometry gets underscores.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    rows = lines.select(F.from_json("value", FEATURE).alias("f"))
     if properties is None:
         return rows.select("f.geometry", "f.properties")
-    return rows.select("f.geometry", *[F.col("f.properties")[p].alias(p) for p in properties])
+    if properties != ALL:
+        return rows.select("f.geometry", *[F.col("f.properties")[p].alias(p) for p in properties])
+    types, taken, out = property_types(lines), {"geometry"}, []
+    for name, kind in types.items():
+        shown = name
+        while shown.lower() in taken:
+            shown += "_"
+        taken.add(shown.lower())
+        out.append(F.try_element_at(F.col("f.properties"), F.lit(name)).try_cast(kind).alias(shown))
+    return rows.select("f.geometry", *out)
 
 
 def read_feature_collection(spark: SparkSession, path: str) -> DataFrame:
@@ -45,8 +78,8 @@ def collections_to_lines(spark: SparkSession, folder: str, target: str) -> DataF
     return rows.groupBy("file", "lines_file").agg(F.count("*").alias("features"))
 
 
-def read_by_extension(spark: SparkSession, path: str, header: bool = True, properties: list[str] | None = None) -> DataFrame:
-    """GeoJSON lines (with the named properties as columns), Parquet or CSV by the lower-cased extension; anything else is a ValueError."""
+def read_by_extension(spark: SparkSession, path: str, header: bool = True, properties: list[str] | str | None = None) -> DataFrame:
+    """GeoJSON lines (with the named properties, or all, as columns), Parquet or CSV by the lower-cased extension; anything else is a ValueError."""
     low = path.lower().rstrip("/")
     if low.endswith((".json", ".geojson")):
         return read_geojson_lines(spark, path, properties)
