@@ -45,6 +45,13 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt anew if fewer of its partitions hold rows than there are cores: a file of one row group is one task's, whatever its size."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    full = docs.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).count()
+    return docs.repartition(cores) if full < cores else docs
+
+
 def normal_words(text: Column) -> Column:
     """Lower-case words joined by single spaces; null gives the empty string."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))

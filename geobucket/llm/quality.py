@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, spread, stored
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Rows, in the mean, of the sample on which costs and selectivities are estimated, and how often each is timed.
@@ -180,6 +180,7 @@ def quality_documents(docs: DataFrame, cascade: Cascade | None = None) -> DataFr
     rows are judged alike; other columns are ignored. An empty table gives no
     rows.
     """
+    docs = spread(docs)
     cascade = cascade or Cascade.fit(docs)
     # __words is used by several expressions, so Spark computes it once
     rows = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("__text"), words_of(docs["text"]).alias("__words"))
