@@ -13,11 +13,13 @@ listed keys are joined instead, with the same result.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ from .common import dropped, mixed, stored
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MOST_BYTES, FIRST_RATE, NEXT_RATE = 64 << 20, 0.02, 0.5
 BUCKET = 32768
+#: Shards of keys beyond which filters are smaller than can be meant.
+MOST_SHARDS = 1024
 
 
 def _places(a: np.ndarray, b: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
@@ -108,25 +112,50 @@ def cascade(universe: DataFrame, most_bytes: int = MOST_BYTES) -> Cascade | None
     return out
 
 
-def with_listed(rows: DataFrame, key: str, listed: DataFrame, name: str = "listed", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """rows with a boolean: is the key in the first column of `listed`? Null keys are not.
+def _shard(key: Column, shards: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), key), F.lit(shards))
 
-    The list may hold keys that no row has, nulls and repeated keys.
-    """
-    keys = listed.select(F.col(listed.columns[0]).cast("string").alias("key"))
-    universe = rows.select(F.col(key).alias("key"), F.lit(False).alias("listed")).unionByName(keys.select("key", F.lit(True).alias("listed")))
-    found = cascade(universe, most_bytes)
-    if found is None:
-        keys = keys.select(F.col("key").alias("__key")).distinct().withColumn(name, F.lit(True))
-        return rows.join(keys, rows[key] == keys["__key"], "left").withColumn(name, F.coalesce(name, F.lit(False))).drop("__key")
-    sent = rows.sparkSession.sparkContext.broadcast(found)
 
+def cascades(universe: DataFrame, most_bytes: int = MOST_BYTES) -> list[Cascade]:
+    """One cascade, or one for each of 2, 4, ... shards of the keys' hashes, so that each stays within most_bytes."""
+    shards = 1
+    while shards <= MOST_SHARDS:
+        out: list[Cascade] = []
+        for k in range(shards):
+            found = cascade(universe if shards == 1 else universe.filter(_shard(F.col("key"), shards) == k), most_bytes)
+            if found is None:
+                break
+            out.append(found)
+        else:
+            return out
+        shards *= 2
+    raise ValueError(f"a filter of {most_bytes} bytes is too small")
+
+
+def _contains(sent: Broadcast) -> Callable[[Column, Column], Column]:
     @F.pandas_udf("boolean")
     def contains(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(sent.value.contains(a.to_numpy(), b.to_numpy()))
 
-    a, b = hashed(F.col(key))
-    return rows.withColumn(name, F.col(key).isNotNull() & contains(a, b))
+    return contains
+
+
+def with_listed(rows: DataFrame, key: str, listed: DataFrame, name: str = "listed", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """rows with a boolean: is the key in the first column of `listed`? Null keys are not.
+
+    The list may hold keys that no row has, nulls and repeated keys. Beyond
+    most_bytes of filters there is a cascade for each shard of keys, and the
+    rows are read once a shard, of which one cascade at a time is sent.
+    """
+    keys = listed.select(F.col(listed.columns[0]).cast("string").alias("key"))
+    universe = rows.select(F.col(key).alias("key"), F.lit(False).alias("listed")).unionByName(keys.select("key", F.lit(True).alias("listed")))
+    found, parts = cascades(universe, most_bytes), []
+    for k, own in enumerate(found):
+        contains = _contains(rows.sparkSession.sparkContext.broadcast(own))
+        a, b = hashed(F.col(key))
+        mine = rows if len(found) == 1 else rows.filter(F.coalesce(_shard(F.col(key), len(found)), F.lit(0)) == k)
+        parts.append(mine.withColumn(name, F.col(key).isNotNull() & contains(a, b)))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:

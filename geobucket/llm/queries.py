@@ -58,19 +58,20 @@ def op7_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
-#: Labels of the hosts that the fixture lists.
-LISTED_LABELS = ("adult", "ads", "bets", "casino", "pills", "spam")
+#: The fixture's hosts are made of words by these begins and ends.
+HOST_BEGINS, HOST_ENDS = ("", "blog.", "m.", "www."), (".example.com", ".example.net", ".example.org")
 
 
-def listed_hosts(pages: DataFrame) -> DataFrame:
-    """The fixture's list, a table of hosts: the tables have none of their own."""
-    hosts = pages.select(url_parts(pages["url"])[0].alias("host")).distinct()
-    return hosts.filter(F.col("host").rlike(r"(^|[.-])(" + "|".join(LISTED_LABELS) + r")([.-]|$)"))
+def listed_hosts(items: DataFrame) -> DataFrame:
+    """The fixture's list, a table of hosts made of all words of the benchmark: most are of no page, and most pages' hosts are not listed."""
+    words = items.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word")).distinct()
+    parts = words.select("word", F.explode(F.array(*map(F.lit, HOST_BEGINS))).alias("begin")).select("*", F.explode(F.array(*map(F.lit, HOST_ENDS))).alias("end"))
+    return parts.select(F.concat("begin", "word", "end").alias("host"))
 
 
 def op8_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return judge_urls(pages, stored(listed_hosts(pages), "listed"))
+    return judge_urls(pages, stored(listed_hosts(table(spark, sf_dir, "benchmark")), "listed"))
 
 
 def op9_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +109,7 @@ r AS (SELECT *, CASE
   WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM q)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN regexp_matches(host, '(^|[.-])(adult|ads|bets|casino|pills|spam)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host IN (SELECT b || w || e FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), unnest(['', 'blog.', 'm.', 'www.']) x(b), unnest(['.example.com', '.example.net', '.example.org']) y(e)) THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 
