@@ -8,7 +8,7 @@ are a table; the universe is the keys of the rows to judge and the list
 together, so building the cascade takes one grouping and no join. Each level is
 built by Spark as bitmap buckets; only the finished bits, whose number is known
 from the count of keys, reach the driver and the tasks. Above `most_bytes` the
-listed keys are joined instead, with the same result.
+keys are dealt to shards by their hash, with a cascade each.
 """
 
 from __future__ import annotations
