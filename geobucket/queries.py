@@ -240,6 +240,18 @@ def geom_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rectangles(spark, sf_dir).withColumn("g", g).select("p_partkey", F.round("g.center.x", 6).alias("cx"), F.round("g.center.y", 6).alias("cy"))
 
 
+@_query("""SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN x WHEN 1 THEN x + 1 WHEN 2 THEN (4 * (x + 2) + 2 * (x + 4)) / 6 ELSE x + 4 END, 6)::DOUBLE AS cx,
+round(CASE o_orderkey % 4 WHEN 0 THEN y WHEN 1 THEN y + 2 WHEN 2 THEN (4 * y + 2 * (y + 1)) / 6 ELSE y + 1 END, 6)::DOUBLE AS cy, (o_orderkey % 4)::INT AS kind FROM (SELECT o_orderkey, o_orderkey % 90 AS x, o_custkey % 40 AS y FROM orders)""")
+def geom_center_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers of points, multi-points, lines, and of nested collections, where the highest dimension decides."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderkey % 4 AS int) AS kind", "o_orderkey % 90 AS x", "o_custkey % 40 AS y")
+    text = """CASE kind WHEN 0 THEN format_string('POINT (%d %d)', x, y) WHEN 1 THEN format_string('MULTIPOINT ((%d %d), (%d %d))', x, y, x + 2, y + 4)
+      WHEN 2 THEN format_string('LINESTRING (%d %d, %d %d, %d %d)', x, y, x + 4, y, x + 4, y + 2)
+      ELSE format_string('GEOMETRYCOLLECTION (POINT (1 1), GEOMETRYCOLLECTION (LINESTRING (%d %d, %d %d)))', x, y, x + 8, y + 2) END"""
+    found = rows.select("o_orderkey", "kind", G.geometry_struct(F.expr(text), "wkt", ["center"]).alias("g"))
+    return found.select("o_orderkey", F.round("g.center.x", 6).alias("cx"), F.round("g.center.y", 6).alias("cy"), "kind")
+
+
 @_query("SELECT o_orderkey, (o_orderkey % 90)::DOUBLE AS sx, (o_custkey % 40)::DOUBLE AS sy, (o_custkey % 50)::DOUBLE AS ex, 1.0::DOUBLE AS ey FROM orders")
 def geom_startend(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").withColumn("wkt", F.expr("format_string('LINESTRING (%d %d, 90 0, %d 1)', o_orderkey % 90, o_custkey % 40, o_custkey % 50)"))
@@ -605,6 +617,13 @@ def date_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), S.text_date(text).alias("date"))
 
 
+@_query("SELECT row_number() OVER (ORDER BY o_orderkey) AS id, o_custkey::INT AS item, floor(o_totalprice)::INT AS totalprice, 'Pending' AS \"orderStatus\" FROM orders")
+def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as receipts with dense ids in their order."""
+    carts = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "array(cast(o_custkey AS int)) AS items", "cast(floor(o_totalprice) AS int) AS totalprice")
+    return S.receipts(carts, "o_orderkey").select("id", F.get("items", F.lit(0)).alias("item"), "totalprice", "orderStatus")
+
+
 @_query("SELECT c_custkey, (c_custkey % 5)::INT + 1 AS more, greatest(0, (c_custkey % 5)::INT - 1) AS less FROM customer")
 def cart_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cart with c_custkey % 5 pieces of item 7, with one more and one less."""
