@@ -261,13 +261,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     """Writes (doc_id, n_tokens, ids, at) in ascending doc_id order, a file for each range.
 
     Rows that repeat an id are ordered by a hash of their text, then by the
-    text; null ids come first. The number of files follows the bytes of text.
+    text; rows equal in both are dealt by their place in the input, so a much
+    repeated one spreads over files. Null ids come first. The number of files
+    follows the bytes of text.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files = max(1, math.ceil(size / file_bytes), min(SPREAD * docs.sparkSession.sparkContext.defaultParallelism, size // LEAST_BYTES))
-    dealt = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(files, "doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "text")
     encoded(dealt.select("doc_id", "text"), tokenizer_file, end_id).write.options(**ORC).orc(path)
 
 
