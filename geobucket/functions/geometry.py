@@ -254,6 +254,44 @@ def parse(value: Column, fmt: str, precision: str = "double") -> Column:
     return parse_wkt(value, precision) if fmt == "wkt" else parse_geojson(value, precision)
 
 
+def as_geojson(members: Column) -> Column:
+    """Members as GeoJSON text; collections have their members, those of nested ones too, at one level. An empty point has no coordinates."""
+    first = lambda x: F.get(x, F.lit(0))
+    texts = (
+        lambda s: F.to_json(first(first(first(s)))),
+        lambda s: F.to_json(first(first(s))),
+        lambda s: F.to_json(first(s)),
+        lambda s: F.to_json(F.transform(s, lambda g: first(first(g)))),
+        lambda s: F.to_json(F.transform(s, first)),
+        lambda s: F.to_json(s),
+    )
+
+    def one(m: Column) -> Column:
+        coordinates = F.lit(None).cast("string")
+        for kind, text in enumerate(texts, 1):
+            coordinates = F.when(m["type"] == kind, text(m["shape"])).otherwise(coordinates)
+        name = F.element_at(F.array(*map(F.lit, TYPES)), m["type"])
+        return F.concat(F.lit('{"type":"'), name, F.lit('","coordinates":'), F.coalesce(coordinates, F.lit("[]")), F.lit("}"))
+
+    inner = lambda x: F.array_join(F.transform(F.filter(x, lambda m: m["type"] > 0), one), ",")
+    return _let(members, lambda x: F.when(F.size(x) == 1, F.when(first(x)["type"] > 0, one(first(x))).otherwise(F.lit(_NONE))).otherwise(F.concat(F.lit(_NONE[:-2]), inner(x), F.lit("]}"))))
+
+
+_NONE = '{"type":"GeometryCollection","geometries":[]}'
+
+
+def geojson_text(value: Column, fmt: str, precision: str = "double") -> Column:
+    """GeoJSON text of a geometry given as text in a format; null where it can't be parsed."""
+    return as_geojson(parse(value, fmt, precision))
+
+
+def with_geojson(df: DataFrame, name: str, fmt: str, precision: str = "double") -> DataFrame:
+    """df with the geometry column, in any format, as GeoJSON text; null where it can't be parsed."""
+    if fmt == "wkb":
+        df, fmt = df.withColumn(name, wkb_to_geojson(F.col(name))), "geojson"
+    return df.withColumn(name, geojson_text(F.col(name), fmt, precision))
+
+
 def _parts(members: Column) -> Column:
     """The flat part list of the result; empty for collections."""
     xy = lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))

@@ -7,6 +7,7 @@ division, edges from orders, traces from events; text is built of integers.
 from __future__ import annotations
 
 import itertools
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -221,6 +222,51 @@ def parse_wkb_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(G.with_geometry(rows, "wkb", "wkb").withColumnRenamed("wkb", "g"), "s_suppkey")
 
 
+def _wkb_shape(kind: str, end: str) -> str:
+    """SQL for hexadecimal WKB of the points (x y), (7 0), (0 7), (x y) and (y x), with ordinates from 0 to 7, as the kind asks for."""
+    known = ", ".join(f"'{struct.pack(end + 'd', v).hex()}'" for v in range(8))
+    at = lambda v: f"element_at(array({known}), cast({v} AS int) + 1)"
+    n = lambda v: f"'{struct.pack(end + 'I', v).hex()}'"
+    head = lambda code: f"'{'01' if end == '<' else '00'}', {n(code)}"
+    dot = lambda a, b: f"{at(a)}, {at(b)}"
+    line, ring = f"{n(2)}, {dot('x', 'y')}, {dot('y', 'x')}", f"{n(1)}, {n(4)}, {dot('x', 'y')}, {dot(7, 0)}, {dot(0, 7)}, {dot('x', 'y')}"
+    inner = {"points": (4, f"{head(1)}, {dot('x', 'y')}, {head(1)}, {dot('y', 'x')}"), "lines": (5, f"{head(2)}, {line}, {head(2)}, {line}"), "polygons": (6, f"{head(3)}, {ring}, {head(3)}, {ring}")}
+    if kind in inner:
+        code, body = inner[kind]
+        return f"concat({head(code)}, {n(2)}, {body})"
+    return f"concat({head(2)}, {line})" if kind == "line" else f"concat({head(3)}, {ring})"
+
+
+_WKB_KINDS = ("line", "polygon", "points", "lines", "polygons")
+_EACH_KIND = "CASE p_partkey % 5 WHEN 0 THEN {} WHEN 1 THEN {} WHEN 2 THEN {} WHEN 3 THEN {} ELSE {} END"
+
+
+@_query(f"""SELECT p_partkey, ({_EACH_KIND.format(2, 3, 4, 5, 6)})::INT AS type, ({_EACH_KIND.format(1, 1, 2, 2, 2)})::BIGINT AS parts, ({_EACH_KIND.format(2, 4, 2, 4, 8)})::BIGINT AS points,
+({_EACH_KIND.format("x + y", "2 * x + 7", "x + y", "2 * (x + y)", "4 * x + 14")})::DOUBLE AS sum_x, ({_EACH_KIND.format("x + y", "2 * y + 7", "x + y", "2 * (x + y)", "4 * y + 14")})::DOUBLE AS sum_y FROM (SELECT p_partkey, p_partkey % 8 AS x, p_size % 8 AS y FROM part)""")
+def parse_wkb_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary lines, polygons and multi types in either byte order."""
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", "p_partkey % 8 AS x", "p_size % 8 AS y")
+    little, big = (_EACH_KIND.format(*[_wkb_shape(k, end) for k in _WKB_KINDS]) for end in "<>")
+    rows = rows.withColumn("g", F.unhex(F.expr(f"CASE WHEN p_partkey % 2 = 0 THEN {little} ELSE {big} END")))
+    return _shown(G.with_geometry(rows, "g", "wkb"), "p_partkey")
+
+
+_DOT, _BEND = "'[' || x::DOUBLE || ',' || y::DOUBLE || ']'", "'[' || (x + 3)::DOUBLE || ',' || y::DOUBLE || '],[' || (x + 3)::DOUBLE || ',' || (y + 3)::DOUBLE || ']'"
+
+
+@_query(f"""SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN '{{"type":"Point","coordinates":' || dot || '}}' WHEN 1 THEN '{{"type":"LineString","coordinates":[' || dot || ',[5.0,6.5]]}}'
+WHEN 2 THEN '{{"type":"Polygon","coordinates":[[' || ring || ']]}}' WHEN 3 THEN '{{"type":"MultiPoint","coordinates":[' || dot || ',[1.0,2.0]]}}' WHEN 4 THEN '{{"type":"MultiLineString","coordinates":[[' || dot || ',[1.0,2.0]],[[3.0,4.0],[5.0,6.0]]]}}'
+WHEN 5 THEN '{{"type":"MultiPolygon","coordinates":[[[' || ring || ']]]}}' WHEN 6 THEN '{{"type":"GeometryCollection","geometries":[{{"type":"Point","coordinates":' || dot || '}},{{"type":"LineString","coordinates":[[1.0,2.0],[5.0,6.0]]}}]}}' END AS geometry
+FROM (SELECT *, dot || ',' || bend || ',' || dot AS ring FROM (SELECT o_orderkey, {_DOT} AS dot, {_BEND} AS bend FROM (SELECT o_orderkey, o_orderkey % 90 AS x, o_custkey % 40 AS y FROM orders)))""")
+def geometry_as_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WKT of all kinds as GeoJSON text, null where it is damaged."""
+    ring = "format_string('%d %d, %d %d, %d %d, %d %d', x, y, x + 3, y, x + 3, y + 3, x, y)"
+    text = f"""CASE o_orderkey % 8 WHEN 0 THEN format_string('POINT (%d %d)', x, y) WHEN 1 THEN format_string('LINESTRING (%d %d, 5 6.5)', x, y) WHEN 2 THEN concat('POLYGON ((', {ring}, '))') WHEN 3 THEN format_string('MULTIPOINT ((%d %d), (1 2))', x, y)
+      WHEN 4 THEN format_string('MULTILINESTRING ((%d %d, 1 2), (3 4, 5 6))', x, y) WHEN 5 THEN concat('MULTIPOLYGON (((', {ring}, ')))') WHEN 6 THEN format_string('GEOMETRYCOLLECTION (POINT (%d %d), GEOMETRYCOLLECTION (LINESTRING (1 2, 5 6)))', x, y) ELSE 'POINT (1' END"""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 90 AS x", "o_custkey % 40 AS y")
+    return G.with_geojson(rows.select("o_orderkey", F.expr(text).alias("geometry")), "geometry", "wkt")
+
+
 @_query(f"SELECT p_partkey, x::DOUBLE AS minx, y::DOUBLE AS miny, (x + w)::DOUBLE AS maxx, (y + h)::DOUBLE AS maxy FROM (SELECT {_RECT} FROM part)")
 def geom_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = G.geometry_struct(F.col("geojson"), "geojson", ["bbox"])
@@ -294,6 +340,17 @@ def ndjson_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(target).groupBy("lines_file").agg(F.count("*").alias("lines"), F.sum(F.get_json_object("value", "$.event_id").cast("long")).alias("ids"))
 
 
+@_query(f"SELECT 'r' || c_nationkey % 5 || '.geojson' AS file, 'r' || c_nationkey % 5 || '_ndjson.json' AS lines_file, count(*) AS features FROM customer GROUP BY ALL")
+def ndjson_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as documents of five names, each of at most 2,000 features, turned into lines under the names' counterparts."""
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct("c_custkey", "c_name").alias("properties")))
+    rows = _table(spark, sf_dir, "customer").select(F.format_string("r%d.geojson", F.col("c_nationkey") % 5).alias("name"), F.expr(f"c_custkey div {DOCUMENT}").alias("doc"), feature.alias("feature"))
+    document = F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}"))
+    folder = scratch_path(spark, "batch")
+    rows.groupBy("name", "doc").agg(document.alias("value")).drop("doc").write.option("maxRecordsPerFile", 1).partitionBy("name").text(folder)
+    return formats.collections_to_lines(spark, folder, scratch_path(spark, "lines"))
+
+
 @_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def format_dispatch_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_by_extension(spark, f"{sf_dir}/nation.parquet")
@@ -337,6 +394,19 @@ def _fresh(spark: SparkSession, df: DataFrame, partitioned_by: list[str]) -> Tab
     return spec
 
 
+@_query("SELECT o_orderkey, o_custkey, count(*) AS lines, sum(l_quantity::BIGINT)::BIGINT AS pieces FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL")
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their lines in a database of its own, in tables of as many buckets of the order's key as shuffles have partitions, joined and grouped without a shuffle."""
+    database_, buckets = f"geobucket_{spark.sparkContext.applicationId.replace('-', '_')}_{next(_SERIAL)}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        rows, spec = _table(spark, sf_dir, name), TableSpec(database_, name)
+        tables.create_table(spark, spec, rows.schema, partitioned_by=[f"bucket({buckets}, {key})"])
+        tables.append(rows.repartition(buckets, key), spec)
+    orders, lines = (spark.table(f"{database_}.{name}") for name in ("orders", "lineitem"))
+    both = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.groupBy("o_orderkey", "o_custkey").agg(F.count("*").alias("lines"), F.sum(F.col("l_quantity").cast("bigint")).alias("pieces"))
+
+
 def _feature_file(rows: DataFrame, name: str) -> str:
     """Points (event_id, lon, lat) as a folder of feature lines."""
     path = f"{scratch_path(rows.sparkSession, name)}.geojson"

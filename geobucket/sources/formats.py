@@ -72,10 +72,15 @@ def lines_name(file: Column) -> Column:
 
 
 def collections_to_lines(spark: SparkSession, folder: str, target: str) -> DataFrame:
-    """All .geojson documents of a folder as lines, in one folder for each document; returns (file, lines_file, features)."""
-    rows = read_feature_collection(spark, f"{folder}/*.geojson").withColumn("lines_file", lines_name(F.col("file")))
-    rows.select("lines_file", "feature").write.mode("overwrite").partitionBy("lines_file").text(target)
-    return rows.groupBy("file", "lines_file").agg(F.count("*").alias("features"))
+    """All .geojson documents of a folder as lines, in one folder for each name; returns (file, lines_file, features), counted from the lines that were written.
+
+    A folder with a name of that kind holds documents of that name, as Spark writes them. A document without features has no lines.
+    """
+    named = F.regexp_extract("path", r"([^/=]+\.geojson)(?:/[^/]*)?$", 1)
+    rows = features_in(spark, f"{folder}/*.geojson").select(named.alias("name"), "feature")
+    rows.select(lines_name(F.col("name")).alias("lines_file"), "feature").write.mode("overwrite").partitionBy("lines_file").text(target)
+    lines = spark.read.schema("value string, lines_file string").text(target)
+    return lines.groupBy("lines_file").agg(F.count("*").alias("features")).select(F.regexp_replace("lines_file", r"_ndjson\.json$", ".geojson").alias("file"), "lines_file", "features")
 
 
 def read_by_extension(spark: SparkSession, path: str, header: bool = True, properties: list[str] | str | None = None) -> DataFrame:

@@ -68,3 +68,17 @@ def test_nested_collections(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(wkt)], "id int, t string")
     got = {r.id: r.g for r in rows.select("id", G.geometry_struct(F.col("t"), "wkt", ["center"]).alias("g")).collect()}
     assert [got[i] and (got[i].center.x, got[i].center.y) for i in range(len(wkt))] == list(wkt.values())
+
+
+def test_text_of_every_kind(spark):
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in GOOD.items()], "k string, g binary")
+    got = {r.k: r.g for r in G.with_geojson(df, "g", "wkb").collect()}
+    ring = "[[0.0,0.0],[4.0,0.0],[4.0,4.0],[0.0,0.0]]"
+    assert got["point"] == got["big"] == got["z"] == got["srid"] == '{"type":"Point","coordinates":[4.0,0.0]}'
+    assert got["polygon"] == f'{{"type":"Polygon","coordinates":[{ring}]}}' and got["polygons"] == f'{{"type":"MultiPolygon","coordinates":[[{ring}]]}}'
+    assert got["both"] == '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[4.0,0.0]},{"type":"LineString","coordinates":[[0.0,0.0],[4.0,0.0]]}]}'
+    odd = ["POINT EMPTY", "GEOMETRYCOLLECTION (POINT (1 1))", "POINT (1", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, t string").select("i", G.geojson_text(F.col("t"), "wkt").alias("g"))
+    assert [r.g for r in sorted(rows.collect())] == ['{"type":"Point","coordinates":[]}', '{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1.0,1.0]}]}', None, None]
+    again = spark.createDataFrame([(k, t) for k, t in got.items()], "k string, t string")
+    assert {r.k: r.t for r in again.select("k", G.geojson_text(F.col("t"), "geojson").alias("t")).collect()} == got
