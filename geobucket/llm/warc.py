@@ -1,8 +1,10 @@
 """WARC archives: a writer, a normaliser of monolithic gzip files, and an indexed reader.
 
-`write_archives` writes records as whole-file gzip streams, which can only be
-read from the start. `normalise` inflates each such stream once, rewrites every
-record as a gzip member of its own and writes a sidecar index (JSON lines:
+`write_archives` writes all pages as whole-file gzip streams, which can only be
+read from the start, as a crawler does that knows no other page. `with_revisits`
+finds records of equal payloads by their digests. `normalise` inflates each
+stream once, rewrites every record as a gzip member of its own, repeated ones
+as revisits without their payload, and writes a sidecar index (JSON lines:
 offset, length, record id) beside it. `read_archives` takes ranges of the
 sidecars, so any number of tasks can share a file. Files lie in the shared
 folder; a task names its files anew on each attempt and only the names that
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, scratch_path, sliced, stored
 
-CHUNK, FILE_BYTES, RANGE_BYTES, BROADCAST_BYTES = 1 << 20, 64 << 20, 4 << 20, 8 << 20
+CHUNK, FILE_BYTES, RANGE_BYTES = 1 << 20, 64 << 20, 4 << 20
+#: A digest of more than one in HOT of all records is a hot one.
+HOT = 1000
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 
@@ -40,20 +44,27 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else "/" + uri.removeprefix("file:").lstrip("/"))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record; a revisit keeps the HTTP header of its payload, not the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, sha: bytes) -> bytes:
+    """A response with its payload, whose SHA-1 is given."""
     name = "" if page_id is None else page_id
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
+    head = ["WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: <urn:page:{name}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{base64.b32encode(sha).decode()}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    if revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    body = http if revisit else http + payload
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + END + body + END
 
 
+def revisit(rec: bytes, refers_to: int) -> bytes:
+    """A response as a revisit: it keeps the HTTP header of its payload, not the payload."""
+    head, _, block = rec.partition(END)
+    http = block[: block.index(END) + len(END)]
+    lines = [x for x in head.decode().split("\r\n") if not x.startswith(("WARC-Type:", "Content-Length:"))]
+    lines[1:1] = ["WARC-Type: revisit"]
+    lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Content-Length: {len(http)}"]
+    return "\r\n".join(lines).encode() + END + http + END
+
+
 def inflated(read, chunk: int = CHUNK) -> Iterator[bytes]:
     """The content of a gzip file of one or more members, inflated in one pass, at most `chunk` bytes at a time."""
     z, ended = zlib.decompressobj(31), True
@@ -99,48 +110,62 @@ def fields(rec: bytes) -> tuple[dict[str, str], bytes]:
     return {k.lower(): v for k, v in named.items()}, rest[:-4]
 
 
-def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Writes a record per row as monolithic gzip files; returns their (path, n).
+def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes a response per row as monolithic gzip files of about file_bytes before compression; returns (path, place, page_id, sha) of all records.
 
-    Of rows with equal payloads, the one with the largest page_id is a
-    response and the others revisit it; rows that repeat that page_id are
-    responses too. A null html is an empty payload. Only digests and ids are
-    shuffled unless the list of repeated payloads exceeds broadcast_bytes.
+    A null html is an empty payload. Nothing is shuffled.
     """
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).cast("binary").alias("html"))
-    rows = rows.withColumn("sha", F.sha1("html"))
-    # a payload's digest is 40 characters; repeated ones alone are kept
-    again = stored(rows.groupBy(F.col("sha").alias("same")).agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).filter("n > 1").drop("n"), "repeats")
-    few = again.count() * 64 <= broadcast_bytes
-    rows = rows.join(F.broadcast(again) if few else again, F.col("sha") == F.col("same"), "left")
-    rows = rows.withColumn("revisit", F.col("latest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("latest"))).drop("sha", "same")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = z = path = None
         n = size = 0
-
-        def closed() -> pa.RecordBatch:
-            out.write(z.flush())
-            out.close()
-            return pa.RecordBatch.from_pydict({"path": [path], "n": pa.array([n], pa.int64())})
-
         for b in sliced(batches, "html"):
+            paths, places, digests = [], [], []
             for r in b.to_pylist():
                 if out is None:
                     path, n, size = f"{folder}/whole-{uuid.uuid4().hex}.warc.gz", 0, 0
                     system, at = _open(path)
                     out, z = system.open_output_stream(at, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31)
-                raw = record(r["page_id"], r["url"], r["html"], r["latest"], r["revisit"])
+                sha = hashlib.sha1(r["html"]).digest()
+                raw = record(r["page_id"], r["url"], r["html"], sha)
                 out.write(z.compress(raw))
+                paths.append(path)
+                places.append(n)
+                digests.append(sha)
                 n, size = n + 1, size + len(raw)
                 if size >= file_bytes:
-                    yield closed()
+                    out.write(z.flush())
+                    out.close()
                     out = None
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(places, pa.int32()), b.column("page_id"), pa.array(digests, pa.binary())], ["path", "place", "page_id", "sha"])
         if out is not None:
-            yield closed()
+            out.write(z.flush())
+            out.close()
 
     _made(folder)
-    return stored(rows.mapInArrow(write, "path string, n long"), "whole")
+    return stored(rows.mapInArrow(write, "path string, place int, page_id long, sha binary"), "whole")
+
+
+def with_revisits(written: DataFrame) -> DataFrame:
+    """(path, revisits) of every file that write_archives returns records of: places and the page_id of the response.
+
+    Of records with equal payloads, the one with the largest page_id stays a
+    response and the others revisit it; records that repeat that page_id stay
+    responses too. Only digests, ids and places are shuffled. A digest of more
+    than one in HOT of all records, of which there are fewer than HOT, is
+    matched by broadcast, so no task gets its records together; the list of a
+    file is as long as its records, whose bytes are bounded.
+    """
+    again = stored(written.groupBy("sha").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).filter("n > 1 AND latest IS NOT NULL"), "repeats")
+    most = written.count() / HOT
+    hot = F.broadcast(again.filter(F.col("n") > most).select("sha", "latest"))
+    few = again.filter(F.col("n") <= most).select("sha", "latest")
+    met = written.join(hot, "sha").unionByName(written.join(hot, "sha", "left_anti").join(few, "sha"))
+    lists = met.filter(~F.col("page_id").eqNullSafe(F.col("latest"))).groupBy("path").agg(F.collect_list(F.struct("place", "latest")).alias("revisits"))
+    files = stored(written.select("path").distinct().join(lists, "path", "left"), "files")
+    dropped(written.sparkSession, again.scratch)
+    return files
 
 
 def _made(folder: str) -> None:
@@ -154,17 +179,20 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def normalise(files: DataFrame, folder: str) -> DataFrame:
-    """Rewrites each gzip file of `files` (path) with a member per record; returns (path, index, n)."""
+    """Rewrites each gzip file of `files` (path, revisits) with a member per record, those at the places of its revisits without their payload; returns (path, index, n)."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for source in b.column("path").to_pylist():
+            for source, again in zip(b.column("path").to_pylist(), b.column("revisits").to_pylist()):
+                again = {x["place"]: x["latest"] for x in again or ()}
                 system, at = _open(source)
                 target = f"{folder}/members-{uuid.uuid4().hex}.warc.gz"
                 offset = n = 0
                 out_system, out_at = _open(target)
                 with system.open_input_file(at) as read, out_system.open_output_stream(out_at, compression=None) as out, out_system.open_output_stream(out_at + ".idx") as index:
                     for rec in records(inflated(read.read)):
+                        if n in again:
+                            rec = revisit(rec, again[n])
                         z = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = z.compress(rec) + z.flush()
                         out.write(member)
@@ -258,7 +286,7 @@ def archived_pages(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = scratch_path(spark, "warc")
-    whole = write_archives(pages, f"{folder}/whole", file_bytes)
-    members = normalise(whole, f"{folder}/members")
+    files = with_revisits(write_archives(pages, f"{folder}/whole", file_bytes))
+    members = normalise(files, f"{folder}/members")
     dropped(spark, f"{folder}/whole")
     return resolved(stored(read_archives(members), "records"))

@@ -49,7 +49,7 @@ def archive(pages) -> list[tuple]:
             last[h] = max(p, last.get(h, p))
     out = []
     for p, h in raw:
-        again = n[h] > 1 and p != last[h]
+        again = n[h] > 1 and p != last.get(h, p)  # ids that are all null: responses
         out.append((p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "revisit" if again else "response", last[h] if again else None))
     return in_order(out)
 
@@ -69,6 +69,20 @@ def test_archives_of_odd_pages(spark):
     assert warc.archived_pages(df.limit(0)).count() == 0
 
 
+def test_revisits_of_hot_and_rare_payloads(spark, monkeypatch):
+    """Payloads of many and of few records, at every limit between the two, in files of any size; a revisit has no payload in the archive."""
+    pages = [(i, f"u{i}", "" if i % 3 == 0 else f"body {i % 7}" * 9 if i % 3 == 1 else f"only {i}") for i in range(300)]
+    pages += [(None, None, "no id"), (None, None, "no id"), (7, "u", "body 0" * 9), (298, "u", "body 4" * 9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for hot, size in ((1, 1 << 20), (4, 3000), (40, 500), (10**6, 1)):
+        monkeypatch.setattr(warc, "HOT", hot)
+        assert in_order(warc.archived_pages(df, file_bytes=size).select(*FIELDS).collect()) == archive(pages)
+    raw = warc.record(1, "u", b"x\r\n\r\ny", hashlib.sha1(b"x\r\n\r\ny").digest())
+    head, block = warc.fields(warc.revisit(raw, 5))
+    assert block.endswith(b"Content-Length: 6\r\n\r\n") and head["warc-refers-to"] == "<urn:page:5>" and head["content-length"] == str(len(block)) and head["warc-type"] == "revisit"
+    assert list(warc.records(iter([warc.revisit(raw, 5), raw]))) == [warc.revisit(raw, 5), raw]
+
+
 def check_shards(found, texts, shards=40):
     size = [(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in texts]
     assert in_order((r.doc_id, r["size"], r.text_crc32) for r in found) == in_order(size)
