@@ -50,15 +50,14 @@ def read_jdbc(spark: SparkSession, url: str, sql: str, options: Mapping[str, str
     their own; its least and largest value are asked first. Rows where it is
     null are read too. Without it one task reads all rows.
     """
-    source = spark.read.format("jdbc").options(url=url, **options)
     sql = bound(sql, *args)
+    source = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more).load()
     if by is None:
-        return source.option("query", sql).load()
-    low, high = source.option("query", f"SELECT min({by}) AS low, max({by}) AS high FROM ({sql}) edges").load().first()
-    source = source.option("dbtable", f"({sql}) rows_of_query")
+        return source(query=sql)
+    low, high = source(query=f"SELECT min({by}) AS low, max({by}) AS high FROM ({sql}) edges").first()
     if low is None:
-        return source.load()
-    return source.options(partitionColumn=by, lowerBound=str(low), upperBound=str(high), numPartitions=parts or spark.sparkContext.defaultParallelism).load()
+        return source(query=sql)
+    return source(dbtable=f"({sql}) rows_of_query", partitionColumn=by, lowerBound=str(low), upperBound=str(high), numPartitions=parts or spark.sparkContext.defaultParallelism)
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, options: Mapping[str, str]) -> None:
