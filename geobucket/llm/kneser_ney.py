@@ -126,15 +126,18 @@ def _write(folder: str, name: str, *arrays: np.ndarray) -> str:
     return path
 
 
-@functools.lru_cache(100_000)
+#: Files that a worker keeps mapped, one map each; a process may usually have 65,530.
+MAPS = 30_000
+
+
+@functools.lru_cache(MAPS)
 def _mapped(path: str, kinds: str) -> tuple[np.ndarray, ...]:
-    """The arrays of a file, mapped; kinds are their numpy types."""
-    n, at, out = int(path.rpartition("-")[2]), 0, []
-    for k in kinds.split():
-        t = np.dtype(k)
-        out.append(np.memmap(path, t, "r", at, (n,)) if n else np.zeros(0, t))
-        at += n * t.itemsize
-    return tuple(out)
+    """The arrays of a file, mapped as one; kinds are their numpy types."""
+    n, types = int(path.rpartition("-")[2]), [np.dtype(k) for k in kinds.split()]
+    if not n:
+        return tuple(np.zeros(0, t) for t in types)
+    raw, cuts = np.memmap(path, np.uint8, "r"), np.cumsum([0, *[n * t.itemsize for t in types]])
+    return tuple(raw[x:y].view(t) for x, y, t in zip(cuts, cuts[1:], types))
 
 
 def _found(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

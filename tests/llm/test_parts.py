@@ -76,3 +76,16 @@ def test_secret_spans():
     assert guess_cost._said(found) == "assign:18:36,access:37:57,hex:58:74"
     assert guess_cost.guess_cost("password") < guess_cost.guess_cost("Xk9#qLw2")
     assert "q8#Zr!x0Lw" not in guess_cost.redacted('pwd = "q8#Zr!x0Lw"')
+
+
+def test_a_file_of_arrays_is_one_map(tmp_path):
+    import numpy as np
+    from geobucket.llm import kneser_ney as K
+
+    a, b = np.arange(1000, dtype="u8"), np.arange(1000, dtype="i8") * -3
+    maps = lambda: sum(1 for _ in open("/proc/self/maps"))
+    paths, before = [K._write(str(tmp_path), "x", a + np.uint64(k), b) for k in range(200)], maps()
+    got = [K._mapped(p, "u8 i8") for p in paths]
+    assert maps() - before < 250
+    assert all((x == a + np.uint64(k)).all() and (y == b).all() for k, (x, y) in enumerate(got))
+    assert [len(x) for x in K._mapped(K._write(str(tmp_path), "x", a[:0], b[:0]), "u8 i8")] == [0, 0]
