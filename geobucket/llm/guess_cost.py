@@ -2,12 +2,14 @@
 
 The guess cost of a value is the least sum, over all its segmentations, of
 log10 costs of words (by rank, with a charge for capitals and for characters
-that stand for letters), separators, dates, repeats, keyboard walks and
-sequences, and brute-force spans (each character by the size of the value's
+that stand for letters), separators, dates and times, repeats, keyboard walks
+and sequences, and brute-force spans (each character by the size of the value's
 alphabet). A value that stands after a credential word and costs `least` or
 more is a secret, whatever its characters are and whether or not a fixed
-pattern covers it too. Words are common ones of passwords and of code, and the
-most frequent words of the documents themselves.
+pattern covers it too. A URL, a path or an e-mail address is as hard as its
+hardest part. Words are common ones of passwords and of code, and all words
+that the documents hold twice or more; a text's verdicts so depend on the
+table that it stands in.
 
 A span of cost `least` or more can't be part of a cheaper segmentation, so for
 a verdict the programme goes on only from the places that are reached below
@@ -17,18 +19,24 @@ in proportion to their length at most.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import math
+import os
 import re
+import uuid
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, sliced, stored
+from .common import dropped, local_path, scratch_path, sliced, stored
 
 #: Base patterns, in the order in which kinds are listed.
 BASE = (
@@ -61,6 +69,11 @@ SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
 STANDS_FOR = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
 LEAST, SHORTEST = 10.0, 6
 _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/.]?)(?:0[1-9]|1[0-2])\2(?:(?:19|20)\d\d|\d\d)|(?:0[1-9]|1[0-2])([-/.]?)(?:0[1-9]|[12]\d|3[01])\3(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
+_TIME = re.compile(r"(?:[01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?")
+_STAMP = re.compile(rf"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])[Tt_ ]{_TIME.pattern}(?:\.\d{{1,6}})?(?:Z|[+-]\d\d:?\d\d)?", re.ASCII)
+#: Values that name a place, and their parts.
+_PLACE = re.compile(r"(?:[a-z][a-z0-9+.-]*://|~?/|\.{1,2}/|[a-z]:\\).*|[\w.+-]+@(?:[\w-]+\.)+(?:com|org|net|edu|gov|io|de|fr|es)", re.ASCII | re.IGNORECASE | re.DOTALL)
+_PART = re.compile(r"[^/\\?&#=:@.,;]+")
 
 
 def _neighbours() -> dict[str, dict[str, int]]:
@@ -82,17 +95,51 @@ WORD_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
 SEPARATOR_COST = {x: math.log10(i + 2) for i, x in enumerate(SEPARATORS)}
 _CLASSES = ((re.compile("[0-9]"), 10), (re.compile("[A-Z]"), 26), (re.compile("[a-z]"), 26), (re.compile("[^0-9A-Za-z]"), 33))
 _HEX = re.compile("[0-9a-f]+")
-#: Letters of a word of documents, and the most words that are kept: at most 50,000 words of 80 bytes, 4 MB.
-SHORTEST_WORD, LONGEST_WORD, MOST_WORDS = 3, 20, 50_000
+#: Letters of a word of documents.
+SHORTEST_WORD, LONGEST_WORD = 3, 64
+#: Words of a file; a task holds and maps them as two arrays of 8 bytes a word.
+FILE_WORDS = 1 << 21
+SEED = 42  # of Spark's xxhash64
 
 
-def ranked_words(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
-    """Word to rank by its count over all documents, with the common words at their own rank if that is lower.
+@functools.lru_cache(4096)
+def _mapped(path: str) -> tuple[np.ndarray, np.ndarray]:
+    keys, classes = np.load(path, mmap_mode="r")
+    return np.asarray(keys), np.asarray(classes)
+
+
+@dataclass
+class Words:
+    """Ranks of words: hashes in sorted arrays, dealt to files by ranges of the hash, which workers map.
+
+    The files hold a word's class of counts, `ranks` the rank of each class (at
+    most 16 for each doubling of a count). Only that and the files' names are
+    sent to tasks. Common words have their own rank if it is lower.
+    """
+
+    paths: dict[int, str] = field(default_factory=dict)
+    files: int = 1
+    ranks: dict[int, int] = field(default_factory=dict)
+
+    def get(self, word: str) -> int | None:
+        common = WORD_RANK.get(word)
+        h = xxhash.xxh64_intdigest(word.encode(), SEED)
+        if path := self.paths.get((h >> 32) * self.files >> 32):
+            keys, classes = _mapped(path)
+            at = int(keys.searchsorted(np.uint64(h)))
+            if at < len(keys) and keys[at] == h:
+                rank = self.ranks[int(classes[at])]
+                return rank if common is None else min(common, rank)
+        return common
+
+
+def ranked_words(docs: DataFrame, file_words: int = FILE_WORDS) -> Words:
+    """The words that all documents together hold twice or more, with their ranks.
 
     Values after credential words and base patterns are not counted, so a
-    secret doesn't become a word by standing in a text; nor are words that
-    occur once. Words of equal class of counts are kept or left out together,
-    so the number of words that reach the driver is at most `most`.
+    secret doesn't become a word by standing in a text. Counts fall into
+    classes of 1/16 of a doubling; the rank of a word is the number of words of
+    its class and of the classes above. No word is left out for its rank.
     """
     text = F.coalesce(docs["text"], F.lit(""))
     low = F.lower(text)
@@ -103,16 +150,27 @@ def ranked_words(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
     text = F.when(text.contains("AKIA"), F.regexp_replace(text, BASE[1][1].pattern, " ")).otherwise(text)
     words = docs.select(F.explode(F.split(F.lower(F.regexp_replace(text, BASE[2][1].pattern, " ")), r"[^\p{L}]+")).alias("word"))
     words = words.filter(F.length("word").between(SHORTEST_WORD, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = stored(words.withColumn("class", F.floor(16 * F.log2("n"))), "words")
-    least, total = math.inf, 0
+    counts = stored(words.select(F.xxhash64("word").alias("h"), F.floor(16 * F.log2("n")).alias("class")), "words")
+    found, total = Words(), 0
     for c, n in sorted((tuple(r) for r in counts.groupBy("class").count().collect()), reverse=True):
-        if (total := total + n) > most:
-            break
-        least = c
-    kept = [] if least == math.inf else counts.filter(F.col("class") >= least).select("n", "word").collect()
+        found.ranks[c] = total = total + n
+    found.files = max(1, math.ceil(total / file_words))
+    folder = local_path(scratch_path(docs.sparkSession, "word-ranks"))
+
+    def write(rows: pa.Table) -> pa.Table:
+        keys = rows["h"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        os.makedirs(folder, exist_ok=True)
+        path = f"{folder}/{uuid.uuid4().hex}.npy"
+        np.save(f"{path}.part.npy", np.stack([keys[order], rows["class"].to_numpy().astype(np.uint64)[order]]))
+        os.replace(f"{path}.part.npy", path)
+        return pa.table({"file": rows["file"][:1], "path": [path]})
+
+    file = F.shiftright(F.shiftrightunsigned("h", 32) * found.files, 32).cast("int")
+    made = counts.withColumn("file", file).groupBy("file").applyInArrow(write, "file int, path string")
+    found.paths = {r["file"]: r["path"] for r in made.collect()}
     dropped(docs.sparkSession, counts.scratch)
-    out = {w: k + 1 for k, (_, w) in enumerate(sorted(kept, key=lambda r: (-r[0], r[1])))}
-    return out | {w: min(k, out.get(w, k)) for w, k in WORD_RANK.items()}
+    return found
 
 
 def _sent(docs: DataFrame) -> Broadcast:
@@ -148,7 +206,7 @@ class _Repeats:
         return (end - i) // unit + 1
 
 
-def guess_cost(value: str, words: Mapping[str, int] = WORD_RANK, limit: float = math.inf) -> float:
+def guess_cost(value: str, words: Mapping[str, int] | Words = WORD_RANK, limit: float = math.inf) -> float:
     """log10 of the guesses that the cheapest segmentation needs; `limit` if that is not below it."""
     n, low = len(value), value.lower()
     if not n:
@@ -172,21 +230,27 @@ def guess_cost(value: str, words: Mapping[str, int] = WORD_RANK, limit: float =
     return limit
 
 
-def _spans(value: str, low: str, plain: str, each: float, words: Mapping[str, int], i: int, units: int, left: float, repeats: _Repeats) -> Iterator[tuple[int, float]]:
-    """(end, cost) of the spans that begin at i: one character, separators, words, dates, repeats, walks that cost less than `left`."""
+def _spans(value: str, low: str, plain: str, each: float, words: Mapping[str, int] | Words, i: int, units: int, left: float, repeats: _Repeats) -> Iterator[tuple[int, float]]:
+    """(end, cost) of the spans that begin at i: one character, separators, words, dates and times, repeats, walks that cost less than `left`."""
     n = len(value)
     yield i + 1, each
     for x in (low[i], low[i : i + 2]):
         if x in SEPARATOR_COST:
             yield i + len(x), SEPARATOR_COST[x]
-    for j in range(i + SHORTEST_WORD, min(n, i + LONGEST_WORD) + 1):
-        rank, extra = words.get(low[i:j]), 0.0
-        if rank is None and (rank := words.get(plain[i:j])):
-            extra = math.log10(4)
-        if rank:
-            yield j, math.log10(rank + 1) + extra + _capitals(value[i:j])
-    if "0" <= low[i] <= "9" and (m := _DATE.match(value, i, min(n, i + 10))):
-        yield m.end(), math.log10(150) if m.end() - i == 4 else math.log10(365 * 150)
+    as_is = True
+    for j in range(i + 1, min(n, i + LONGEST_WORD) + 1):
+        if not plain[j - 1].isalpha():
+            break
+        as_is = as_is and plain[j - 1] == low[j - 1]
+        if j - i >= SHORTEST_WORD and (rank := words.get(plain[i:j])):
+            yield j, math.log10(rank + 1) + (0.0 if as_is else math.log10(4)) + _capitals(value[i:j])
+    if "0" <= low[i] <= "9":
+        if m := _DATE.match(value, i, min(n, i + 10)):
+            yield m.end(), math.log10(150) if m.end() - i == 4 else math.log10(365 * 150)
+        if m := _TIME.match(value, i, min(n, i + 8)):
+            yield m.end(), math.log10(86400 if m[1] else 1440)
+        if m := _STAMP.match(value, i, min(n, i + 32)):
+            yield m.end(), math.log10(365 * 150) + math.log10(86400 if m[1] else 1440)
     for unit in range(1, units + 1):
         if i + 2 * unit <= n and (copies := repeats.copies(i, unit)) > (2 if unit == 1 else 1):
             yield i + unit * copies, unit * each + math.log10(copies)
@@ -198,12 +262,16 @@ def _spans(value: str, low: str, plain: str, each: float, words: Mapping[str, in
             yield j, math.log10(47 * (j - i)) + turns * math.log10(4)
 
 
-def is_secret(value: str, least: float = LEAST, words: Mapping[str, int] = WORD_RANK) -> bool:
-    """A credential of SHORTEST characters or more that is hard to guess."""
-    return len(value) >= SHORTEST and guess_cost(value, words, least) >= least
+def is_secret(value: str, least: float = LEAST, words: Mapping[str, int] | Words = WORD_RANK) -> bool:
+    """A credential of SHORTEST characters or more that is hard to guess; of a URL, a path or an address, some part is."""
+
+    def hard(x: str) -> bool:
+        return len(x) >= SHORTEST and guess_cost(x, words, least) >= least
+
+    return hard(value) and (not _PLACE.fullmatch(value) or any(map(hard, _PART.findall(value))))
 
 
-def secret_spans(text: str | None, least: float = LEAST, known: Mapping[str, int] = WORD_RANK) -> list[tuple[int, int, int, int]]:
+def secret_spans(text: str | None, least: float = LEAST, known: Mapping[str, int] | Words = WORD_RANK) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value) by start, then kind. Positions are code points; time follows the length of the text."""
     text, out = text or "", []
     lower = text.lower()
@@ -248,7 +316,7 @@ def scan_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
-def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]", known: Mapping[str, int] = WORD_RANK) -> str | None:
+def redacted(text: str | None, least: float = LEAST, mark: str = "[SECRET]", known: Mapping[str, int] | Words = WORD_RANK) -> str | None:
     """The text with the value of every span replaced; null stays null."""
     spans = secret_spans(text, least, known)
     if not spans:

@@ -23,7 +23,7 @@ def span_cost(value: str, i: int, j: int) -> float:
         found.append(each)
     if low in G.SEPARATORS:
         found.append(math.log10(G.SEPARATORS.index(low) + 2))
-    if 3 <= len(own) <= 20:
+    if 3 <= len(own) <= 64:
         rank, extra = G.WORD_RANK.get(low), 0.0
         if rank is None:
             rank, extra = G.WORD_RANK.get(low.translate(G.STANDS_FOR)), math.log10(4)
@@ -34,6 +34,9 @@ def span_cost(value: str, i: int, j: int) -> float:
             found.append(math.log10(rank + 1) + extra)
     if (m := G._DATE.match(value, i, min(len(value), i + 10))) and m.end() == j:
         found.append(math.log10(150) if j - i == 4 else math.log10(365 * 150))
+    for pattern, days in ((G._TIME, 1), (G._STAMP, 365 * 150)):
+        if (m := pattern.match(value, i)) and m.end() == j:
+            found.append(math.log10(days * 24 * 60 * (60 if own.count(":") - ("+" in own) > 1 else 1)))
     for unit in range(1, len(own) // 2 + 1):
         copies = len(own) // unit
         again = value.lower().startswith(low[:unit], j)
@@ -55,6 +58,7 @@ def test_cost_is_the_least_of_all_segmentations():
     r = random.Random(7)
     made = ["".join(r.choice("abAB12_.") for _ in range(r.randint(1, 9))) for _ in range(60)]
     made += ["".join(r.choice("qwertas12") for _ in range(9)) for _ in range(40)]
+    made += ["".join(r.choice("0123:5a") for _ in range(8)) for _ in range(60)] + ["1999-12-31 23:59", "12:30-13:45", "9:05:00x"]
     made += ["P4ssw0rd1", "get_token", "test1999x", "1999-12-31", "abababab", "aaaaaaab", "asdfTest", "deadbeef1", "1q2w3e4r", "roottoor"]
     for value in made:
         assert G.guess_cost(value) == pytest.approx(all_segmentations(value), abs=1e-9), value
@@ -77,6 +81,13 @@ def test_planted_secrets_and_placeholders():
         assert not any(k == 3 for _, k, _, _ in G.secret_spans(f"x secret: {v} y")), v
 
 
+def test_times_and_places():
+    """A place is as hard as its hardest part."""
+    plain = ["12:30-13:45", "2024-01-31T12:30:59Z", "2024-01-31T12:30:59.123+01:00", "https://example.com/login", "https://api.example.com/user/data/test?name=value", "/home/user/config/settings/data.file", "../config/auth/session.data", "C:\\data\\config\\settings", "admin@example.com"]
+    hard = ["https://user:kTqWzXvBnRfJ@example.com/", "https://example.com/hook/B7kQz9XwLm2", "/kTqWzXvBnRfJ/data", "https://example.com/?key=q8ZrTx0LwVb", "q8#Zr!x0Lw@x", "12:30kTqWzXvB"]
+    assert [G.is_secret(v) for v in plain + hard] == [False] * len(plain) + [True] * len(hard)
+
+
 def test_spans_of_the_method_lie_beside_base_spans():
     text = "token=kTqWzXvBnRfJ pwd: kTqWzXvB password: hunter2hunter2"
     assert G._said(G.secret_spans(text)) == "assign:0:18,guess:6:18,guess:24:32,assign:33:57"
