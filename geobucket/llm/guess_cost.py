@@ -72,7 +72,7 @@ _DATE = re.compile(r"(?:19|20)\d\d([-/.]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[
 _TIME = re.compile(r"(?:[01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?")
 _STAMP = re.compile(rf"(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])[Tt_ ]{_TIME.pattern}(?:\.\d{{1,6}})?(?:Z|[+-]\d\d:?\d\d)?", re.ASCII)
 #: Values that name a place, and their parts.
-_PLACE = re.compile(r"(?:[a-z][a-z0-9+.-]*://|~?/|\.{1,2}/|[a-z]:\\).*|[\w.+-]+@(?:[\w-]+\.)+(?:com|org|net|edu|gov|io|de|fr|es)", re.ASCII | re.IGNORECASE | re.DOTALL)
+_PLACE = re.compile(r"(?:[a-z][a-z0-9+.-]*://|~?/|\.{1,2}/|[a-z]:\\).*|[\w.+-]+@(?:[\w-]+\.)+(?:com|org|net|edu|gov|io|de|fr|es)", re.IGNORECASE | re.DOTALL)
 _PART = re.compile(r"[^/\\?&#=:@.,;]+")
 
 

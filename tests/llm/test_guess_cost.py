@@ -83,7 +83,7 @@ def test_planted_secrets_and_placeholders():
 
 def test_times_and_places():
     """A place is as hard as its hardest part."""
-    plain = ["12:30-13:45", "2024-01-31T12:30:59Z", "2024-01-31T12:30:59.123+01:00", "https://example.com/login", "https://api.example.com/user/data/test?name=value", "/home/user/config/settings/data.file", "../config/auth/session.data", "C:\\data\\config\\settings", "admin@example.com"]
+    plain = ["12:30-13:45", "2024-01-31T12:30:59Z", "2024-01-31T12:30:59.123+01:00", "https://example.com/login", "https://api.example.com/user/data/test?name=value", "/home/user/config/settings/data.file", "../config/auth/session.data", "C:\\data\\config\\settings", "admin@example.com", "größe.änder@example.com"]
     hard = ["https://user:kTqWzXvBnRfJ@example.com/", "https://example.com/hook/B7kQz9XwLm2", "/kTqWzXvBnRfJ/data", "https://example.com/?key=q8ZrTx0LwVb", "q8#Zr!x0Lw@x", "12:30kTqWzXvB"]
     assert [G.is_secret(v) for v in plain + hard] == [False] * len(plain) + [True] * len(hard)
 
