@@ -361,7 +361,8 @@ def center(members: Column, precision: str = "double") -> Column:
     over = lambda s, n: both(s["x"] / n, s["y"] / n)
     dotted = _let(mean, lambda m: F.when(m["n"] > 0, over(m, m["n"])))
     lined = _let(length, lambda n: F.when(n["n"] > 0, over(n, n["n"])).otherwise(dotted))
-    return _let(surface, lambda a: F.when(a["a"] != 0, over(a, 3 * a["a"])).otherwise(lined))
+    full = _let(surface, lambda a: F.when(a["a"] != 0, over(a, 3 * a["a"])).otherwise(lined))
+    return F.when(F.forall(members, lambda m: m["type"].isin(1, 4)), dotted).otherwise(full)
 
 
 def geometry_struct(value: Column, fmt: str, features: Iterable[str] = (), precision: str = "double") -> Column:

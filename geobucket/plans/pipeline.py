@@ -27,14 +27,17 @@ _INPUT = {"wkb": T.BinaryType, "wkt": T.StringType, "geojson": T.StringType}
 def refined(raw: DataFrame, fmt: str = "geojson", features: Iterable[str] = ("geohash",), precision: str = "double") -> DataFrame:
     """raw with its geometry as a struct and its number; rows whose geometry can't be parsed go.
 
-    The type of the column must suit the format, else ValueError.
+    The type of the column must suit the format, else ValueError. A geometry is
+    parsed once: it leaves a generator, past which neither the filter nor the
+    number's expression is moved.
     """
     name = geometry_column(raw)
     if not isinstance(raw.schema[name].dataType, _INPUT[fmt]):
         raise ValueError(f"column {name} is {raw.schema[name].dataType.simpleString()}, which {fmt} can't read")
     if "geohash" not in (features := frozenset(features)):
         raise ValueError("the geohash feature is needed for the key")
-    rows = with_geometry(raw, name, fmt, features, precision).filter(F.col(name).isNotNull())
+    made, parsed = with_geometry(raw, name, fmt, features, precision), F.explode(F.array_compact(F.array(name))).alias(name)
+    rows = made.select(*[parsed if c == name else F.col(f"`{c}`") for c in made.columns])
     return rows.withColumn(KEY, geohash_to_long(F.col(name)["geohash"]))
 
 
@@ -59,11 +62,6 @@ def _to_bronze(raw: DataFrame, bronze: TableSpec, load: str) -> int:
     return seen.get["n"]
 
 
-def _by_bucket(laid: DataFrame) -> DataFrame:
-    """Rows of a bucket together, ordered for row-group pruning; a bucket too large for one task is spread over several."""
-    return laid.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, KEY)
-
-
 def _counts(laid: DataFrame) -> DataFrame:
     return laid.groupBy(F.col(BUCKET).cast("long").alias(BUCKET)).agg(F.count("*").alias(versions.RECORDS))
 
@@ -85,7 +83,7 @@ def initial_load(spark: SparkSession, path: str, bronze: TableSpec, silver: Tabl
     rows = stored(good, "refined")
     if not base:
         laid = stored(B.equi_depth_bucket(rows, KEY, BUCKET, target, rel_error), "laid")
-        versions.publish(_by_bucket(laid), _counts(laid), silver, 0, load)
+        versions.publish(laid, _counts(laid), silver, 0, load, order=[KEY])
         dropped(spark, laid.scratch)
     else:
         versions.shown(spark, silver, base)
@@ -102,7 +100,7 @@ def bucket_labels(spark: SparkSession, silver: TableSpec) -> DataFrame:
 def merged(good: DataFrame, silver: TableSpec, load: str, target: int = B.TARGET, most: int = B.MOST, rel_error: float = B.REL_ERROR) -> None:
     """Adds refined rows to the silver table: each goes to the nearest lower bucket, then oversize buckets are split.
 
-    Only the buckets that get rows are read and written again. A bucket whose
+    Only the buckets that get rows are written again, and only their runs read. A bucket whose
     label is not among the new ones (its keys lie below it) goes. All becomes
     visible in one step; after another load's commit it starts again from
     there, and a load that is in the table already adds nothing. The first
@@ -119,13 +117,13 @@ def merged(good: DataFrame, silver: TableSpec, load: str, target: int = B.TARGET
             labels = versions.parts(spark, silver, base).select(BUCKET)
             added = stored(B.assign_to_existing(good, KEY, labels, BUCKET), "added")
             touched = stored(added.filter(F.col(BUCKET).isNotNull()).select(BUCKET).distinct(), "touched")
-            old = versions.live(spark, silver, base).join(touched, BUCKET, "left_semi")
+            old = versions.live(spark, silver, base, touched)
             joined = stored(old.unionByName(added), "joined")
             laid, scratch = stored(B.split_oversize(joined, KEY, BUCKET, most), "laid"), [added.scratch, touched.scratch, joined.scratch]
         else:
             laid, touched, scratch = stored(B.equi_depth_bucket(good, KEY, BUCKET, target, rel_error), "laid"), None, []
         try:
-            versions.publish(_by_bucket(laid), _counts(laid), silver, base, load, touched)
+            versions.publish(laid, _counts(laid), silver, base, load, touched, [KEY])
         except versions.Conflict:
             continue
         finally:
@@ -155,13 +153,13 @@ def in_key_range(spark: SparkSession, silver: TableSpec, least: int, most: int)
     """Rows of a table with keys in a range, from the buckets that may hold some.
 
     They are found from the newest version's list; the lowest bucket is open
-    below. Two labels reach the driver.
+    below. Two labels and two runs reach the driver.
     """
     number = versions.current(spark, silver)
-    labels = versions.parts(spark, silver, number).select(BUCKET)
-    lowest, first = labels.agg(F.min(BUCKET), F.max(F.when(F.col(BUCKET) <= least, F.col(BUCKET)))).first()
-    rows = versions.live(spark, silver, number).filter(F.col(KEY).between(least, most))
+    own, key, bucket = versions.parts(spark, silver, number), F.col(KEY).between(least, most), F.col(BUCKET)
+    lowest, first = own.agg(F.min(BUCKET), F.max(F.when(bucket <= least, bucket))).first()
     if lowest is None:
-        return rows
-    first = lowest if first is None else first
-    return rows.filter((F.col(BUCKET) >= first) & ((F.col(BUCKET) <= most) | (F.col(BUCKET) == lowest)))
+        return versions.live(spark, silver, number, within=key)
+    held = (bucket >= (lowest if first is None else first)) & ((bucket <= most) | (bucket == lowest))
+    runs = own.filter(held).agg(F.min(versions.RUN), F.max(versions.RUN)).first()
+    return versions.live(spark, silver, number, within=F.col(versions.RUN).between(*runs) & held & key)

@@ -5,6 +5,7 @@ import uuid
 
 import pytest
 from geobucket.functions import store as S
+from geobucket.functions.geometry import with_geometry
 from geobucket.operators import bucketing as B
 from geobucket.plans import pipeline, tables, versions
 from geobucket.plans.tables import TableSpec
@@ -45,6 +46,35 @@ def test_initial_load(spark, specs, tmp_path):
     assert {r[0] for r in pipeline.bucket_labels(spark, silver).collect()} == set(sizes)
 
 
+def partitions(spark, silver):
+    return spark.sql(f"SHOW PARTITIONS {versions.data_table(silver).name}").count()
+
+
+def test_buckets_share_partitions(spark, specs, tmp_path, monkeypatch):
+    """Partitions and files follow rows, not buckets; replaced buckets beside live ones are not seen, and vacuum parts them."""
+    bronze, silver = specs
+    monkeypatch.setattr(versions, "ROWS", 100)
+    pipeline.initial_load(spark, feature_file(tmp_path, spread(500)), bronze, silver, properties=["id"], target=2)
+    keys = sorted(r[0] for r in spark.table(silver.name).select("geohash_numeric").collect())
+    assert len(counts(spark, silver)) > 200 and 2 <= partitions(spark, silver) <= 8
+    for a, b in ((keys[0] - 5, keys[30]), (keys[100], keys[200]), (keys[-1] + 1, keys[-1] + 9)):
+        assert sorted(r.geohash_numeric for r in pipeline.in_key_range(spark, silver, a, b).collect()) == [k for k in keys if a <= k <= b]
+    one = spark.table(silver.name).orderBy("geohash_numeric").offset(250).first()
+    x, y = one.geometry.part[0].coordinate[0]
+    pipeline.incremental_load(spark, feature_file(tmp_path, [(x, y)] * 3, "b.geojson"), bronze, silver, properties=["id"])
+    before, whole = counts(spark, silver), sorted(r.geohash_numeric for r in spark.table(silver.name).collect())
+    assert len(whole) == 503 and spark.table(versions.data_table(silver).name).count() > 503
+    assert versions.vacuum(spark, silver) == 1 and versions.vacuum(spark, silver) == 0
+    assert spark.table(versions.data_table(silver).name).count() == 503
+    assert counts(spark, silver) == before and sorted(r.geohash_numeric for r in spark.table(silver.name).collect()) == whole
+
+
+def test_a_geometry_is_parsed_once(spark, tmp_path):
+    raw = formats.read_geojson_lines(spark, feature_file(tmp_path, spread(3)))
+    uses = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("GeometryCollection")
+    assert uses(pipeline.refined(raw)) == uses(with_geometry(raw, "geometry", "geojson", ["geohash"]))
+
+
 def test_type_is_checked_before_anything_is_written(spark, specs, tmp_path):
     bronze, silver = specs
     with pytest.raises(ValueError):
