@@ -33,7 +33,7 @@ from .token_orc import Encoder, encoder_of, ragged
 
 MARK = "▁"
 #: Bytes of text handled at once, chunks of a library call, tokens of one kind in a DuckDB query, chunks a worker remembers and their longest, and DuckDB's memory.
-SLICE, CALL, TOKENS, MEMORY, BRIEF, LIMIT = 4 << 20, 512, 1 << 17, 200_000, 64, "256MB"
+SLICE, CALL, TOKENS, MEMORY, BRIEF, LIMIT = 1 << 18, 512, 1 << 17, 200_000, 64, "256MB"
 #: A single space between characters other than white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 

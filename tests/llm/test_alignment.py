@@ -2,10 +2,12 @@
 
 import hashlib
 import os
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from geobucket.llm import alignment as A
 from geobucket.llm.queries import op12_token_alignment, tokenizer_file
@@ -101,3 +103,36 @@ def test_blocks_and_memory(libraries, monkeypatch):
         assert results[0] == results[1]
     assert len(whole.known) == len(small.known) > 0
     assert whole.pairs.keys.size < 1 << 20
+
+
+class Taken:
+    """A DataFrame that hands over the function given to mapInArrow."""
+
+    def __getitem__(self, name):
+        return self
+
+    def cast(self, kind):
+        return self
+
+    def alias(self, name):
+        return self
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, function, schema):
+        return function
+
+
+def test_memory_of_a_batch():
+    """A batch is aligned in slices of texts, so what a worker holds at once does not follow the batch."""
+    words = np.array(pa.compute.split_pattern("the of and alignment tokenizer bytes, group; links counts corpus. many words", " ").as_py())
+    own = np.random.default_rng(1)
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1000), "text": [" ".join(own.choice(words, 400)) for _ in range(1000)]})
+    align = A.aligned_documents(Taken(), *FILES)
+    A.aligner_of(*FILES)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in align(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 1001 and most < 15 << 20
