@@ -41,6 +41,8 @@ from .common import PRIME, WordHashes, dropped, mixed, normal_words, shingled, s
 SHINGLE, REGISTERS, BANDS, LEAST = 5, 64, 16, 0.8
 #: Nodes whose list is sent to every task, under 64 MB; longer lists are joined by a shuffle.
 SENT_NODES = 500_000
+#: Bytes of text sketched at once; a worker holds some 25 times as much.
+SLICE = 1 << 20
 #: Counters of the order of shingles: 2 bytes each, whatever the number of shingles.
 CELLS = 1 << 22
 
@@ -100,7 +102,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, rows = WordHashes(), REGISTERS // BANDS
-        for b in sliced(batches, "words"):
+        for b in sliced(batches, "words", SLICE):
             kept = sketch(*weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE)), b.num_rows)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (b.num_rows, BANDS)).copy()
             for j in range(rows):
@@ -177,7 +179,7 @@ def _cell_counts(nodes: DataFrame) -> np.ndarray:
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in sliced(batches, "words"):
+        for b in sliced(batches, "words", SLICE):
             _, sh, _ = weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE))
             cell, n = np.unique(sh % np.uint64(CELLS), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int32))], ["cell", "n"])
@@ -200,7 +202,7 @@ def prefix_rows(nodes: DataFrame, least: float = LEAST) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in sliced(batches, "words"):
+        for b in sliced(batches, "words", SLICE):
             text, sh, weight = weighted(*shingled(*worded(b.column("words"), hashes), SHINGLE))
             n = sent.value[(sh % np.uint64(CELLS)).astype(np.int64)]
             order = np.lexsort((sh, n, text))
@@ -288,17 +290,28 @@ def deduplicated(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of docs for each class, the one of the least doc_id, with all columns; rows without words all stay.
 
     A row with a null doc_id stays only if no row of its class has an id; an
-    empty table gives no rows; columns of any names are kept.
+    empty table gives no rows; columns of any names are kept. The rows that go
+    are listed, and texts are shuffled only if the list is too long to send to
+    every task; rows that repeat both doc_id and text are gathered by themselves.
     """
     found = stored(duplicate_classes(docs, least), "classes")
+    pairs = stored(found.filter("node is not null").groupBy("class", "class_id", "doc_id", "node").agg(F.count("*").alias("n")), "pairs")
     # of rows that share the least doc_id of a class, different texts included, one stays
-    keep = found.filter("node is not null and doc_id <=> class_id").groupBy("class", "doc_id", "node").agg(F.count("*").alias("n"))
-    keep = stored(keep.groupBy("class", "doc_id").agg(F.min(F.struct("node", "n")).alias("x")).select("doc_id", "x.node", "x.n"), "keep")
+    first = pairs.filter("doc_id <=> class_id").groupBy("class").agg(F.min("node").alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("first"))
+    marked = pairs.join(first, "class").filter(~stays | (F.col("n") > 1)).select("doc_id", "node", stays.alias("stays"))
     name, an_id, own = free_names(docs, "node", "id", "own")
+    marked = stored(marked.select(F.col("doc_id").alias(an_id), F.col("node").alias(own), "stays"), "marked")
+    dropped(docs.sparkSession, found.scratch, pairs.scratch)
+    few = marked.count() <= SENT_NODES
     rows = docs.withColumn(name, F.when((w := normal_words(docs["text"])) != "", F.unhex(F.md5(w))))
-    again = keep.agg(F.max("n")).first()[0] or 1
-    keys = keep.select(F.col("doc_id").alias(an_id), F.col("node").alias(own))
-    out = rows.filter(rows[name].isNotNull()).join(keys, rows["doc_id"].eqNullSafe(keys[an_id]) & (rows[name] == keys[own]), "left_semi")
-    if again > 1:
-        out = out.dropDuplicates(["doc_id", name])
-    return out.unionByName(rows.filter(rows[name].isNull())).drop(name)
+
+    def joined(keys: DataFrame, how: str) -> DataFrame:
+        on = rows["doc_id"].eqNullSafe(keys[an_id]) & (rows[name] == keys[own])
+        return rows.join(F.broadcast(keys) if few else keys, on, how)
+
+    out = joined(marked.drop("stays"), "left_anti")
+    repeated = marked.filter("stays").drop("stays")
+    if not repeated.isEmpty():
+        out = out.unionByName(joined(repeated, "left_semi").dropDuplicates(["doc_id", name]))
+    return out.drop(name)

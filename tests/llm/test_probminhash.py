@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from geobucket.llm import probminhash as M
 from geobucket.llm.common import WordHashes, shingled, worded
 
@@ -117,6 +118,26 @@ def test_deduplicated_keeps_columns_and_one_row(spark):
     assert M.deduplicated(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [M.SENT_NODES, 0])
+def test_deduplicated_moves_no_text_beside_a_short_list(spark, monkeypatch, sent):
+    """The rows that go are listed; a list short enough is sent to the tasks that read the texts once."""
+    monkeypatch.setattr(M, "SENT_NODES", sent)
+    base = " ".join(f"b{i}" for i in range(60))
+    once = [(1, "a b c"), (2, "a B c"), (3, None), (3, None), (None, "d e"), (None, None), (4, "x"), (6, "m n"), (None, "m n"), (7, base), (7, base + " z"), (8, base + " y")]
+    twice = [(1, "a  b c"), (5, "p q"), (5, "P q"), (5, "p q"), (9, ""), (9, "")]
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = M.deduplicated(spark.createDataFrame(once, SCHEMA))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ids(got) == [1, 3, 3, 4, 6, 7, None, None]
+        assert not sent or "SortMergeJoin" not in plan and "hashpartitioning" not in plan and "Union" not in plan
+        assert ids(M.deduplicated(spark.createDataFrame(once + twice, SCHEMA))) == [1, 3, 3, 4, 5, 6, 7, 9, 9, None, None]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_candidates_of_a_family_with_repeated_lines(spark):
     """Texts that share some 70 % of their shingles, a few of them repeated, meet in few candidate pairs, and in none of the links."""
     rng, n = random.Random(5), 300
