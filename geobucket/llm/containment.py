@@ -30,12 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mixed, normal_words, shingled, sliced, worded
 
 SHINGLE, LEAST, BLOCK_BYTES, REGISTERS = 5, 0.8, 16 << 20, 8
+#: Bytes of text searched at once; the arrays of a search take some 25 times as much.
+SLICE = 1 << 20
 
 
 def _registers(h: np.ndarray, size: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +138,7 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = LEAST, blo
 
         def found(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             (index, ids), hashes = sent.value, WordHashes()
-            for b in sliced(batches, "text"):
+            for b in sliced(batches, "text", SLICE):
                 rows = index.found(b.column("text"), hashes)
                 if rows:
                     t, i, n = zip(*rows)
@@ -146,25 +149,28 @@ def contained_items(docs: DataFrame, items: DataFrame, least: float = LEAST, blo
     return parts
 
 
+def _free_of_items(sent: Broadcast, words: Column) -> Column:
+    """Whether texts of words parted by single spaces contain none of the items."""
+
+    @F.arrow_udf("boolean")
+    def free(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for b in sliced((pa.RecordBatch.from_arrays([t], ["words"]) for t in texts), "words", SLICE):
+            keep = np.ones(b.num_rows, bool)
+            keep[[t for t, _, _ in sent.value.found(b.column("words"), hashes)]] = False
+            yield pa.array(keep)
+
+    return free(words)
+
+
 def without_items(docs: DataFrame, items: DataFrame, least: float = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of docs in which no item is contained, with all their columns, whatever the names of these.
 
     Null and empty texts stay; repeated rows stay or go together; without items
-    all rows stay; an empty table gives no rows.
+    all rows stay; an empty table gives no rows. Workers get the words and
+    return a verdict: rows stay in Spark, so a batch holds its texts once.
     """
-    # Arrow functions can't take columns with dots in their names
-    names, docs = docs.columns, docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
-    text, schema = docs[f"c{names.index('text')}"], docs.schema
     for index, _ in _blocks(items, least, block_bytes):
         sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            hashes = WordHashes()
-            for b in sliced(batches, "words"):
-                keep = np.ones(b.num_rows, bool)
-                keep[[t for t, _, _ in sent.value.found(b.column("words"), hashes)]] = False
-                yield b.drop_columns(["words"]).filter(pa.array(keep))
-
-        docs = docs.withColumn("words", normal_words(text)).mapInArrow(clean, schema)
-        text = docs[f"c{names.index('text')}"]
-    return docs.toDF(*names)
+        docs = docs.filter(_free_of_items(sent, normal_words(docs["text"])))
+    return docs

@@ -333,21 +333,23 @@ def redact_secrets(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """docs with secrets replaced in `text` and `n_chars` counted anew where it is there; all rows and columns stay.
 
     Null and empty texts stay as they are; repeated rows stay repeated; columns
-    of any names are kept; an empty table gives no rows.
+    of any names are kept; an empty table gives no rows. Workers get the texts
+    and return those that change: rows stay in Spark, so a batch holds its
+    texts once.
     """
-    names, known = docs.columns, _sent(docs)
-    # Arrow functions can't take columns with dots in their names
-    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
-    text, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    known = _sent(docs)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, f"c{text}"):
-            old = b.column(text).to_pylist()
+    @F.arrow_udf("string")
+    def changed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in sliced((pa.RecordBatch.from_arrays([t], ["text"]) for t in texts), "text"):
+            old = b.column("text").to_pylist()
             new = [redacted(t, least, known=known.value) for t in old]
-            b = b.set_column(text, f"c{text}", pa.array(new, b.column(text).type))
-            if size is not None:
-                n = [c if x is y or y is None else len(y) for c, x, y in zip(b.column(size).to_pylist(), old, new)]
-                b = b.set_column(size, f"c{size}", pa.array(n, b.column(size).type))
-            yield b
+            yield pa.array([None if x is y else y for x, y in zip(old, new)], pa.string())
 
-    return rows.mapInArrow(clean, rows.schema).toDF(*names)
+    names = docs.columns
+    rows = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    rows, new = rows.withColumn("changed", changed(rows[f"c{names.index('text')}"])), F.col("changed")
+    out = {"text": new}
+    if "n_chars" in names:
+        out["n_chars"] = F.char_length(new).cast(docs.schema["n_chars"].dataType)
+    return rows.select([F.coalesce(out[n], f"c{k}") if n in out else F.col(f"c{k}") for k, n in enumerate(names)]).toDF(*names)

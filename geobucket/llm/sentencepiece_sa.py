@@ -34,6 +34,8 @@ from .common import sliced
 from .token_orc import parts, ragged
 
 MARK, SLICE, LONG_CHUNK, NEVER = "▁", 1 << 20, 128, np.int64(2**62)
+#: Bytes of texts encoded at once; with 1 MB a worker took 60 MB more.
+TEXTS = 1 << 18
 #: Characters of a long chunk that are encoded at once, and how far the next block reaches back.
 BLOCK, OVERLAP = 1 << 15, 1 << 9
 
@@ -331,7 +333,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(model_file)
-        for b in sliced(batches, "text", SLICE):
+        for b in sliced(batches, "text", TEXTS):
             ids, counts = encode_texts(b.column("text"), p)
             ends = np.cumsum(counts)
             back = [_decoded(ids[e - n : e], p) == (t.as_py() or "").replace(MARK, " ") for t, e, n in zip(b.column("text"), ends, counts)]
