@@ -2,12 +2,14 @@
 
 The different chunks of a slice of texts (words with their leading space mark)
 are concatenated, and their suffixes sorted to the depth of the longest piece.
-Binary search finds the range of suffixes that start with each piece; the
-occurrences become edges (position, length, piece), which are sorted by
+Binary search finds the range of suffixes that start with each piece, four
+characters at a time; the occurrences become edges (position, length, piece), which are sorted by
 position. The model is a byte-pair one, so edges are relaxed in merge order:
 in each round every chunk contracts its leftmost pair of neighbouring symbols
 whose join is the edge of the best score, until no pair is an edge. The ids
-equal those of the library. Characters without a piece become byte pieces.
+equal those of the library. Characters without a piece become byte pieces. A
+bounded memory keeps the ids of chunks that occur twice or more in a slice, so
+later slices match the others only.
 
 Memory is bounded by SLICE, whatever the length of a text or of a word: chunks
 are matched in groups of SLICE characters, and a chunk longer than BLOCK is
@@ -31,17 +33,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sliced
-from .token_orc import parts, ragged
+from .token_orc import ragged, split_parts
 
 MARK, SLICE, LONG_CHUNK, NEVER = "▁", 1 << 20, 128, np.int64(2**62)
 #: Bytes of texts encoded at once; with 1 MB a worker took 60 MB more.
 TEXTS = 1 << 18
+#: Most chunks that a worker remembers, and their most bytes.
+MEMORY, BRIEF = 100_000, 64
 #: Characters of a long chunk that are encoded at once, and how far the next block reaches back.
 BLOCK, OVERLAP = 1 << 15, 1 << 9
 
 
 class Pieces:
-    """Pieces of a model as packed keys; four characters of 16 bits to a word."""
+    """Pieces of a model as packed keys, four characters of 16 bits to a word; and the memory of chunks, with their ids."""
 
     def __init__(self, model_file: str):
         from sentencepiece import SentencePieceProcessor
@@ -61,6 +65,8 @@ class Pieces:
             elif not sp.is_control(i):
                 self.raw[i] = piece.replace(MARK, " ").encode()
                 own.append((piece, sp.get_score(i), i))
+        own.sort()  # sought in order
+        self.raw_bytes = pa.array(self.raw, pa.large_binary())
         if any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in own):
             raise ValueError("a piece reaches over the start of a word or a line")
         self.ids = np.array([i for _, _, i in own], np.int32)
@@ -83,6 +89,7 @@ class Pieces:
         self.low = self._packed(grid)
         grid[np.arange(self.words * 4)[None, :] >= self.lengths[:, None]] = 0xFFFF
         self.high = self._packed(grid)
+        self.memory, self.memory_ids, self.memory_sizes = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     @staticmethod
     def _packed(grid: np.ndarray) -> list[np.ndarray]:
@@ -96,14 +103,23 @@ class Pieces:
         keys = [four[4 * j : 4 * j + n] for j in range(self.words)]
         suffixes = _sorted_suffixes(four[:n], self.words * 4)
         keys = [k[suffixes] for k in keys]
-        first = _bisect(keys, self.low, False)
-        count = np.maximum(0, _bisect(keys, self.high, True) - first)
+        first, count = self._found(keys)
         piece = np.repeat(np.arange(len(first)), count)
         edge = suffixes[ragged(first, count)] * 64 + self.lengths[piece]
         both = np.sort(edge << 20 | piece)  # positions below 2**37, pieces below 2**20: one sort of whole numbers
         return both >> 20, both & 0xFFFFF
 
 
+    def _found(self, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of the sorted suffixes that start with each piece, narrowed by four characters at a time."""
+        first, after = np.searchsorted(keys[0], self.low[0]), np.searchsorted(keys[0], self.high[0], "right")
+        for j in range(1, self.words):
+            open_ = np.flatnonzero((self.lengths > 4 * j) & (first < after))
+            low, high = _bisect(keys[j], self.low[j][open_], first[open_], after[open_], False), _bisect(keys[j], self.high[j][open_], first[open_], after[open_], True)
+            first[open_], after[open_] = low, high
+        return first, after - first
+
+
 def _sorted_suffixes(four: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first `depth` characters or more, by prefix doubling from four."""
     order, known, key, n = np.argsort(four), 4, four, len(four)
@@ -116,17 +132,12 @@ def _sorted_suffixes(four: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _bisect(keys: list[np.ndarray], sought: list[np.ndarray], after: bool) -> np.ndarray:
-    """For all sought keys at once, the number of sorted keys below (after: not above) each."""
-    lo, hi = np.zeros(len(sought[0]), np.int64), np.full(len(sought[0]), len(keys[0]), np.int64)
+def _bisect(keys: np.ndarray, sought: np.ndarray, lo: np.ndarray, hi: np.ndarray, after: bool) -> np.ndarray:
+    """For all sought keys at once, the place from lo to hi, between which keys are sorted, before (after: after) those equal to each."""
+    lo, hi = lo.copy(), hi.copy()
     while len(open_ := np.flatnonzero(lo < hi)):
         mid = (lo[open_] + hi[open_]) // 2
-        less, equal = np.zeros(len(open_), bool), np.ones(len(open_), bool)
-        for k, s in zip(keys, sought):
-            a, b = k[mid], s[open_]
-            less |= equal & (a < b)
-            equal &= a == b
-        right = less | equal if after else less
+        right = keys[mid] <= sought[open_] if after else keys[mid] < sought[open_]
         lo[open_] = np.where(right, mid + 1, lo[open_])
         hi[open_] = np.where(right, hi[open_], mid)
     return lo
@@ -174,8 +185,10 @@ def _contract(start: np.ndarray, chunk: np.ndarray, lookup) -> tuple[np.ndarray,
     if not done:
         return start, length
     start, length = (np.concatenate(x) for x in zip(*done))
-    order = np.argsort(start)
-    return start[order], length[order]
+    size = np.zeros(start.max() + 1, np.int64)
+    size[start] = length
+    start = np.flatnonzero(size)
+    return start, size[start]
 
 
 def _contract_long(begin: int, end: int, ranks: dict[int, int]) -> list[tuple[int, int]]:
@@ -207,25 +220,31 @@ def _contract_long(begin: int, end: int, ranks: dict[int, int]) -> list[tuple[in
     return sorted(size.items())
 
 
-def _symbols(chunks: list[str], p: Pieces) -> tuple[np.ndarray, ...]:
-    """Of all chunks, one after the other: symbols (start in its chunk, length), their number of ids, the ids, and the symbols of each chunk."""
-    text = "\x00".join(chunks)  # a character of no piece; its code is set to 0 below
+def _symbols(text: str, lengths: np.ndarray, p: Pieces) -> tuple[np.ndarray, ...]:
+    """Of chunks of the given lengths, joined by a character each: symbols (start in its chunk, length), their number of ids, the ids, and the symbols of each chunk."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     codes = p.code[points]
-    lengths = np.array([len(c) for c in chunks], np.int64)
     begins = np.cumsum(lengths + 1) - lengths - 1
     codes[begins[1:] - 1] = 0
     key, piece = p.edges(codes)
     edge_rank = p.rank[piece]
+    # edges of a position lie together, by length: the first one's place, and a bit for each length
+    own = key >> 6
+    number = np.bincount(own, minlength=len(codes))
+    first, lasting = np.cumsum(number) - number, np.zeros(len(codes), np.uint64)
+    if len(key):
+        heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        lasting[own[heads]] = np.bitwise_or.reduceat(np.uint64(1) << (key & 63).astype(np.uint64), heads)
 
     def find(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        want = start * 64 + np.minimum(length, 63)
-        at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-        return at, (key[at] == want) & (length < 64) if len(key) else np.zeros(len(want), bool)
+        bit, bits = np.uint64(1) << np.minimum(length, 63).astype(np.uint64), lasting[start]
+        return first[start] + np.bitwise_count(bits & (bit - np.uint64(1))), ((bits & bit) != 0) & (length < 64)
 
     def lookup(start: np.ndarray, length: np.ndarray) -> np.ndarray:
         at, ok = find(start, length)
-        return np.where(ok, edge_rank[at], NEVER) if len(key) else np.full(len(start), NEVER)
+        found = np.full(len(start), NEVER)
+        found[ok] = edge_rank[at[ok]]
+        return found
 
     long = lengths > LONG_CHUNK
     short = np.flatnonzero(~long)
@@ -250,16 +269,20 @@ def _symbols(chunks: list[str], p: Pieces) -> tuple[np.ndarray, ...]:
         raw = np.frombuffer("".join(map(chr, cp.tolist())).encode(), np.uint8)
         ids[ragged(ends[~ok] - counts[~ok], counts[~ok])] = p.byte_id[raw]
     chunk = np.searchsorted(begins, start, "right") - 1
-    return start - begins[chunk], length, counts, ids, np.bincount(chunk, minlength=len(chunks))
+    return start - begins[chunk], length, counts, ids, np.bincount(chunk, minlength=len(lengths))
 
 
 def _in_blocks(chunk: str, p: Pieces, block: int = BLOCK) -> np.ndarray:
     """Ids of one chunk of any length, from overlapping blocks; they grow where two have no symbol in common."""
+
+    def part(at: int) -> tuple[np.ndarray, ...]:
+        return _symbols(own := chunk[at : at + block], np.array([len(own)]), p)
+
     out, at = [], 0
-    start, length, counts, ids, _ = _symbols([chunk[:block]], p)
+    start, length, counts, ids, _ = part(0)
     while at + block < len(chunk):
         begin = int(start[min(np.searchsorted(start, block - OVERLAP), len(start) - 1)])
-        new_start, new_length, new_counts, new_ids, _ = _symbols([chunk[at + begin : at + begin + block]], p)
+        new_start, new_length, new_counts, new_ids, _ = part(at + begin)
         same = np.flatnonzero(np.isin((start - begin) * block + length, new_start * block + new_length) & (start >= begin))
         if not begin or not len(same):
             return _in_blocks(chunk, p, 2 * block)
@@ -271,9 +294,9 @@ def _in_blocks(chunk: str, p: Pieces, block: int = BLOCK) -> np.ndarray:
     return np.concatenate([*out, ids])
 
 
-def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]:
+def encode_chunks(chunks: pa.Array, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all chunks, one after the other, and the number of ids of each."""
-    lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+    lengths = pc.utf8_length(chunks).to_numpy().astype(np.int64)
     # cuts: before and after each long chunk, and where a group would grow beyond SLICE
     long = np.flatnonzero(lengths > BLOCK)
     group = np.cumsum(lengths) // SLICE
@@ -281,15 +304,34 @@ def encode_chunks(chunks: list[str], p: Pieces) -> tuple[np.ndarray, np.ndarray]
     all_ids, sizes = [np.zeros(0, np.int32)], np.zeros(len(chunks), np.int64)
     for at, to in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if lengths[at] > BLOCK:
-            ids = _in_blocks(chunks[at], p)
+            ids = _in_blocks(chunks[at].as_py(), p)
             sizes[at] = len(ids)
         else:
-            _, _, counts, ids, symbols = _symbols(chunks[at:to], p)
+            own = chunks.slice(at, to - at)
+            text = pc.binary_join(pa.ListArray.from_arrays([0, len(own)], own), "\x00")[0].as_py()
+            _, _, counts, ids, symbols = _symbols(text, lengths[at:to], p)
             sizes[at:to] = np.bincount(np.repeat(np.arange(to - at), symbols), counts, to - at)
         all_ids.append(ids)
     return np.concatenate(all_ids), sizes
 
 
+def encode_known(chunks: pa.Array, often: np.ndarray, p: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of different chunks, as (ids, start of each chunk, number of each); those of chunks that occur often are taken from, and kept in, the memory."""
+    known = pc.fill_null(pc.index_in(chunks, p.memory), -1).to_numpy().astype(np.int64)
+    new = np.flatnonzero(known < 0)
+    more, sizes = encode_chunks(chunks.take(pa.array(new)), p)
+    known[new] = len(p.memory) + np.arange(len(new))
+    ids, sizes = np.concatenate([p.memory_ids, more]), np.concatenate([p.memory_sizes, sizes])
+    starts = np.cumsum(sizes) - sizes
+    brief = pc.binary_length(chunks).to_numpy() <= BRIEF
+    keep = new[(often & brief)[new]][: MEMORY - len(p.memory)]
+    if len(keep):
+        p.memory = pa.concat_arrays([p.memory, chunks.take(pa.array(keep))])
+        p.memory_ids = np.concatenate([p.memory_ids, ids[ragged(starts[known[keep]], sizes[known[keep]])]])
+        p.memory_sizes = np.concatenate([p.memory_sizes, sizes[known[keep]]])
+    return ids, starts[known], sizes[known]
+
+
 _RUN = re.compile("  +")
 
 
@@ -301,14 +343,14 @@ def encode_texts(texts: pa.Array, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
     runs = pc.fill_null(pc.match_substring(texts, "  "), False)
     if pc.any(runs).as_py():
         texts = pa.array([_RUN.sub(lambda m: " " + MARK * (len(m[0]) - 1), t) if r else t for t, r in zip(texts.to_pylist(), runs.to_pylist())], pa.string())
-    words, numbers, counts = parts(texts)
+    words, numbers, counts = split_parts(texts)
     if not len(numbers):
         return np.zeros(0, np.int32), counts
     own = np.ones(len(numbers), bool)
-    own[(np.cumsum(counts) - counts)[counts > 0]] = False  # the line end that parts() puts first
+    own[(np.cumsum(counts) - counts)[counts > 0]] = False  # the line end that split_parts() puts first
     numbers, counts = numbers[own], np.maximum(0, counts - 1)
-    ids, lengths = encode_chunks([x if x[:1] == "\n" else MARK + x for x in words], p)
-    starts = np.cumsum(lengths) - lengths
+    chunks = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(MARK, words, ""))
+    ids, starts, lengths = encode_known(chunks, np.bincount(numbers, minlength=len(chunks)) > 1, p)
     own = lengths[numbers]
     return ids[ragged(starts[numbers], own)], np.bincount(np.repeat(np.arange(len(texts)), counts), own, len(texts)).astype(np.int64)
 
@@ -323,6 +365,21 @@ def _decoded(ids: np.ndarray, p: Pieces, most: int = 1 << 16) -> str:
     return b"".join(b"".join(map(p.raw.__getitem__, ids[at : at + most].tolist())) for at in range(0, len(ids), most)).removeprefix(b" ").decode("utf-8", "replace")
 
 
+def round_trips(texts: pa.Array, ids: np.ndarray, counts: np.ndarray, p: Pieces) -> np.ndarray:
+    """Whether the ids of each text decode to it: by the bytes of all at once, and one by one where those differ."""
+    ends, same = np.cumsum(counts), np.zeros(len(texts), bool)
+    if len(ids):
+        raw = p.raw_bytes.take(pa.array(ids))
+        _, places, content = raw.buffers()
+        cuts = np.frombuffer(places, np.int64)[np.concatenate([[0], ends])]
+        back = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(cuts), content])
+        spaced = pc.binary_join_element_wise(" ", pc.replace_substring(pc.fill_null(texts, ""), MARK, " "), "")
+        same = pc.equal(back, spaced.cast(pa.large_binary())).to_numpy(zero_copy_only=False).copy()
+    for i in np.flatnonzero(~same):
+        same[i] = _decoded(ids[ends[i] - counts[i] : ends[i]], p) == (texts[i].as_py() or "").replace(MARK, " ")
+    return same
+
+
 def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, ids, round_trip for every row.
 
@@ -336,7 +393,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
         for b in sliced(batches, "text", TEXTS):
             ids, counts = encode_texts(b.column("text"), p)
             ends = np.cumsum(counts)
-            back = [_decoded(ids[e - n : e], p) == (t.as_py() or "").replace(MARK, " ") for t, e, n in zip(b.column("text"), ends, counts)]
+            back = round_trips(b.column("text"), ids, counts, p)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts), lists, pa.array(back, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
 

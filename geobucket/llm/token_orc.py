@@ -64,12 +64,6 @@ def split_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counts
 
 
-def parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The same with the different parts as a list."""
-    own, numbers, counts = split_parts(texts)
-    return own.to_pylist(), numbers, counts
-
-
 def _gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The runs of ids one after the other, and their new starts."""
     return ids[ragged(start, length)], np.cumsum(length) - length, length
