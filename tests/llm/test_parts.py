@@ -74,9 +74,9 @@ def test_frequent_chunks_are_matched_once(monkeypatch):
 
 
 def test_a_piece_is_sought_among_the_suffixes_that_share_its_start(monkeypatch):
-    """Bisecting 30,000 pieces over all suffixes was two thirds of the steps for a small slice."""
+    """All pieces were bisected over all suffixes of every slice: 7.2 of 32.6 s in a profile of 103 slices."""
     sought, bisect = [], sentencepiece_sa._bisect
-    monkeypatch.setattr(sentencepiece_sa, "_bisect", lambda keys, wanted, *more: sought.append(len(wanted)) or bisect(keys, wanted, *more))
+    monkeypatch.setattr(sentencepiece_sa, "_bisect", lambda keys, wanted, *more: sought.append(np.size(wanted)) or bisect(keys, wanted, *more))
     p = sentencepiece_sa.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     text = "international organisations understand international misunderstandings"
     ids, _ = sentencepiece_sa.encode_texts(pa.array([text]), p)
